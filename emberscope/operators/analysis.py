@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.indices import climate_segment, confidence_label, percent
 from .blocks import exact_mean
 
-WHOLE = Window.partitionBy()
-
 
 def rounded(value: Column, digits: int) -> Column:
     """Round through DECIMAL, half away from zero, back to DOUBLE."""
@@ -40,7 +38,7 @@ def confidence_share(gold: DataFrame) -> DataFrame:
     grouped = gold.filter(F.col("target") == 1).groupBy("fire_confidence").agg(
         F.count(F.lit(1)).alias("cantidad_incendios"), rounded(exact_mean("fire_intensity"), 2).alias("intensidad_promedio_frp")
     )
-    share = rounded(percent(F.col("cantidad_incendios"), F.sum("cantidad_incendios").over(WHOLE)), 2)
+    share = rounded(percent(F.col("cantidad_incendios"), F.sum("cantidad_incendios").over(Window.partitionBy())), 2)
     return grouped.select(
         confidence_label(F.col("fire_confidence")).alias("nivel_confianza"),
         "cantidad_incendios",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,7 @@ def build(
     grid: GridSpec,
     tables: Tables = Tables(),
     location: str | None = None,
+    layers: Sequence[str] = tuple(V.LAYERS),
     layout_partitions: int | None = None,
 ) -> DataFrame:
     """Run every step and return the status of the ingestion.
@@ -44,7 +46,7 @@ def build(
     Safe to run again: files already ingested are skipped and every later table
     is replaced as a whole.
     """
-    create_layers(spark, location)
+    create_layers(spark, location, layers)
     replace_table(grid_nodes(spark, grid), tables.landing_grid)
     status = ingest_all(
         spark,

@@ -53,19 +53,17 @@ def csv_stream(spark: SparkSession, path: str, schema: T.StructType, rescue: boo
     if rescue:
         schema = T.StructType([*schema.fields, T.StructField(RESCUED, T.StringType())])
         options = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RESCUED}
-    return (
-        spark.readStream.schema(schema)
-        .options(pathGlobFilter="*.csv", header="true", multiLine=str(multi_line).lower(), **options)
-        .csv(path)
-    )
+    defaults = {"pathGlobFilter": "*.csv", "header": "true", "multiLine": str(multi_line).lower()}
+    return spark.readStream.schema(schema).options(**{**defaults, **options}).csv(path)
 
 
 def json_stream(spark: SparkSession, path: str, schema: T.StructType, rescue: bool, multi_line: bool, options: dict) -> DataFrame:
     """JSON documents as a stream: one per file with ``multi_line``, else one per line."""
+    whole = str(multi_line).lower()
     if not rescue:
-        reader = spark.readStream.schema(schema).options(pathGlobFilter="*.json", multiLine=str(multi_line).lower(), **options)
-        return reader.json(path)
-    texts = spark.readStream.options(pathGlobFilter="*.json", wholetext=str(multi_line).lower(), **options).text(path)
+        defaults = {"pathGlobFilter": "*.json", "multiLine": whole}
+        return spark.readStream.schema(schema).options(**{**defaults, **options}).json(path)
+    texts = spark.readStream.options(**{"pathGlobFilter": "*.json", "wholetext": whole, **options}).text(path)
     return texts.select(*parse_json(F.col("value"), schema), "_metadata")
 
 
