@@ -41,11 +41,15 @@ def climate_segment(temperature: Column, wind: Column, humidity: Column) -> Colu
     )
 
 
+def direction_of(mean_sin: Column, mean_cos: Column) -> Column:
+    """Direction in degrees, in [0, 360), of a mean unit vector."""
+    return F.pmod(F.degrees(F.atan2(mean_sin, mean_cos)) + F.lit(360.0), F.lit(360.0))
+
+
 def mean_direction(degrees: Column) -> Column:
     """Aggregate: circular mean of directions in degrees, in [0, 360)."""
     angle = F.radians(degrees)
-    mean = F.degrees(F.atan2(F.avg(F.sin(angle)), F.avg(F.cos(angle))))
-    return F.pmod(mean + F.lit(360.0), F.lit(360.0))
+    return direction_of(F.avg(F.sin(angle)), F.avg(F.cos(angle)))
 
 
 def percent(part: Column, whole: Column) -> Column:

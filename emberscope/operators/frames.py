@@ -4,13 +4,13 @@ A window partitioned by the key alone puts the whole history of a key into one
 task. Here every history is cut into chunks of the order axis:
 
 * bounded frames (rolling, lag, look-ahead) copy each row into the neighbouring
-  chunk that can still see it, so one shuffle on (key, chunk) is enough;
+  chunks that can still see it;
 * unbounded running values combine a per-chunk summary, a prefix over the few
   summaries of a key, and a running value inside the chunk.
 
-Results equal those of the plain window over the key. Joins on the key use it as
-a struct, in which null equals null, so that rows without a key form a group of
-their own as they do in a window, and join and window share one shuffle.
+Both kinds can be asked for together and then share one shuffle and one sort of
+the rows on (key, chunk). Results equal those of the plain window over the key;
+rows without a key form a group of their own, as they do there.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 
 from ..functions.timekeys import DAY, HOUR, epoch_seconds
 
-POS, HOME, CHUNK, KEY = "__pos", "__home", "__chunk", "__key"
+POS, HOME, CHUNK = "__pos", "__home", "__chunk"
 EXACT_TYPES = (T.DecimalType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+Running = Mapping[str, tuple[str, Column]]
 
 
 @dataclass(frozen=True)
@@ -63,28 +64,66 @@ def _chunk_of(position: Column, width: int) -> Column:
     return F.floor(position / F.lit(width))
 
 
-def _over_positions(df: DataFrame, keys: list[str], frames: Sequence[Frame], width: int) -> DataFrame:
-    """Evaluate all frames in one shuffle; ``df`` carries the long column ``POS``, unique per key."""
-    before = max(0, *(-f.start for f in frames))
-    after = max(0, *(f.end for f in frames))
-    first = _chunk_of(F.col(POS) - F.lit(after), width)
-    last = _chunk_of(F.col(POS) + F.lit(before), width)
-    copies = df.withColumn(HOME, _chunk_of(F.col(POS), width)).withColumn(CHUNK, F.explode(F.sequence(first, last)))
+def _with_group(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Key columns on which null equals null in joins and windows alike.
 
-    order = Window.partitionBy(*keys, CHUNK).orderBy(POS)
-    upto = lambda end: order.rangeBetween(Window.unboundedPreceding, end)
+    A nullable key becomes a filled value and a null flag: plain columns hash
+    and sort faster than a struct.
+    """
+    names, added = [], {}
+    for i, key in enumerate(keys):
+        field = df.schema[key]
+        if not field.nullable:
+            names.append(key)
+            continue
+        filler = F.lit("") if isinstance(field.dataType, T.StringType) else F.lit(0)
+        if isinstance(field.dataType, (T.StringType, T.NumericType)):
+            added[f"__key{i}"] = F.coalesce(F.col(key), filler.cast(field.dataType))
+            added[f"__null{i}"] = F.col(key).isNull()
+            names += [f"__key{i}", f"__null{i}"]
+        else:
+            added[f"__key{i}"] = F.struct(key)
+            names.append(f"__key{i}")
+    return (df.withColumns(added) if added else df), names
+
+
+def _over_positions(
+    df: DataFrame, keys: Sequence[str], frames: Sequence[Frame], width: int, running: Running | None = None
+) -> DataFrame:
+    """Evaluate frames and running values; ``df`` carries the long column ``POS``.
+
+    For frames, positions are unique per key.
+    """
+    running = running or {}
+    columns = df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
+    staged, group = _with_group(df.withColumn(HOME, _chunk_of(F.col(POS), width)), keys)
+    if running:
+        staged = staged.withColumns({f"__in_{name}": value for name, (_, value) in running.items()})
+
+    before = max([0, *(-f.start for f in frames)])
+    after = max([0, *(f.end for f in frames)])
+    if before or after:
+        first, last = _chunk_of(F.col(POS) - F.lit(after), width), _chunk_of(F.col(POS) + F.lit(before), width)
+        copies = staged.withColumn(CHUNK, F.explode(F.sequence(first, last)))
+    else:
+        copies = staged.withColumn(CHUNK, F.col(HOME))
+    if running:
+        copies = copies.join(_carried(staged, group, running), [*group, CHUNK], "left")
+
+    order = Window.partitionBy(*group, CHUNK).orderBy(POS)
+    upto = lambda end: order.rangeBetween(Window.unboundedPreceding, end)
 
     # Sums of exact types come from differences of running sums: linear in the
     # rows, where a sliding frame is re-added for every row.
     prefixed = [f for f in frames if f.how in ("sum", "mean", "count") and _uses_prefix(f, types)]
-    running: dict[str, Column] = {}
+    prefix: dict[str, Column] = {}
     for column in {f.column for f in prefixed}:
-        running[f"__n_{column}"] = F.count(column).over(upto(0))
+        prefix[f"__n_{column}"] = F.count(column).over(upto(0))
         if any(f.how != "count" for f in prefixed if f.column == column):
-            running[f"__s_{column}"] = F.sum(column).over(upto(0))
-    if running:
-        copies = copies.withColumns(running)
+            prefix[f"__s_{column}"] = F.sum(column).over(upto(0))
+    if prefix:
+        copies = copies.withColumns(prefix)
 
     outputs: dict[str, Column] = {}
     for f in frames:
@@ -97,8 +136,35 @@ def _over_positions(df: DataFrame, keys: list[str], frames: Sequence[Frame], wid
             outputs[f.name] = getattr(F, f.how)(f.column).over(span)
         else:
             raise ValueError(f"unknown frame function {f.how!r}")
-    result = copies.withColumns(outputs).filter(F.col(CHUNK) == F.col(HOME))
-    return result.drop(HOME, CHUNK, *running)
+    for name, (how, _) in running.items():
+        # Copied rows of other chunks are part of what is carried in.
+        own = F.when(F.col(HOME) == F.col(CHUNK), F.col(f"__in_{name}"))
+        outputs[name] = _merge(how, getattr(F, how)(own).over(upto(0)), F.col(f"__from_{name}"))
+    result = copies.withColumns(outputs)
+    if before or after:
+        result = result.filter(F.col(CHUNK) == F.col(HOME))
+    kept = [c for c in columns if c not in outputs]
+    return result.select(*kept, *outputs)
+
+
+def _carried(staged: DataFrame, group: list[str], running: Running) -> DataFrame:
+    """Running values of all earlier chunks, one row per key and chunk."""
+    summary = staged.groupBy(*group, F.col(HOME).alias(CHUNK)).agg(
+        *[getattr(F, how)(f"__in_{name}").alias(f"__sum_{name}") for name, (how, _) in running.items()]
+    )
+    earlier = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    return summary.select(
+        *group,
+        CHUNK,
+        *[getattr(F, how)(f"__sum_{name}").over(earlier).alias(f"__from_{name}") for name, (how, _) in running.items()],
+    )
+
+
+def _merge(how: str, here: Column, before: Column) -> Column:
+    if how == "sum":
+        return F.when(here.isNull(), before).otherwise(here + F.coalesce(before, F.lit(0)))
+    beaten = before > here if how == "max" else before < here
+    return F.when(here.isNull() | beaten, before).otherwise(here)
 
 
 def _uses_prefix(f: Frame, types: Mapping[str, T.DataType]) -> bool:
@@ -121,30 +187,36 @@ def _from_prefix(f: Frame, upto) -> Column:
 
 
 def over_time(
-    df: DataFrame, keys: Sequence[str], ts: str, frames: Sequence[Frame], chunk_seconds: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    frames: Sequence[Frame],
+    chunk_seconds: int | None = None,
+    running: Running | None = None,
 ) -> DataFrame:
     """Frames in seconds around each row; at most one row per key and second.
 
+    ``running`` adds running values (see ``running_values``) in the same pass.
     ``chunk_seconds`` bounds the rows of one task group. By default a chunk is
     eight times the widest frame, so about an eighth of the rows is copied.
     """
-    reach = max(max(abs(f.start), abs(f.end)) for f in frames)
+    reach = max([0, *(max(abs(f.start), abs(f.end)) for f in frames)])
     width = chunk_seconds or max(8 * reach, 28 * DAY)
-    positioned = df.withColumn(POS, epoch_seconds(F.col(ts)))
-    return _over_positions(positioned, list(keys), frames, width).drop(POS)
+    return _over_positions(df.withColumn(POS, epoch_seconds(F.col(ts))), keys, frames, width, running).drop(POS)
 
 
 def row_index(
     df: DataFrame, keys: Sequence[str], ts: str, name: str = "row_index", chunk_seconds: int = 28 * DAY
 ) -> DataFrame:
     """Position of each row in its key by time, from 1, without gathering a key in one task."""
-    cut = df.withColumn(KEY, F.struct(*keys)).withColumn(CHUNK, _chunk_of(epoch_seconds(F.col(ts)), chunk_seconds))
-    counts = cut.groupBy(KEY, CHUNK).agg(F.count(F.lit(1)).alias("__rows"))
-    earlier = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(KEY, CHUNK, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy(KEY, CHUNK).orderBy(ts)
-    indexed = cut.join(offsets, [KEY, CHUNK], "left")
-    return indexed.withColumn(name, F.col("__offset") + F.row_number().over(within)).drop(KEY, CHUNK, "__offset")
+    columns = df.columns
+    cut, group = _with_group(df.withColumn(CHUNK, _chunk_of(epoch_seconds(F.col(ts)), chunk_seconds)), keys)
+    counts = cut.groupBy(*group, CHUNK).agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, CHUNK, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"))
+    within = Window.partitionBy(*group, CHUNK).orderBy(ts)
+    indexed = cut.join(offsets, [*group, CHUNK], "left")
+    return indexed.select(*columns, (F.col("__offset") + F.row_number().over(within)).alias(name))
 
 
 def over_rows(
@@ -153,46 +225,14 @@ def over_rows(
     """Frames counted in rows, exact on series with missing hours too."""
     reach = max(max(abs(f.start), abs(f.end)) for f in frames)
     width = chunk_rows or max(8 * reach, 1024)
-    return _over_positions(row_index(df, keys, ts, POS), list(keys), frames, width).drop(POS)
+    return _over_positions(row_index(df, keys, ts, POS), keys, frames, width).drop(POS)
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    outputs: Mapping[str, tuple[str, Column]],
-    chunk_seconds: int = 28 * DAY,
+def running_values(
+    df: DataFrame, keys: Sequence[str], ts: str, running: Running, chunk_seconds: int = 28 * DAY
 ) -> DataFrame:
-    """Running ``max``/``min``/``sum`` of an expression over all rows at or before each row's second."""
-    staged = df.withColumn(KEY, F.struct(*keys))
-    staged = staged.withColumns({f"__in_{name}": expr for name, (_, expr) in outputs.items()})
-    staged = staged.withColumn(POS, epoch_seconds(F.col(ts)))
-    staged = staged.withColumn(CHUNK, _chunk_of(F.col(POS), chunk_seconds))
-
-    summary = staged.groupBy(KEY, CHUNK).agg(
-        *[getattr(F, how)(f"__in_{name}").alias(f"__sum_{name}") for name, (how, _) in outputs.items()]
-    )
-    earlier = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
-        KEY,
-        CHUNK,
-        *[getattr(F, how)(f"__sum_{name}").over(earlier).alias(f"__from_{name}") for name, (how, _) in outputs.items()],
-    )
-
-    within = Window.partitionBy(KEY, CHUNK).orderBy(POS).rangeBetween(Window.unboundedPreceding, 0)
-    joined = staged.join(carried, [KEY, CHUNK], "left")
-    merged = {}
-    for name, (how, _) in outputs.items():
-        here, before = getattr(F, how)(f"__in_{name}").over(within), F.col(f"__from_{name}")
-        if how == "sum":
-            merged[name] = F.when(here.isNull(), before).otherwise(here + F.coalesce(before, F.lit(0)))
-        elif how == "max":
-            # What lies in the own chunk is later; structs order by time first.
-            merged[name] = F.when(here.isNull() | (before > here), before).otherwise(here)
-        else:
-            merged[name] = F.when(here.isNull() | (before < here), before).otherwise(here)
-    scratch = [POS, CHUNK, KEY] + [f"__in_{n}" for n in outputs] + [f"__from_{n}" for n in outputs]
-    return joined.withColumns(merged).drop(*scratch)
+    """Running ``max``, ``min`` or ``sum`` of expressions over all rows at or before each row's second."""
+    return over_time(df, keys, ts, [], chunk_seconds, running)
 
 
 def last_known(
@@ -200,7 +240,7 @@ def last_known(
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row; of several at one second, the greatest."""
     stamped = F.when(F.col(value).isNotNull(), F.struct(epoch_seconds(F.col(ts)).alias("at"), F.col(value).alias("v")))
-    held = running(df, keys, ts, {"__known": ("max", stamped)}, chunk_seconds)
+    held = running_values(df, keys, ts, {"__known": ("max", stamped)}, chunk_seconds)
     return held.withColumn(name, F.col("__known.v")).drop("__known")
 
 
@@ -224,6 +264,19 @@ def as_of_join(
     return held.filter("__probe").drop("__probe", "__value").withColumnRenamed("__held", value)
 
 
+def dry_marks(ts: str, precipitation: str) -> Running:
+    """Running values from which ``dry_hours`` follows: the last break and the first hour."""
+    at = epoch_seconds(F.col(ts))
+    broken = F.col(precipitation).isNull() | (F.col(precipitation) > 0)
+    return {"__break": ("max", F.when(broken, at)), "__start": ("min", at)}
+
+
+def dry_hours(ts: str) -> Column:
+    """Hours since the last wet or unknown hour, or since the hour before the first one."""
+    since = epoch_seconds(F.col(ts)) - F.coalesce(F.col("__break"), F.col("__start") - F.lit(HOUR))
+    return (since / F.lit(HOUR)).cast("long")
+
+
 def dry_run(
     df: DataFrame,
     keys: Sequence[str],
@@ -236,17 +289,19 @@ def dry_run(
 
     A wet or unknown hour ends the run and counts 0 itself.
     """
-    at = epoch_seconds(F.col(ts))
-    broken = F.col(precipitation).isNull() | (F.col(precipitation) > 0)
-    marked = running(
-        df,
-        keys,
-        ts,
-        {"__break": ("max", F.when(broken, at)), "__start": ("min", at)},
-        chunk_seconds,
-    )
-    since = at - F.coalesce(F.col("__break"), F.col("__start") - F.lit(HOUR))
-    return marked.withColumn(name, (since / F.lit(HOUR)).cast("long")).drop("__break", "__start")
+    marked = running_values(df, keys, ts, dry_marks(ts, precipitation), chunk_seconds)
+    return marked.withColumn(name, dry_hours(ts)).drop("__break", "__start")
+
+
+def horizon_frames(target: str, hours: int, name: str) -> list[Frame]:
+    """Frames from which ``horizon_value`` takes the label; they need the position column."""
+    span = hours * HOUR
+    return [ahead(name, target, "max", span), Frame(f"__at_{name}", POS, "max", span, span)]
+
+
+def horizon_value(name: str) -> Column:
+    """The label, or null where nothing is observed at the far end of the horizon."""
+    return F.when(F.col(f"__at_{name}").isNotNull(), F.col(name))
 
 
 def horizon_label(
@@ -256,11 +311,5 @@ def horizon_label(
 
     Null where the horizon reaches past the last hour of the key.
     """
-    span = hours * HOUR
-    framed = over_time(
-        df.withColumn("__one", F.lit(1)),
-        keys,
-        ts,
-        [ahead(name, target, "max", span), Frame("__seen", "__one", "max", span, span)],
-    )
-    return framed.withColumn(name, F.when(F.col("__seen").isNotNull(), F.col(name))).drop("__one", "__seen")
+    framed = over_time(df, keys, ts, horizon_frames(target, hours, name))
+    return framed.withColumn(name, horizon_value(name)).drop(f"__at_{name}")

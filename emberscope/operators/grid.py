@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.indices import mean_direction
+from ..functions.indices import direction_of
 from ..functions.spatial import EARTH_RADIUS_KM, great_circle_km, grid_key
 from ..session import materialize
 
@@ -190,8 +190,13 @@ def neighbour_mean(
     the matches are combined before their shuffle.
     """
     means, sums, directions = dict(means or {}), dict(sums or {}), dict(directions or {})
-    used = sorted({*means.values(), *sums.values(), *directions.values()})
-    values = hourly.select(F.col(node).alias("neighbour"), ts, *used)
+    used = sorted({*means.values(), *sums.values()})
+    # Sine and cosine are taken once per row, before the rows multiply.
+    vectors = {}
+    for name, column in directions.items():
+        angle = F.radians(F.col(column))
+        vectors[f"__sin_{name}"], vectors[f"__cos_{name}"] = F.sin(angle), F.cos(angle)
+    values = hourly.select(F.col(node).alias("neighbour"), ts, *used, *[v.alias(n) for n, v in vectors.items()])
     links = neighbours.select(node, "neighbour")
     if neighbour_rows is not None and neighbour_rows <= BROADCAST_ROWS:
         matched = values.repartition(ts).join(F.broadcast(links), "neighbour")
@@ -200,7 +205,7 @@ def neighbour_mean(
     return matched.groupBy(node, ts).agg(
         *[_mean(column, column in exact_means).alias(name) for name, column in means.items()],
         *[F.sum(column).alias(name) for name, column in sums.items()],
-        *[mean_direction(F.col(column)).alias(name) for name, column in directions.items()],
+        *[direction_of(F.avg(f"__sin_{name}"), F.avg(f"__cos_{name}")).alias(name) for name in directions],
     )
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import vocabulary as V
 from ..functions.indices import confidence_code
 
 ORDINAL, LEXICAL = "ordinal", "lexical"
@@ -31,7 +32,7 @@ def snap_detections(
     a cell and hour with very many detections is no hot spot.
     """
     if confidence_mode == LEXICAL:
-        code = confidence_code(F.max(confidence))
+        code = _code_of_slot(F.max(_slot(F.col(confidence))))
     elif confidence_mode == ORDINAL:
         code = F.max(confidence_code(F.col(confidence)))
     else:
@@ -41,6 +42,26 @@ def snap_detections(
     )
 
 
+def _slot(text: Column) -> Column:
+    """Place of a text among the code letters in alphabetical order.
+
+    The letters take the odd places, everything between them the even ones, so
+    the greatest text has the greatest place, and places, unlike texts, can be
+    compared in a hash aggregation.
+    """
+    slot = F.lit(0)
+    for letter in sorted(V.CONFIDENCE_CODES):
+        slot = slot + (text >= letter).cast("int") + (text > letter).cast("int")
+    return slot
+
+
+def _code_of_slot(slot: Column) -> Column:
+    code = F.lit(0)
+    for i, letter in enumerate(sorted(V.CONFIDENCE_CODES)):
+        code = F.when(slot == 2 * i + 1, F.lit(V.CONFIDENCE_CODES[letter])).otherwise(code)
+    return code
+
+
 def label_join(measurements: DataFrame, snapped: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every measurement row, with the detection of the same key or zeros.
 

@@ -14,18 +14,21 @@ def time_axis(start: Column, end: Column, step: str = "1 hour") -> Column:
     return F.sequence(start, end - interval, interval)
 
 
-def hourly_spine(cells: DataFrame, start: Column, end: Column, ts: str) -> DataFrame:
+def hourly_spine(cells: DataFrame, start: Column, end: Column, ts: str, partitions: int | None = None) -> DataFrame:
     """One row per cell and hour in [start, end).
 
-    Days are exploded first and hours second, so no row ever holds the whole
-    period and the rows of one cell spread over the output as they are made.
-    ``start`` and ``end`` may be scalar subqueries.
+    Cells are few rows that become very many. They are expanded to days, spread
+    over ``partitions`` tasks (the shuffle partitions of the session by
+    default) and only then expanded to hours, so that neither one row nor one
+    task produces the whole period. ``start`` and ``end`` may be scalar
+    subqueries.
     """
+    n = partitions or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     day = F.explode(F.sequence(F.to_date(start), F.to_date(end - F.expr("interval 1 second")), F.expr("interval 1 day")))
+    days = cells.withColumn("__day", day).repartition(n, *cells.columns, "__day")
     hour = F.col("__day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("__hour"))
     return (
-        cells.withColumn("__day", day)
-        .withColumn("__hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+        days.withColumn("__hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
         .withColumn(ts, hour)
         .filter((F.col(ts) >= start.cast("timestamp_ntz")) & (F.col(ts) < end.cast("timestamp_ntz")))
         .drop("__day", "__hour")

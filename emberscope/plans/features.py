@@ -9,7 +9,17 @@ from .. import vocabulary as V
 from ..functions.indices import spread_index
 from ..functions.timekeys import HOUR, cyclic
 from ..operators.blocks import block_deltas, roll_up
-from ..operators.frames import dry_run, horizon_label, lagged, over_rows, over_time, rows_back, trailing
+from ..operators.frames import (
+    dry_hours,
+    dry_marks,
+    horizon_frames,
+    horizon_value,
+    lagged,
+    over_rows,
+    over_time,
+    rows_back,
+    trailing,
+)
 
 ROLLING = [
     rows_back("precip_acum_7d", "precipitation", "sum", V.ROWS_7_DAYS),
@@ -46,17 +56,19 @@ def gold_features(gold: DataFrame) -> DataFrame:
 def memory_features(hourly: DataFrame, key: str = "grid_id", ts: str = "timestamp_clima") -> DataFrame:
     """Lags of 6-48 h, rolling means and sums of 24 h - 4 d, dry hours and the 12 h label.
 
-    Lags, rolling values and label share one shuffle and one sort on
-    (cell, chunk of time); the dry-hour count adds a second one.
+    Everything is taken in one pass: one shuffle and one sort of the rows on
+    (cell, chunk of time), next to a small summary per chunk for the dry hours.
     """
     lag_columns = ["temperature_2m", "relative_humidity_2m", "wind_speed_10m"]
     frames = [lagged(f"{c}_lag_{h}h", c, h * HOUR) for c in lag_columns for h in (6, 12, 24, 48)]
     for hours in (24, 48, 96):
         frames.append(trailing(f"precipitation_sum_{hours}h", "precipitation", "sum", hours * HOUR))
         frames.append(trailing(f"temperature_2m_mean_{hours}h", "temperature_2m", "mean", hours * HOUR))
-    framed = over_time(hourly, [key], ts, frames)
-    dried = dry_run(framed, [key], ts, "precipitation")
-    return horizon_label(dried, [key], ts, "target")
+    frames += horizon_frames("target", 12, "target_ahead")
+    framed = over_time(hourly, [key], ts, frames, running=dry_marks(ts, "precipitation"))
+    return framed.withColumns({"dry_hours": dry_hours(ts), "target_ahead": horizon_value("target_ahead")}).drop(
+        "__break", "__start", "__at_target_ahead"
+    )
 
 
 def block_features(hourly: DataFrame, key: str = "grid_id", ts: str = "timestamp_clima") -> DataFrame:

@@ -53,6 +53,17 @@ def cell_batches(
     )
 
 
+def write_documents(documents: DataFrame, path: str, per_file: int = 1, partitions: int | None = None) -> None:
+    """JSON files of ``per_file`` documents each, one per line.
+
+    One document per file is what the multi-line reader expects; more per file
+    spare the file system when documents are many (read them by line then). The
+    rows are spread first, because creating the files is the work.
+    """
+    n = partitions or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    documents.repartition(n).write.option("maxRecordsPerFile", per_file).json(path)
+
+
 def valid_payload(text: Column, marker: str = V.INVALID_MARKER) -> Column:
     return ~F.contains(text, F.lit(marker))
 

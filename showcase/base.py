@@ -34,8 +34,15 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -66,7 +73,7 @@ def located_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "event_type",
         "ts",
-        F.col("value").cast("decimal(10,2)").alias("v"),
+        F.col("value").cast("decimal(8,2)").alias("v"),
         latitude(F.col("user_id")).alias("latitude"),
         longitude(F.col("user_id")).alias("longitude"),
     )
@@ -109,7 +116,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("v").alias("temperature_2m"),
         F.max(beside(4)).alias("relative_humidity_2m"),
         F.min(beside(7)).alias("vapour_pressure_deficit"),
-        F.coalesce(F.sum(bought), F.lit(0)).cast("decimal(10,2)").alias("precipitation"),
+        F.coalesce(F.sum(bought), F.lit(0)).cast("decimal(8,2)").alias("precipitation"),
         F.max(beside(5)).alias("wind_speed_10m"),
         (F.sum("event_id") % 360).cast("double").alias("wind_direction_10m"),
         F.max("v").alias("wind_gusts_10m"),
@@ -166,9 +173,9 @@ def orders_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("timestamp_clima"),
         latitude(F.col("o_custkey")).alias("latitude"),
         longitude(F.col("o_custkey")).alias("longitude"),
-        (key % 45).cast("decimal(10,2)").alias("temperature_2m"),
-        (key % 37).cast("decimal(10,2)").alias("wind_speed_10m"),
-        (key % 100).cast("decimal(10,2)").alias("relative_humidity_2m"),
+        (key % 45).cast("decimal(8,2)").alias("temperature_2m"),
+        (key % 37).cast("decimal(8,2)").alias("wind_speed_10m"),
+        (key % 100).cast("decimal(8,2)").alias("relative_humidity_2m"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("target"),
         F.col("o_totalprice").cast("decimal(12,2)").alias("fire_intensity"),
         (key % 4).cast("int").alias("fire_confidence"),
@@ -200,7 +207,7 @@ def doubles(*names: str, prefix: str = "") -> str:
 
 PARTS = {
     "ev": """
-  SELECT event_id, user_id, event_type, ts, CAST(value AS DECIMAL(10,2)) AS v, date_trunc('hour', ts) AS h,
+  SELECT event_id, user_id, event_type, ts, CAST(value AS DECIMAL(8,2)) AS v, date_trunc('hour', ts) AS h,
          CAST(-325 + user_id % 20 AS DOUBLE) / 10 AS latitude, CAST(-650 + user_id // 20 AS DOUBLE) / 10 AS longitude
   FROM events""",
     "fires": """
@@ -212,7 +219,7 @@ PARTS = {
          max(v) AS temperature_2m,
          max(v) FILTER (WHERE event_id % 4 <> 0) AS relative_humidity_2m,
          min(v) FILTER (WHERE event_id % 7 <> 0) AS vapour_pressure_deficit,
-         CAST(coalesce(sum(v) FILTER (WHERE event_type = 'purchase'), 0) AS DECIMAL(10,2)) AS precipitation,
+         CAST(coalesce(sum(v) FILTER (WHERE event_type = 'purchase'), 0) AS DECIMAL(8,2)) AS precipitation,
          max(v) FILTER (WHERE event_id % 5 <> 0) AS wind_speed_10m,
          CAST(sum(event_id) % 360 AS DOUBLE) AS wind_direction_10m,
          max(v) AS wind_gusts_10m,
@@ -260,8 +267,8 @@ PARTS["complete_gold"] = _gold_sql("complete_weather")
 PARTS["orders_gold"] = """
   SELECT CAST(o_custkey AS VARCHAR) AS grid_id, o_orderdate AS timestamp_clima,
          CAST(-325 + o_custkey % 20 AS DOUBLE) / 10 AS latitude, CAST(-650 + o_custkey // 20 AS DOUBLE) / 10 AS longitude,
-         CAST(o_orderkey % 45 AS DECIMAL(10,2)) AS temperature_2m, CAST(o_orderkey % 37 AS DECIMAL(10,2)) AS wind_speed_10m,
-         CAST(o_orderkey % 100 AS DECIMAL(10,2)) AS relative_humidity_2m,
+         CAST(o_orderkey % 45 AS DECIMAL(8,2)) AS temperature_2m, CAST(o_orderkey % 37 AS DECIMAL(8,2)) AS wind_speed_10m,
+         CAST(o_orderkey % 100 AS DECIMAL(8,2)) AS relative_humidity_2m,
          CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target,
          CAST(o_totalprice AS DECIMAL(12,2)) AS fire_intensity, CAST(o_orderkey % 4 AS INTEGER) AS fire_confidence, o_orderkey
   FROM orders"""

@@ -12,7 +12,7 @@ from emberscope.operators.quality import schema_drift as drift_table
 from emberscope.plans.features import stateless_features
 from emberscope.plans.medallion import Tables, build
 from emberscope.session import fresh_dir
-from emberscope.sources.landing import document_variables, file_listing, landing_audit as audit_listing, read_payloads
+from emberscope.sources.landing import document_variables, file_listing, landing_audit as audit_listing, read_payloads, write_documents
 from emberscope.streaming.ingest import FileSource, ingest, ingest_all
 from emberscope.streaming.scoring import drain, forecast_stream, scored_stream
 
@@ -122,7 +122,7 @@ def _write_documents(spark, sf_dir):
         F.col("elevation").alias("elevation_val"),
         "hourly",
     )
-    named.write.option("maxRecordsPerFile", 1).json(path)
+    write_documents(named, path)
     return path
 
 

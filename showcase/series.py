@@ -96,7 +96,7 @@ _DRY = """
 )
 def dry_run(spark, sf_dir):
     """Hours without a measurement count as dry here, except at 13 h, where they stay unknown."""
-    assumed = F.when(F.hour(TS) != 13, F.lit(0).cast("decimal(10,2)"))
+    assumed = F.when(F.hour(TS) != 13, F.lit(0).cast("decimal(8,2)"))
     hourly = complete_gold(spark, sf_dir).select(*KEYS, TS, F.coalesce("precipitation", assumed).alias("precipitation"))
     return plain(R.dry_run(hourly, KEYS, TS, "precipitation").select(*KEYS, TS, "dry_hours"))
 

@@ -19,7 +19,7 @@ from emberscope.operators.frames import (
     over_time,
     row_index,
     rows_back,
-    running,
+    running_values,
     trailing,
 )
 
@@ -98,6 +98,20 @@ def test_over_rows(spark, gap):
         assert (None if r["t"] is None else float(r["t"])) == want
 
 
+def test_frames_and_running_values_in_one_pass(spark):
+    rows = series(9, 90, 0.2, nulls=0.3)
+    frames = [trailing("s", "n", "sum", 7 * HOUR), ahead("f", "n", "max", 4 * HOUR)]
+    extra = {"hi": ("max", F.col("n")), "total": ("sum", F.col("n"))}
+    got = over_time(frame(spark, rows), ["k"], "ts", frames, 10 * HOUR, extra).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        peers = [q for q in rows if q[0] == r["k"]]
+        before = [q[2] for q in peers if q[1] <= r["ts"]]
+        assert (r["hi"], r["total"]) == (pick("max", before), pick("sum", before))
+        assert r["s"] == pick("sum", [q[2] for q in peers if 0 <= seconds(r["ts"], q[1]) < 7 * HOUR])
+        assert r["f"] == pick("max", [q[2] for q in peers if 0 < seconds(q[1], r["ts"]) <= 4 * HOUR])
+
+
 def test_row_index(spark):
     rows = series(3, 100, 0.3)
     got = row_index(frame(spark, rows), ["k"], "ts", chunk_seconds=9 * HOUR).collect()
@@ -109,7 +123,7 @@ def test_row_index(spark):
 def test_running_and_last_known(spark):
     rows = series(4, 90, 0.2, nulls=0.5)
     df = frame(spark, rows)
-    got = running(
+    got = running_values(
         df, ["k"], "ts", {"hi": ("max", F.col("n")), "lo": ("min", F.col("n")), "total": ("sum", F.col("n"))}, 7 * HOUR
     )
     got = last_known(got, ["k"], "ts", "n", "known", 7 * HOUR).collect()
