@@ -59,11 +59,10 @@ def csv_stream(spark: SparkSession, path: str, schema: T.StructType, rescue: boo
 
 def json_stream(spark: SparkSession, path: str, schema: T.StructType, rescue: bool, multi_line: bool, options: dict) -> DataFrame:
     """JSON documents as a stream: one per file with ``multi_line``, else one per line."""
-    whole = str(multi_line).lower()
+    reader = spark.readStream.options(**{"pathGlobFilter": "*.json", **options})
     if not rescue:
-        defaults = {"pathGlobFilter": "*.json", "multiLine": whole}
-        return spark.readStream.schema(schema).options(**{**defaults, **options}).json(path)
-    texts = spark.readStream.options(**{"pathGlobFilter": "*.json", "wholetext": whole, **options}).text(path)
+        return reader.schema(schema).json(path, multiLine=multi_line)
+    texts = reader.text(path, wholetext=multi_line)
     return texts.select(*parse_json(F.col("value"), schema), "_metadata")
 
 

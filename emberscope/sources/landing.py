@@ -76,7 +76,7 @@ def split_payloads(payloads: DataFrame, text: str, marker: str = V.INVALID_MARKE
 
 def read_payloads(spark: SparkSession, path: str, suffix: str = ".csv") -> DataFrame:
     """Whole files as (value, source_filename)."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(path)
+    files = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
     return files.select("value", F.col("_metadata.file_path").alias("source_filename"))
 
 
