@@ -9,8 +9,9 @@ from .. import vocabulary as V
 
 
 def spread_index(wind: Column, temperature: Column, humidity: Column) -> Column:
-    """Wind times temperature, damped by humidity."""
-    return F.try_divide(wind * temperature, humidity + F.lit(1))
+    """Wind times temperature, damped by humidity, as DOUBLE."""
+    w, t, h = (c.cast("double") for c in (wind, temperature, humidity))
+    return F.try_divide(w * t, h + F.lit(1))
 
 
 def confidence_code(confidence: Column) -> Column:
@@ -42,8 +43,12 @@ def climate_segment(temperature: Column, wind: Column, humidity: Column) -> Colu
 
 
 def direction_of(mean_sin: Column, mean_cos: Column) -> Column:
-    """Direction in degrees, in [0, 360), of a mean unit vector."""
-    return F.pmod(F.degrees(F.atan2(mean_sin, mean_cos)) + F.lit(360.0), F.lit(360.0))
+    """Direction in degrees, in [0, 360), of a mean unit vector.
+
+    Null where the directions cancel out and any answer would be rounding noise.
+    """
+    direction = F.pmod(F.degrees(F.atan2(mean_sin, mean_cos)) + F.lit(360.0), F.lit(360.0))
+    return F.when(F.hypot(mean_sin, mean_cos) > F.lit(1e-9), direction)
 
 
 def mean_direction(degrees: Column) -> Column:

@@ -205,6 +205,13 @@ def doubles(*names: str, prefix: str = "") -> str:
     return ", ".join(f"CAST({prefix}{n} AS DOUBLE) AS {n}" for n in names)
 
 
+def mean_direction_sql(column: str) -> str:
+    """Circular mean to three digits; null where the directions cancel out."""
+    sin, cos = f"avg(sin(radians({column})))", f"avg(cos(radians({column})))"
+    mean = f"CAST(CAST((degrees(atan2({sin}, {cos})) + 360) % 360 AS DECIMAL(20,3)) AS DOUBLE)"
+    return f"CASE WHEN sqrt(pow({sin}, 2) + pow({cos}, 2)) > 1e-9 THEN {mean} END"
+
+
 PARTS = {
     "ev": """
   SELECT event_id, user_id, event_type, ts, CAST(value AS DECIMAL(8,2)) AS v, date_trunc('hour', ts) AS h,

@@ -17,7 +17,7 @@ from emberscope.streaming.ingest import FileSource, ingest, ingest_all
 from emberscope.streaming.scoring import drain, forecast_stream, scored_stream
 
 from .base import VARIABLES, doubles, plain, query, table, weather, with_sql
-from .series import CYCLES, six
+from .series import CYCLES, INDEX, six
 from .tables import new_schema
 
 EVENT_CSV = T.StructType(
@@ -167,7 +167,7 @@ def schema_drift(spark, sf_dir):
 @query(
     with_sql(
         "weather",
-        f"SELECT grid_id, timestamp_clima, {six('wind_speed_10m * temperature_2m / (relative_humidity_2m + 1)', 'fire_spread_index')}, {CYCLES} FROM w",
+        f"SELECT grid_id, timestamp_clima, {INDEX}, {CYCLES} FROM w",
         w=f"SELECT grid_id, timestamp_clima, {doubles('temperature_2m', 'wind_speed_10m', 'relative_humidity_2m')} FROM weather",
     )
 )
@@ -183,8 +183,8 @@ def forecast_scoring(spark, sf_dir):
     feed = forecast_stream(spark, feed_path, hours.schema)
     drain(scored_stream(feed, ["grid_id"], "timestamp_clima", stateless_features, "60 days"), out, state)
     scored = spark.read.parquet(out)
-    names = ["fire_spread_index", "hour_sin", "hour_cos", "month_sin", "month_cos"]
-    return plain(scored.select("grid_id", "timestamp_clima", *[F.col(n).cast("decimal(28,6)").alias(n) for n in names]))
+    names = ["hour_sin", "hour_cos", "month_sin", "month_cos"]
+    return plain(scored.select("grid_id", "timestamp_clima", "fire_spread_index", *[F.col(n).cast("decimal(28,6)").alias(n) for n in names]))
 
 
 _FULL = " AND ".join(f"{c} IS NOT NULL" for c in VARIABLES)
@@ -195,7 +195,7 @@ _FULL = " AND ".join(f"{c} IS NOT NULL" for c in VARIABLES)
         "gold",
         f"""SELECT cell AS grid_id, timestamp_clima, latitude, longitude, elevation, {doubles(*VARIABLES)}, target,
 {doubles('fire_intensity')}, fire_confidence, {six('precip_acum_7d', 'precip_acum_7d')}, {six('precip_acum_3d', 'precip_acum_3d')},
-{doubles('temp_max_3d')}, {six('CAST(wind_speed_10m AS DOUBLE) * CAST(temperature_2m AS DOUBLE) / (CAST(relative_humidity_2m AS DOUBLE) + 1)', 'fire_spread_index')}, {CYCLES}
+{doubles('temp_max_3d')}, {INDEX}, {CYCLES}
 FROM (SELECT *, CAST(latitude AS VARCHAR) || '_' || CAST(longitude AS VARCHAR) AS cell,
              sum(precipitation) OVER (w ROWS 168 PRECEDING) AS precip_acum_7d, sum(precipitation) OVER (w ROWS 72 PRECEDING) AS precip_acum_3d,
              max(temperature_2m) OVER (w ROWS 72 PRECEDING) AS temp_max_3d
@@ -235,5 +235,5 @@ def medallion_build(spark, sf_dir):
     if failed := status.filter("NOT ok").collect():
         raise RuntimeError(str(failed))
     out = spark.read.table(tables.gold_features)
-    rounded = ["precip_acum_7d", "precip_acum_3d", "fire_spread_index", "hour_sin", "hour_cos", "month_sin", "month_cos"]
+    rounded = ["precip_acum_7d", "precip_acum_3d", "hour_sin", "hour_cos", "month_sin", "month_cos"]
     return plain(out.withColumns({c: F.col(c).cast("decimal(28,6)") for c in rounded}))

@@ -20,6 +20,7 @@ from .base import (
     gold,
     gold_sql,
     located_events,
+    mean_direction_sql,
     plain,
     query,
     spine,
@@ -174,13 +175,12 @@ def nearest_cells(spark, sf_dir):
 @query(
     with_sql(
         "complete_gold",
-        """
+        f"""
 SELECT n.cell_id AS grid_id, g.timestamp_clima,
        CAST(sum(g.temperature_2m) AS DOUBLE) / CAST(nullif(count(g.temperature_2m), 0) AS DOUBLE) AS temperature_near,
        CAST(sum(g.precipitation) AS DOUBLE) / CAST(nullif(count(g.precipitation), 0) AS DOUBLE) AS precipitation_near,
        CAST(sum(g.target) AS BIGINT) AS fires_near,
-       CAST(CAST((degrees(atan2(avg(sin(radians(g.wind_direction_10m))), avg(cos(radians(g.wind_direction_10m))))) + 360) % 360
-            AS DECIMAL(20,3)) AS DOUBLE) AS wind_direction_near
+       {mean_direction_sql('g.wind_direction_10m')} AS wind_direction_near
 FROM nearest AS n JOIN complete_gold AS g ON g.grid_id = n.neighbour
 GROUP BY n.cell_id, g.timestamp_clima""",
         cells=_CELLS,

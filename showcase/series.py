@@ -8,7 +8,7 @@ from emberscope.functions.timekeys import HOUR
 from emberscope.operators import frames as R
 from emberscope.plans.features import ROLLING, block_features, gold_features, memory_features
 
-from .base import GOLD_COLUMNS, VARIABLES, complete_gold, doubles, gold, plain, query, table, weather, with_sql
+from .base import GOLD_COLUMNS, VARIABLES, complete_gold, doubles, gold, mean_direction_sql, plain, query, table, weather, with_sql
 
 KEYS, TS = ["grid_id"], "timestamp_clima"
 _ROLL = """
@@ -101,7 +101,7 @@ def dry_run(spark, sf_dir):
     return plain(R.dry_run(hourly, KEYS, TS, "precipitation").select(*KEYS, TS, "dry_hours"))
 
 
-_BLOCK = """
+_BLOCK = f"""
   SELECT grid_id, time_bucket(INTERVAL 6 HOUR, timestamp_clima, TIMESTAMP '2000-01-01') AS block_start, count(*) AS hours_in_block,
          CAST(sum(temperature_2m) AS DOUBLE) / CAST(nullif(count(temperature_2m), 0) AS DOUBLE) AS temperature_2m,
          CAST(sum(relative_humidity_2m) AS DOUBLE) / CAST(nullif(count(relative_humidity_2m), 0) AS DOUBLE) AS relative_humidity_2m,
@@ -109,7 +109,7 @@ _BLOCK = """
          CAST(sum(wind_speed_10m) AS DOUBLE) / CAST(nullif(count(wind_speed_10m), 0) AS DOUBLE) AS wind_speed_10m,
          CAST(sum(precipitation) AS DOUBLE) AS precipitation, CAST(sum(et0_fao_evapotranspiration) AS DOUBLE) AS et0_fao_evapotranspiration,
          CAST(max(wind_gusts_10m) AS DOUBLE) AS wind_gusts_10m, max(target) AS target,
-         CAST(CAST((degrees(atan2(avg(sin(radians(wind_direction_10m))), avg(cos(radians(wind_direction_10m))))) + 360) % 360 AS DECIMAL(20,3)) AS DOUBLE) AS wind_direction_10m
+         {mean_direction_sql('wind_direction_10m')} AS wind_direction_10m
   FROM gold GROUP BY 1, 2"""
 _MODE = """
   SELECT grid_id, block_start, weather_code FROM (
@@ -164,6 +164,7 @@ def six(expr: str, name: str) -> str:
     return f"CAST(CAST({expr} AS DECIMAL(28,6)) AS DOUBLE) AS {name}"
 
 
+INDEX = "CAST(wind_speed_10m AS DOUBLE) * CAST(temperature_2m AS DOUBLE) / (CAST(relative_humidity_2m AS DOUBLE) + 1) AS fire_spread_index"
 CYCLES = ", ".join(
     [
         six("sin(2 * pi() * hour(timestamp_clima) / 24)", "hour_sin"),
@@ -180,7 +181,7 @@ _REST = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in VARIABLES)
     with_sql(
         "gold",
         f"""SELECT grid_id, timestamp_clima, latitude, longitude, elevation, {_REST}, target, {doubles('fire_intensity')}, fire_confidence,
-{doubles(*_ROLL_NAMES)}, {six('CAST(wind_speed_10m AS DOUBLE) * CAST(temperature_2m AS DOUBLE) / (CAST(relative_humidity_2m AS DOUBLE) + 1)', 'fire_spread_index')}, {CYCLES}
+{doubles(*_ROLL_NAMES)}, {INDEX}, {CYCLES}
 FROM rolled WHERE {_COMPLETE}""",
         rolled=_ROLL.format(source="gold"),
     )
@@ -188,7 +189,7 @@ FROM rolled WHERE {_COMPLETE}""",
 def feature_table(spark, sf_dir):
     """The labelled table with all coded features, without rows that lack a value."""
     built = gold_features(gold(spark, sf_dir))
-    rounded = ["fire_spread_index", "hour_sin", "hour_cos", "month_sin", "month_cos"]
+    rounded = ["hour_sin", "hour_cos", "month_sin", "month_cos"]
     return plain(built.withColumns({c: F.col(c).cast("decimal(28,6)") for c in rounded}))
 
 
