@@ -109,7 +109,8 @@ def _over_positions(
     else:
         copies = staged.withColumn(CHUNK, F.col(HOME))
     if running:
-        copies = copies.join(_carried(staged, group, running), [*group, CHUNK], "left")
+        # Hashing the few summaries spares the rows the sort a merge join asks for.
+        copies = copies.join(_carried(staged, group, running).hint("shuffle_hash"), [*group, CHUNK], "left")
 
     order = Window.partitionBy(*group, CHUNK).orderBy(POS)
     upto = lambda end: order.rangeBetween(Window.unboundedPreceding, end)
@@ -215,7 +216,7 @@ def row_index(
     earlier = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, CHUNK, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"))
     within = Window.partitionBy(*group, CHUNK).orderBy(ts)
-    indexed = cut.join(offsets, [*group, CHUNK], "left")
+    indexed = cut.join(offsets.hint("shuffle_hash"), [*group, CHUNK], "left")
     return indexed.select(*columns, (F.col("__offset") + F.row_number().over(within)).alias(name))
 
 
