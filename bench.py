@@ -22,7 +22,7 @@ HEADLINE = [
     "label_join",
     "orphan_fires",
     "grid_snap_join",
-    "neighbour_means",
+    "neighbour_mean",
     "rolling_rows",
     "rolling_time",
     "horizon_label",

@@ -20,14 +20,14 @@ from .silver import silver_fires, silver_grid, silver_weather
 class Tables:
     """Names of the tables in their layers."""
 
-    landing_grid: str = "`00_landing`.aux_grid_master"
-    bronze_fires: str = "`01_bronze`.bronze_nasa_firms"
-    bronze_weather: str = "`01_bronze`.bronze_open_meteo"
-    silver_grid: str = "`02_silver`.silver_grid_master"
-    silver_fires: str = "`02_silver`.silver_nasa_firms"
-    silver_weather: str = "`02_silver`.silver_open_meteo"
-    gold_full: str = "`03_gold`.gold_dataset_full"
-    gold_features: str = "`03_gold`.gold_dataset_features"
+    landing_grid: str = V.TABLE_NAMES["landing_grid"]
+    bronze_fires: str = V.TABLE_NAMES["bronze_fires"]
+    bronze_weather: str = V.TABLE_NAMES["bronze_weather"]
+    silver_grid: str = V.TABLE_NAMES["silver_grid"]
+    silver_fires: str = V.TABLE_NAMES["silver_fires"]
+    silver_weather: str = V.TABLE_NAMES["silver_weather"]
+    gold_full: str = V.TABLE_NAMES["gold_full"]
+    gold_features: str = V.TABLE_NAMES["gold_features"]
 
 
 def build(

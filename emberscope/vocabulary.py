@@ -11,6 +11,17 @@ from pyspark.sql import types as T
 
 LAYERS = ["00_landing", "01_bronze", "02_silver", "03_gold"]
 
+TABLE_NAMES = {
+    "landing_grid": "`00_landing`.aux_grid_master",
+    "bronze_fires": "`01_bronze`.bronze_nasa_firms",
+    "bronze_weather": "`01_bronze`.bronze_open_meteo",
+    "silver_grid": "`02_silver`.silver_grid_master",
+    "silver_fires": "`02_silver`.silver_nasa_firms",
+    "silver_weather": "`02_silver`.silver_open_meteo",
+    "gold_full": "`03_gold`.gold_dataset_full",
+    "gold_features": "`03_gold`.gold_dataset_features",
+}
+
 CLIMATE_VARIABLES = [
     "temperature_2m",
     "relative_humidity_2m",

@@ -186,7 +186,8 @@ def point_lookup(spark, sf_dir):
 SELECT count(*) FILTER (WHERE target = 0) AS negatives, count(*) FILTER (WHERE target = 1) AS positives,
        CAST(count(*) FILTER (WHERE target = 0) AS DOUBLE) / nullif(CAST(count(*) FILTER (WHERE target = 1) AS DOUBLE), 0) AS ratio
 FROM orders_gold""",
-    )
+    ),
+    name="class_ratio",
 )
 def class_balance(spark, sf_dir):
     return class_ratio(orders_gold(spark, sf_dir))

@@ -67,7 +67,8 @@ def ingest_inferred(spark, sf_dir):
 @query(
     """
 SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id, event_type, value,
-       event_id % 5 = 0 OR event_id % 7 = 0 AS rescued FROM events"""
+       event_id % 5 = 0 OR event_id % 7 = 0 AS rescued FROM events""",
+    name="rescue_stream",
 )
 def rescue_csv(spark, sf_dir):
     """Rows with a surplus field or an unreadable number keep their good fields and their raw line."""

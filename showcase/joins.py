@@ -185,7 +185,8 @@ FROM nearest AS n JOIN complete_gold AS g ON g.grid_id = n.neighbour
 GROUP BY n.cell_id, g.timestamp_clima""",
         cells=_CELLS,
         nearest=_NEAREST,
-    )
+    ),
+    name="neighbour_mean",
 )
 def neighbour_means(spark, sf_dir):
     """Mean climate and number of fires of the eight nearest cells at the same hour."""

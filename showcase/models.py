@@ -35,7 +35,7 @@ def _parts(spark, sf_dir):
     return [docs.filter(F.col("split") == s) for s in ("train", "validation", "test")]
 
 
-@query()
+@query(name="forest_fit")
 def forest_scores(spark, sf_dir):
     train, _, test = _parts(spark, sf_dir)
     model = fit_forest(train, FEATURES, positive_weight=3.0, trees=20, depth=5)

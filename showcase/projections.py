@@ -171,7 +171,8 @@ def safe_cast(spark, sf_dir):
 
 @query(
     """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * l_extendedprice / (l_discount + 1) AS fire_spread_index FROM lineitem"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * l_extendedprice / (l_discount + 1) AS fire_spread_index FROM lineitem""",
+    name="spread_index",
 )
 def spread_index_lines(spark, sf_dir):
     index = spread_index(F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"))

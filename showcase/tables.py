@@ -45,7 +45,9 @@ def table_lifecycle(spark, sf_dir):
     return read_table(spark, name)
 
 
-@query("SELECT * FROM lineitem")
+@query("SELECT * FROM lineitem",
+    name="layout_morton",
+)
 def layout_zorder(spark, sf_dir):
     """Line items stored along a Z-order curve of part and supplier, then read back."""
     path = fresh_dir(spark, "zorder")

@@ -169,6 +169,13 @@ def test_features_keep_the_first_week_and_drop_incomplete_rows(spark):
     assert r.fire_spread_index == pytest.approx(r.wind_speed_10m * r.temperature_2m / (r.relative_humidity_2m + 1))
 
 
+def test_rows_equal_hours_without_gaps(spark):
+    gold = gold_full(weather(spark, [("a", -31.2, -64.4), ("b", -31.3, -64.4)], hours=400), silver_fires(fires(spark, [])))
+    by_rows, by_hours = gold_features(gold), gold_features(gold, gap_free=True)
+    assert by_rows.count() == 800
+    assert by_rows.exceptAll(by_hours).isEmpty() and by_hours.exceptAll(by_rows).isEmpty()
+
+
 def test_cyclic_encoding(spark):
     df = spark.createDataFrame([(dt.datetime(2020, 12, 1, 6), 1.0, 1.0, -1.0)], "timestamp_clima timestamp, wind_speed_10m double, temperature_2m double, relative_humidity_2m double")
     r = stateless_features(df).first()

@@ -51,6 +51,22 @@ def test_ingest_is_incremental_and_ignores_other_files(spark, tmp_path, schema):
     assert batch.exceptAll(spark.read.table(src.table).select(*V.FIRE_SCHEMA.fieldNames())).isEmpty()
 
 
+def test_rows_of_many_batches_are_all_counted(spark, tmp_path, schema):
+    src = source(tmp_path, schema, options={"maxFilesPerTrigger": "1"})
+    for i in range(3):
+        put(src.path, f"a{i}.csv", HEADER, *["-31.2,-64.4,2020-01-01,5,n,1.5"] * (i + 1))
+    key = "spark.sql.streaming.numRecentProgressUpdates"
+    kept = spark.conf.get(key)
+    try:
+        assert ingest(spark, src) == 6
+        spark.conf.set(key, "1")
+        put(src.path, "b.csv", HEADER, "-31.2,-64.4,2020-01-02,5,n,1.5")
+        put(src.path, "c.csv", HEADER, "-31.2,-64.4,2020-01-02,5,n,1.5")
+        assert ingest(spark, src) == 2
+    finally:
+        spark.conf.set(key, kept)
+
+
 def test_csv_rescue_keeps_the_raw_line(spark, tmp_path, schema):
     src = source(tmp_path, schema)
     put(src.path, "a.csv", HEADER, "-31.2,-64.4,2020-01-01,5,n,1.5", "-31.3,-64.4,2020-01-01,late,n,1.5", "-31.4,-64.4,2020-01-01,7,n,1.5,extra")

@@ -69,6 +69,7 @@ def main() -> None:
     timed("label_join", gold_full(weather, fires))
     gold = materialize(gold_full(weather, fires), "gold")
     timed("coded_features", gold_features(gold))
+    timed("coded_features_gap_free", gold_features(gold, gap_free=True))
     timed("memory_features", memory_features(gold))
     print(json.dumps({"rows": weather.count(), "fires": fires.count(), "hot": args.hot, "seconds": seconds}))
 
