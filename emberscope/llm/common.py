@@ -122,6 +122,19 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, bounds
 
 
+def chunks(texts: list, size: int = 4 << 20) -> list[tuple[int, int]]:
+    """Ranges of texts with about ``size`` characters each, to bound the memory of a step."""
+    out, begin, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= size:
+            out.append((begin, i + 1))
+            begin, held = i + 1, 0
+    if begin < len(texts):
+        out.append((begin, len(texts)))
+    return out
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words, by the place of its first word."""
     if len(words) < size:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, token_output, url_filter
+from . import decontaminate, langid, line_dedup, mixing, near_dedup, substring_dedup, token_output, url_filter
 from .common import read, remainder
 from .registry import REGISTRY, query
 
@@ -28,6 +28,23 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(manifest)
 
 
+# --- 4: repeated passages ----------------------------------------------------
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+# --- 5: near duplicates ------------------------------------------------------
+
+
+@query()
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 # --- 6: mixing ---------------------------------------------------------------
 
 MIX_POWER, MIX_SEED = 0.5, "mix"
