@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, mixing, near_dedup, substring_dedup, token_output, url_filter
+from . import decontaminate, langid, line_dedup, lm_score, mixing, near_dedup, substring_dedup, token_output, url_filter
 from .common import read, remainder
 from .registry import REGISTRY, query
 
 __all__ = ["REGISTRY"]
 
+# --- 1: language-model scores ------------------------------------------------
+
+
+@query()
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm_score.score_texts(docs, F.coalesce(remainder(F.col("doc_id"), 7) != 2, F.lit(True)))
+
+
 # --- 3: token ids ------------------------------------------------------------
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
