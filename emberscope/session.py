@@ -64,3 +64,39 @@ def materialize(df, purpose: str):
     path = fresh_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is; a missing one is no error."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Intermediate tables of one job, removed as soon as nothing reads them any more.
+
+    ``put`` writes a table and reads it back; ``clear`` removes all but the named ones. The results
+    a caller gets stand in tables of their own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[object, str]] = {}
+
+    def put(self, df, purpose: str):
+        path = fresh_dir(self.spark, purpose)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables) -> None:
+        for table in tables:
+            held = self._paths.pop(id(table), None)
+            if held:
+                remove_dir(self.spark, held[1])
+
+    def clear(self, *but) -> None:
+        keep = {id(t) for t in but}
+        self.drop(*[t for k, (t, _) in self._paths.items() if k not in keep])
