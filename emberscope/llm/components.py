@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.session import materialize
+from emberscope.session import Scratch
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -30,18 +30,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) for every node with a link; the label is the smallest node of its component.
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) for every node with a link, as a table; the label is the smallest node of its component.
 
     ``links``: two columns of the same type, in any direction; nulls and loops are ignored.
     """
-    edges = links.toDF("u", "v").filter("u <> v")
-    edges = materialize(_small_star(edges), "stars")
+    edges = scratch.put(_small_star(links.toDF("u", "v").filter("u <> v")), "stars")
     seen = _print(edges)
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, scratch.put(_small_star(_large_star(edges)), "stars")
+        scratch.drop(last)
         now = _print(edges)
         if now == seen:
             roots = edges.select("v").distinct()
-            return edges.toDF("node", "label").union(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
+            out = scratch.put(edges.toDF("node", "label").union(roots.select(F.col("v").alias("node"), F.col("v").alias("label"))), "labels")
+            scratch.drop(edges)
+            return out
         seen = now

@@ -33,9 +33,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberscope.session import materialize
+from emberscope.session import Scratch
 
-from .common import lower_text, mix, ship, window_hashes, word_hashes
+from .common import free_name, lower_text, mix, ship, window_hashes, word_hashes
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -149,30 +149,30 @@ def _verifier(similarity: float):
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) for each row: the smallest id of the documents it is linked with, directly or not."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     whole = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     named = whole.select("doc_id", F.md5(F.col("text").cast("binary")).alias("content"))
     first = named.groupBy("content").agg(F.min("doc_id").alias("node"))
     # equal texts, and then rows with the same id, are one node
-    members = materialize(named.join(first, "content").select("doc_id", "node").distinct(), "members")
+    members = scratch.put(named.join(first, "content").select("doc_id", "node").distinct(), "members")
     nodes = members.filter("doc_id = node").select("node").distinct()
 
     sketched = whole.mapInPandas(_sketch, "doc_id long, keys array<long>")
-    sketched = materialize(sketched.join(nodes, F.col("doc_id") == F.col("node"), "left_semi"), "sketches")
+    sketched = scratch.put(sketched.join(nodes, F.col("doc_id") == F.col("node"), "left_semi"), "sketches")
     keyed = sketched.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    buckets = materialize(keyed.join(shared, "key"), "buckets")
+    buckets = scratch.put(keyed.join(shared, "key"), "buckets")
     wanted = buckets.select("node").distinct()
     words = whole.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInPandas(_words, "node long, words binary")
-    words = materialize(words, "words")
+    words = scratch.put(words, "words")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
         both = left.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
         scored = both.select("a", "b", "wa", "wb").mapInPandas(_verifier(similarity), "a long, b long, similarity double")
-        return materialize(scored, "verified")
+        return scratch.put(scored, "verified")
 
     def pair(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -182,19 +182,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # an id that stands for several texts ties them together
     tied = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top")
     tied = members.join(tied, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
-    labels = materialize(components(links.unionByName(tied)), "labels")
+    labels = components(links.unionByName(tied), scratch)
     tried = buckets.filter("node = leader").select("key", F.col("node").alias("lead")).distinct()
     while True:
         placed = buckets.join(labels, "node", "left").select("key", "node", "leader", F.coalesce("label", "node").alias("part"))
         parts = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"))
         # in a bucket of two, the only pair was the first
-        placed = materialize(placed.join(parts.filter("low < high AND n > 2").select("key"), "key"), "open")
+        placed = scratch.put(placed.join(parts.filter("low < high AND n > 2").select("key"), "key"), "open")
         home = placed.filter("node = leader").select("key", F.col("part").alias("home"))
         stray = placed.join(home, "key").filter("part <> home").select("key", F.col("node").alias("lead"), F.col("part").alias("lead_part"))
         # each task keeps only the first few of a bucket before the shuffle
         rank = F.row_number().over(Window.partitionBy("key").orderBy("lead"))
         leaders = stray.join(tried, ["key", "lead"], "left_anti").withColumn("rank", rank).filter(F.col("rank") <= LEADERS).drop("rank")
-        leaders = materialize(leaders, "leaders")
+        leaders = scratch.put(leaders, "leaders")
         if leaders.isEmpty():
             break
         pairs = placed.join(leaders, "key").filter("part <> lead_part").select(*pair("lead", "node")).distinct()
@@ -203,17 +203,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = more.filter(F.col("similarity") >= similarity).select("a", "b")
         if not links.isEmpty():
             known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
-            labels = materialize(components(known.unionByName(links)), "labels")
+            last, labels = labels, components(known.unionByName(links), scratch)
+            scratch.drop(last)
     classes = members.join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
-    return rows.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = rows.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = scratch.put(out, "classes")
+    scratch.clear(out)
+    return out
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id.
 
-    Of rows with the same id one stays, unless the id is null or the text is null.
+    Of rows with the same id the one whose text sorts first stays. Rows with a null id or a null text all stay.
     """
     classes = near_duplicates(docs, doc_id, text, similarity).filter("class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(classes, docs[doc_id] == classes["__gone"], "left_anti")
+    tie, rank = free_name(docs, "__tie"), free_name(docs, "__rank")
     alone = F.col(doc_id).isNull() | F.col(text).isNull()
-    return kept.filter(alone).unionByName(kept.filter(~alone).dropDuplicates([doc_id]))
+    kept = kept.withColumn(tie, F.when(alone, F.monotonically_increasing_id()).otherwise(-1))
+    first = F.row_number().over(Window.partitionBy(doc_id, tie).orderBy(text))
+    return kept.withColumn(rank, first).filter(F.col(rank) == 1).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, lm_score, mixing, near_dedup, substring_dedup, token_output, url_filter
+from . import ann, decontaminate, langid, line_dedup, lm_score, mixing, near_dedup, substring_dedup, token_output, url_filter
 from .common import read, remainder
 from .registry import REGISTRY, query
 
@@ -20,6 +20,15 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(docs, F.coalesce(remainder(F.col("doc_id"), 7) != 2, F.lit(True)))
 
 
+# --- 2: nearest neighbours ---------------------------------------------------
+
+
+@query()
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 # --- 3: token ids ------------------------------------------------------------
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2

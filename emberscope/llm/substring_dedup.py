@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.session import materialize
+from emberscope.session import Scratch
 
 from .common import _INV, _ODD, chunks, free_name, mix, powers, ship, window_hashes, word_hashes
 from .fm_index import FMIndex
@@ -165,12 +165,13 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ``row`` is Spark's 32-bit hash of the text, which tells rows with equal ids apart.
     """
     ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     rows = _rows(docs, doc_id, text)
     cut = rows.mapInPandas(_cut(window, run), _STRETCH)
     often = cut.groupBy("run").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("run")
-    found = materialize(cut.join(often, "run"), "stretches")
+    found = scratch.put(cut.join(often, "run"), "stretches")
     order = F.min(F.struct("doc_id", "start", "row")).alias("at")
-    first = materialize(found.groupBy("run", "content", "n").agg(order), "first")
+    first = scratch.put(found.groupBy("run", "content", "n").agg(order), "first")
     later = found.join(first, ["run", "content", "n"]).filter("doc_id > at.doc_id OR doc_id = at.doc_id AND start > at.start")
     cover = later.select("doc_id", "row", F.col("start").alias("begin"), (F.col("start") + F.col("n") + (window - 1)).alias("end"))
 
@@ -179,7 +180,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # bounded by the length of the document
     listed = listed.groupBy("doc_id", "row").agg(F.collect_list(F.struct("run", "start", "n", "crowded")).alias("list"))
     listed = rows.join(listed, ["doc_id", "row"]).select("doc_id", "row", "text", "list")
-    fetched = materialize(listed.mapInPandas(_fetch(window), "run long, doc_id long, row int, start int, words binary"), "fetched")
+    fetched = scratch.put(listed.mapInPandas(_fetch(window), "run long, doc_id long, row int, start int, words binary"), "fetched")
 
     single = fetched.filter("words IS NULL")
     earliest = single.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("at"))
@@ -191,7 +192,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     shards = max(1, -(-total // (8 * shard_words)))
     dealt = indexed.withColumn("shard", F.pmod(F.xxhash64("run"), F.lit(shards)))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "start", "row")
-    return cover.unionByName(dealt.mapInPandas(_search(window), _COVER))
+    cover = scratch.put(cover.unionByName(dealt.mapInPandas(_search(window), _COVER)), "cover")
+    scratch.clear(cover)
+    return cover
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
