@@ -14,7 +14,7 @@ Null texts are empty: they hold only the end id. Null ids come first. Documents
 stand next to each other in any order. An empty table gives an empty manifest.
 
 Words between ASCII white space are encoded one by one by the tokenizers library and kept
-in a cache of bounded size. The tokenizer must not join ids over white space, which is verified on
+in a cache that is cut back to the words in use. The tokenizer must not join ids over white space, which is verified on
 its description (``splits_at_space``); otherwise whole texts are encoded.
 """
 
@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 from emberscope.session import fresh_dir
 
-from .common import WORD, ship
+from .common import WORD, chunks, ship
 from .eliasfano import EliasFano, encode
 
 MAGIC = b"TIDS"
 HEAD = struct.Struct("<4sHHQQQ")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 FILE_TOKENS = 4 << 20
 _PUNCTUATION = ".,;:!?"
 
@@ -75,40 +75,57 @@ class Encoder:
         self.lower = any(s.get("type") == "Lowercase" for s in (description.get("normalizer") or {}).get("normalizers", []))
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        suffix = description["model"].get("end_of_word_suffix")
+        # ids that close a word, if the vocabulary tells them apart
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        if suffix:
+            self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
+    def _texts(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """Letters and the punctuation after them never form an id together."""
+    def _pieces(self, word: str) -> tuple[str, ...]:
+        """Parts that are encoded alone: letters, and the punctuation after them, never form an id together."""
         stem = word.rstrip(_PUNCTUATION)
-        if len(stem) == len(word) or not stem.isalpha():
-            if self.lower and word.isascii() and word.isalpha() and not word.islower():
-                return self._cached(word.lower())
-            return self._ids(word)
-        return self._cached(stem) + self._cached(word[len(stem) :])
-
-    def _cached(self, word: str) -> bytes:
-        out = self.cache.get(word)
-        if out is None:
-            out = self._word(word)
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            if len(word) <= 64:
-                self.cache[word] = out
+        if not stem.isalpha():
+            return (word,)
+        if self.lower and stem.isascii():
+            stem = stem.lower()
+        return (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces; words of letters are encoded many in one text and cut where a word closes."""
+        out: dict[str, bytes] = {}
+        letters = [p for p in pieces if p.isalpha()] if self.closes.any() else []
+        groups = [letters[i : i + 1000] for i in range(0, len(letters), 1000)]
+        for group, ids in zip(groups, self._texts([" ".join(g) for g in groups])):
+            cuts = np.flatnonzero(self.closes[ids]) + 1
+            if len(cuts) == len(group) and (not len(ids) or cuts[-1] == len(ids)):
+                out.update(zip(group, (part.tobytes() for part in np.split(ids, cuts[:-1]))))
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, (ids.tobytes() for ids in self._texts(rest))))
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
-            return self._ids(text)
-        words = WORD.findall(text)
-        get = self.cache.get
-        parts = [get(w) for w in words]
-        if None in parts:
-            parts = [self._cached(w) if p is None else p for w, p in zip(words, parts)]
-        return b"".join(parts)
+            return [ids.tobytes() for ids in self._texts([t or "" for t in texts])]
+        words = [WORD.findall(t) if t else [] for t in texts]
+        seen = set().union(*words)
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = {w: self.cache[w] for w in seen if w in self.cache}
+        cache = self.cache
+        parts = {w: self._pieces(w) for w in seen if w not in cache}
+        pieces = set().union(*parts.values())
+        ids = {p: cache[p] for p in pieces if p in cache}
+        fresh = self._learn({p for p in pieces if p not in ids})
+        ids |= fresh
+        cache |= fresh
+        for w, own in parts.items():
+            cache[w] = b"".join([ids[p] for p in own])
+        return [b"".join([cache[w] for w in own]) for own in words]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -210,8 +227,10 @@ def write_tokens(
             return pd.DataFrame({"file": [name], "n_docs": [len(ids)], "n_ids": [held]})
 
         for frame in parts:
-            for d, none, t in zip(frame["doc_id"], frame["none"], frame["text"]):
-                b = encoding.encode(t) + end
+            texts = frame["text"].tolist()
+            coded = (b for x, y in chunks(texts) for b in encoding.encode_all(texts[x:y]))
+            for d, none, b in zip(frame["doc_id"], frame["none"], coded):
+                b += end
                 if ids and held + len(b) // width > file_tokens:
                     yield flush()
                     names, ids, held, k = [], [], 0, k + 1
