@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ASCII_LOWER = str.maketrans(UPPER, LOWER)
+_ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _shipped: set[str] = set()
 
 
@@ -55,7 +55,10 @@ def lower_ascii(column: Column) -> Column:
 
 def lower_text(text: str) -> str:
     """A-Z in lower case, all else unchanged."""
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+    if text.isascii():
+        return text.lower()
+    # bytes of other characters are never those of A-Z
+    return text.encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).decode("utf-8", "surrogatepass")
 
 
 def remainder(column: Column, n: int) -> Column:
@@ -86,6 +89,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MUL)
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_ODD, -1, 1 << 64)
+#: Bytes hashed in one step.
+_BLOCK = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -106,8 +111,29 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     The second array has one entry more than there are texts. Null has no words.
     """
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+    joined = b" ".join(raw) + b" "
+    data = np.frombuffer(joined, dtype=np.uint8)
     ends_of_text = np.cumsum([len(r) + 1 for r in raw])
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        end = min(at + _BLOCK, len(data))
+        if end < len(data) and not _SPACE[data[end - 1]]:  # a block ends behind a word
+            space = _SPACE[data[at:end]]
+            last = np.flatnonzero(space)
+            while not len(last):
+                begin, end = end, min(end + _BLOCK, len(data))
+                last = np.flatnonzero(_SPACE[data[begin:end]]) + begin - at
+            end = at + int(last[-1]) + 1
+        s, h = _block_hashes(data[at:end])
+        starts.append(s + at)
+        hashes.append(h)
+        at = end
+    bounds = np.searchsorted(np.concatenate(starts), np.concatenate([[0], ends_of_text]))
+    return np.concatenate(hashes), bounds
+
+
+def _block_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the words of a piece of text that ends with white space."""
     space = _SPACE[data]
     before = np.empty(len(space), dtype=bool)
     before[0] = True
@@ -117,12 +143,10 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     # sum of byte codes times odd powers; the power of the first byte is divided out again
     total = np.cumsum(_BYTE[data] * powers(_ODD, len(data)))
     first = np.where(starts > 0, total[starts - 1], np.uint64(0))
-    hashes = mix((total[ends - 1] - first) * powers(_INV, len(data))[starts] + (ends - starts).astype(np.uint64))
-    bounds = np.searchsorted(starts, np.concatenate([[0], ends_of_text]))
-    return hashes, bounds
+    return starts, mix((total[ends - 1] - first) * powers(_INV, len(data))[starts] + (ends - starts).astype(np.uint64))
 
 
-def chunks(texts: list, size: int = 4 << 20) -> list[tuple[int, int]]:
+def chunks(texts: list, size: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of texts with about ``size`` characters each, to bound the memory of a step."""
     out, begin, held = [], 0, 0
     for i, t in enumerate(texts):

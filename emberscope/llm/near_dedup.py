@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from emberscope.session import Scratch
 
-from .common import free_name, lower_text, mix, ship, window_hashes, word_hashes
+from .common import chunks, free_name, lower_text, mix, ship, window_hashes, word_hashes
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -71,7 +71,7 @@ def sketches(x: np.ndarray, take: int, number: int, salt: int) -> np.ndarray:
     if n <= take:
         chosen = np.broadcast_to(np.arange(n), (number, n))
         return _fold(x[chosen], seeds)
-    step = max(1, (1 << 20) // n)
+    step = max(1, (1 << 17) // n)
     for a in range(0, number, step):
         s = seeds[a : a + step, None]
         h = (x[None, :] ^ s) * (s | np.uint64(1))
@@ -110,12 +110,21 @@ def chain(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
     return common / (n + m - common)
 
 
-def _sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hashed(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Ids of some documents and the 32-bit hashes of their words."""
     for part in parts:
-        words, bounds = word_hashes([lower_text(t) for t in part["text"]])
+        texts, ids = part["text"].tolist(), part["doc_id"].to_numpy()
+        for a, b in chunks(texts):
+            words, bounds = word_hashes([lower_text(t) for t in texts[a:b]])
+            words = words.astype("<u4")
+            yield ids[a:b], [words[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+
+
+def _sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for ids, documents in _hashed(parts):
         keys = []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            x = shingles_of(words[a:b].astype(np.uint32).astype(np.uint64))
+        for words in documents:
+            x = shingles_of(words.astype(np.uint64))
             if not len(x):
                 keys.append(np.zeros(0, dtype=np.int64))
                 continue
@@ -123,14 +132,12 @@ def _sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(x) <= SHORT:
                 own = np.concatenate([own, sketches(x, SHORT_TAKE, SHORT_SKETCHES, 2)])
             keys.append(own.view(np.int64))
-        yield pd.DataFrame({"doc_id": part["doc_id"], "keys": keys})
+        yield pd.DataFrame({"doc_id": ids, "keys": keys})
 
 
 def _words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        words, bounds = word_hashes([lower_text(t) for t in part["text"]])
-        words = words.astype("<u4")
-        yield pd.DataFrame({"node": part["doc_id"], "words": [words[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]})
+    for ids, documents in _hashed(parts):
+        yield pd.DataFrame({"node": ids, "words": [w.tobytes() for w in documents]})
 
 
 def _verifier(similarity: float):
