@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberscope.llm import decontaminate, langid, mixing, near_dedup, token_output
-from emberscope.llm.common import read
+from emberscope.llm.common import free_name, read
 from emberscope.llm.queries import END_ID, MIX_POWER, MIX_SEED, tokenizer_path
 from emberscope.session import fresh_dir, pin_utc
 
@@ -17,8 +17,9 @@ LEAST_COSINE = 0.02
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without a letter or unlike every language go."""
     prototypes = langid.learn(docs)
-    said = langid.predict(docs, prototypes)
-    return docs.withColumn("__said", said).filter((F.col("__said.lang_pred") != langid.UNKNOWN) & (F.col("__said.score") >= LEAST_COSINE)).drop("__said")
+    said = free_name(docs, "__said")
+    judged = docs.withColumn(said, langid.predict(docs, prototypes))
+    return judged.filter((F.col(f"{said}.lang_pred") != langid.UNKNOWN) & (F.col(f"{said}.score") >= LEAST_COSINE)).drop(said)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,12 +86,13 @@ def mix(docs: DataFrame, table: DataFrame, seed: str = "mix", doc_id: str = "doc
     """
     made = ("rate", "copies", "copy_no")
     kept = [c for c in docs.columns if c.lower() not in made]
-    own = materialize(table.select(F.col("source").alias("__source"), F.col("rate").alias("__rate")), "rates")
+    name, rate = free_name(docs, "__source"), free_name(docs, "__rate")
+    own = materialize(table.select(F.col("source").alias(name), F.col("rate").alias(rate)), "rates")
     if own.count() <= BROADCAST_SOURCES:
         own = F.broadcast(own)
-    rated = docs.join(own, docs[source].eqNullSafe(own["__source"]), "left")
+    rated = docs.join(own, docs[source].eqNullSafe(own[name]), "left")
     key = F.col(doc_id)
-    counted = rated.select(*kept, F.col("__rate").alias("rate"), poisson_count(seed, F.col("__rate"), key).alias("copies")).filter("copies > 0")
+    counted = rated.select(*kept, F.col(rate).alias("rate"), poisson_count(seed, F.col(rate), key).alias("copies")).filter("copies > 0")
     copies = counted.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy_no"))
     if not shuffle:
         return copies.select(*kept, *made)

@@ -224,8 +224,9 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Of rows with the same id the one whose text sorts first stays. Rows with a null id or a null text all stay.
     """
-    classes = near_duplicates(docs, doc_id, text, similarity).filter("class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(classes, docs[doc_id] == classes["__gone"], "left_anti")
+    gone = free_name(docs, "__gone")
+    classes = near_duplicates(docs, doc_id, text, similarity).filter("class_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(classes, docs[doc_id] == classes[gone], "left_anti")
     tie, rank = free_name(docs, "__tie"), free_name(docs, "__rank")
     alone = F.col(doc_id).isNull() | F.col(text).isNull()
     kept = kept.withColumn(tie, F.when(alone, F.monotonically_increasing_id()).otherwise(-1))

@@ -216,10 +216,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others = [c for c in docs.columns if c.lower() not in made]
     cover = repeated_passages(docs, doc_id, text, window, run, shard_words, crowded)
     # bounded by the length of the document
-    cover = cover.groupBy("doc_id", "row").agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
-    cover = cover.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "__spans")
+    doc, row, spans_of = (free_name(docs, n) for n in ("__doc", "__row", "__spans"))
+    cover = cover.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_list(F.struct("begin", "end")).alias(spans_of))
     keep = docs.select(*others, *([] if text in others else [text]))
-    joined = keep.join(cover, (keep[doc_id].cast("long") == F.col("__doc")) & (F.hash(keep[text]) == F.col("__row")), "left")
+    joined = keep.join(cover, (keep[doc_id].cast("long") == cover[doc]) & (F.hash(keep[text]) == cover[row]), "left")
 
     @F.pandas_udf("kept string, n_words long, n_removed long, kept_sha256 string")
     def rest(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -234,5 +234,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pd.DataFrame(out, columns=["kept", "n_words", "n_removed", "kept_sha256"])
 
     own = free_name(docs, "__rest")
-    out = joined.withColumn(own, rest(F.col(text), F.col("__spans")))
+    out = joined.withColumn(own, rest(F.col(text), F.col(spans_of)))
     return out.select(*others, *(F.col(f"{own}.{m}").alias(m) for m in made))

@@ -84,13 +84,15 @@ def blocks_for(n: int, bits_per_key: int = 16, max_blocks: int = 1 << 19) -> int
 def possible_hits(df: DataFrame, column: str, bloom: DataFrame, blocks: int, flag: str) -> DataFrame:
     """``df`` with a boolean ``flag``: false where ``column`` is certainly not in the filter."""
     key = F.col(column)
-    words = bloom.select(F.col("block").alias("__block"), *(F.col(f"w{i}").alias(f"__w{i}") for i in range(WORDS)))
-    joined = df.withColumn("__own_block", _block(key, blocks))
+    own, block = free_name(df, "__own"), free_name(df, "__block")
+    masks = [free_name(df, f"__w{i}") for i in range(WORDS)]
+    words = bloom.select(F.col("block").alias(block), *(F.col(f"w{i}").alias(w) for i, w in enumerate(masks)))
+    joined = df.withColumn(own, _block(key, blocks))
     # bounded: one row of 40 bytes for each block
-    joined = joined.join(F.broadcast(words), F.col("__own_block") == F.col("__block"), "left")
+    joined = joined.join(F.broadcast(words), F.col(own) == F.col(block), "left")
     hit = key.isNotNull()
     for i, mask in enumerate(_masks(key)):
-        hit = hit & (F.col(f"__w{i}").bitwiseAND(mask) == mask)
+        hit = hit & (F.col(masks[i]).bitwiseAND(mask) == mask)
     return joined.select(*df.columns, F.coalesce(hit, F.lit(False)).alias(flag))
 
 
