@@ -1,8 +1,8 @@
 """Connected components of a graph of links, as joins and aggregations.
 
 Large-star and small-star steps in turn (Kiveris et al., 2014): every round links nodes to the
-smallest node they can see, until each component is a star around its smallest node. Links stay
-in tables; a node with very many links is split by Spark as a skewed join key.
+smallest node they can see, until each component is a star around its smallest node. Links and the
+smallest neighbours stay in tables, so a node with very many links is split by Spark as a skewed join key.
 """
 
 from __future__ import annotations
@@ -17,28 +17,36 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.union(edges.select("v", "u").toDF("u", "v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = scratch.put(least, "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.put(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _kept(edges: DataFrame, scratch: Scratch, inner: Scratch) -> DataFrame:
+    out = scratch.put(edges, "stars")
+    inner.clear()
+    return out
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) for every node with a link, as a table; the label is the smallest node of its component.
 
     ``links``: two columns of the same type, in any direction; nulls and loops are ignored.
     """
-    edges = scratch.put(_small_star(links.toDF("u", "v").filter("u <> v")), "stars")
+    inner = Scratch(scratch.spark)
+    edges = _kept(_small_star(links.toDF("u", "v").filter("u <> v"), inner), scratch, inner)
     seen = _print(edges)
     while True:
-        last, edges = edges, scratch.put(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, _kept(_small_star(inner.put(_large_star(edges, inner), "larger"), inner), scratch, inner)
         scratch.drop(last)
         now = _print(edges)
         if now == seen:

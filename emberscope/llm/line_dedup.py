@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberscope.session import Scratch
+
 from .common import free_name
 
 LG_K = 10
@@ -40,16 +42,21 @@ def line_key(line: Column) -> Column:
 
 def spread_lines(docs: DataFrame, min_sites: int, text: str = "text", site: str = "site") -> DataFrame:
     """Boilerplate lines: (line, sites), with the exact or a safe estimated number of sites."""
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(site).cast("string").alias("site"), F.explode(lines_of(F.col(text))).alias("line"))
     rows = rows.select("site", line_key(F.col("line")).alias("line")).filter(F.col("line").isNotNull() & F.col("site").isNotNull())
     sketches = rows.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     guess = sketches.select("line", F.hll_sketch_estimate("sketch").alias("sites"))
     low, high = min_sites * (1 - MARGIN) - 1, min_sites * (1 + MARGIN) + 1
     guess = guess.filter(F.col("sites") >= low)
+    guess = scratch.put(guess, "guess")
     near = guess.filter(F.col("sites") <= high).select("line")
     pairs = rows.join(near, "line", "left_semi").distinct()
     exact = pairs.groupBy("line").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
-    return guess.filter(F.col("sites") > high).unionByName(exact)
+    # tables of their own: Spark can split a hot line in the joins with them
+    spread = scratch.put(guess.filter(F.col("sites") > high).unionByName(exact), "spread")
+    scratch.clear(spread)
+    return spread
 
 
 def remove_lines(docs: DataFrame, min_sites: int = 10, text: str = "text", site: str = "site", key: str = "doc_id") -> DataFrame:

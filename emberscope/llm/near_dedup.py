@@ -170,6 +170,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sketched = scratch.put(sketched.join(nodes, F.col("doc_id") == F.col("node"), "left_semi"), "sketches")
     keyed = sketched.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # as a table of its own, so that Spark can split a hot key in the join
+    shared = scratch.put(shared, "shared")
     buckets = scratch.put(keyed.join(shared, "key"), "buckets")
     wanted = buckets.select("node").distinct()
     words = whole.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInPandas(_words, "node long, words binary")
@@ -195,7 +197,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         placed = buckets.join(labels, "node", "left").select("key", "node", "leader", F.coalesce("label", "node").alias("part"))
         parts = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"))
         # in a bucket of two, the only pair was the first
-        placed = scratch.put(placed.join(parts.filter("low < high AND n > 2").select("key"), "key"), "open")
+        parts = scratch.put(parts.filter("low < high AND n > 2").select("key"), "parts")
+        placed = scratch.put(placed.join(parts, "key"), "open")
         home = placed.filter("node = leader").select("key", F.col("part").alias("home"))
         stray = placed.join(home, "key").filter("part <> home").select("key", F.col("node").alias("lead"), F.col("part").alias("lead_part"))
         # each task keeps only the first few of a bucket before the shuffle

@@ -168,22 +168,23 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     scratch = Scratch(docs.sparkSession)
     rows = _rows(docs, doc_id, text)
     cut = rows.mapInPandas(_cut(window, run), _STRETCH)
-    often = cut.groupBy("run").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("run")
+    # as a table of its own, so that Spark can split a hot run in the join
+    often = scratch.put(cut.groupBy("run").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("run"), "often")
     found = scratch.put(cut.join(often, "run"), "stretches")
     order = F.min(F.struct("doc_id", "start", "row")).alias("at")
     first = scratch.put(found.groupBy("run", "content", "n").agg(order), "first")
     later = found.join(first, ["run", "content", "n"]).filter("doc_id > at.doc_id OR doc_id = at.doc_id AND start > at.start")
     cover = later.select("doc_id", "row", F.col("start").alias("begin"), (F.col("start") + F.col("n") + (window - 1)).alias("end"))
 
-    packed = first.groupBy("run").agg(F.count(F.lit(1)).alias("kinds"))
-    listed = first.join(packed.filter("kinds > 1"), "run").select("run", "at.doc_id", "at.row", "at.start", "n", (F.col("kinds") > crowded).alias("crowded"))
+    packed = scratch.put(first.groupBy("run").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "packed")
+    listed = first.join(packed, "run").select("run", "at.doc_id", "at.row", "at.start", "n", (F.col("kinds") > crowded).alias("crowded"))
     # bounded by the length of the document
     listed = listed.groupBy("doc_id", "row").agg(F.collect_list(F.struct("run", "start", "n", "crowded")).alias("list"))
     listed = rows.join(listed, ["doc_id", "row"]).select("doc_id", "row", "text", "list")
     fetched = scratch.put(listed.mapInPandas(_fetch(window), "run long, doc_id long, row int, start int, words binary"), "fetched")
 
     single = fetched.filter("words IS NULL")
-    earliest = single.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("at"))
+    earliest = scratch.put(single.groupBy("run").agg(F.min(F.struct("doc_id", "start")).alias("at")), "earliest")
     again = single.join(earliest, "run").filter("doc_id > at.doc_id OR doc_id = at.doc_id AND start > at.start")
     cover = cover.unionByName(again.select("doc_id", "row", F.col("start").alias("begin"), (F.col("start") + window).alias("end")))
 
