@@ -14,10 +14,9 @@ A pair at the threshold of 0.8 agrees in a sketch of 6 with probability 0.26, in
 Short documents get 16 sketches of 2 besides.
 
 Candidates share a sketch. They are not compared pair by pair: everyone in a bucket is compared with its
-smallest member, links are joined into components, and only where a bucket still holds several
-components, its members outside the first become leaders in turn (eight at a time) and are compared
-with the other components. This ends when every two members of a bucket are in one component or were
-compared, so no link of a bucket is lost.
+smallest member, and links are joined into components. The documents of buckets that still hold several
+components are then paired across components where they share one of their rarest shingles, without which they cannot
+be similar. So every two similar members of a bucket are in one component in the end, and no link is lost.
 
 Equal texts are one node from the start; rows with the same id are one document. Documents with a null id, a null text or
 no word are alone. Words are compared by 32-bit hashes in the alignment.
@@ -41,7 +40,6 @@ from .components import components
 WORDS, SIMILARITY = 5, 0.8
 TAKE, SKETCHES = 6, 32
 SHORT, SHORT_TAKE, SHORT_SKETCHES = 30, 2, 16
-LEADERS = 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
 
@@ -154,6 +152,35 @@ def _verifier(similarity: float):
     return verify
 
 
+def _sharing_rare(documents: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different parts that share one of their rarest shingles; no similar pair is missing.
+
+    Of two sets with this similarity, each misses a bounded number of the other's elements. So among the first
+    n - ceil(similarity * n) + 1 elements of each, in any order common to all, there is a common one. In order of rising
+    frequency these are shingles that hardly any other document has.
+    """
+
+    def shingled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for node, own, words in zip(part["node"], part["part"], part["words"]):
+                x = shingles_of(np.frombuffer(words, dtype="<u4").astype(np.uint64))
+                yield pd.DataFrame({"token": x.view(np.int64), "node": node, "part": own, "n": len(x)})
+
+    tokens = scratch.put(documents.select("node", "part", "words").mapInPandas(shingled, "token long, node long, part long, n long"), "tokens")
+    often = scratch.put(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "often")
+    # a shingle of one document is in no pair, but takes its place among the rarest
+    ranked = tokens.join(often, "token", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    # bounded by the length of the document
+    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "token"))
+    first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
+    prefix = ranked.withColumn("place", place).filter((F.col("place") <= first) & (F.col("times") > 1)).select("token", "node", "part", "n")
+    prefix = scratch.put(prefix, "prefix")
+    other = prefix.toDF("token", "b", "b_part", "b_n")
+    near = prefix.withColumnRenamed("node", "a").join(other, "token").filter("a < b AND part <> b_part")
+    near = near.filter(F.least("n", "b_n") >= F.lit(similarity - 1e-9) * F.greatest("n", "b_n"))
+    return scratch.put(near.select("a", "b").distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) for each row: the smallest id of the documents it is linked with, directly or not."""
     ship(docs.sparkSession)
@@ -192,29 +219,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tied = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top")
     tied = members.join(tied, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     labels = components(links.unionByName(tied), scratch)
-    tried = buckets.filter("node = leader").select("key", F.col("node").alias("lead")).distinct()
-    while True:
-        placed = buckets.join(labels, "node", "left").select("key", "node", "leader", F.coalesce("label", "node").alias("part"))
-        parts = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"))
-        # in a bucket of two, the only pair was the first
-        parts = scratch.put(parts.filter("low < high AND n > 2").select("key"), "parts")
-        placed = scratch.put(placed.join(parts, "key"), "open")
-        home = placed.filter("node = leader").select("key", F.col("part").alias("home"))
-        stray = placed.join(home, "key").filter("part <> home").select("key", F.col("node").alias("lead"), F.col("part").alias("lead_part"))
-        # each task keeps only the first few of a bucket before the shuffle
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("lead"))
-        leaders = stray.join(tried, ["key", "lead"], "left_anti").withColumn("rank", rank).filter(F.col("rank") <= LEADERS).drop("rank")
-        leaders = scratch.put(leaders, "leaders")
-        if leaders.isEmpty():
-            break
-        pairs = placed.join(leaders, "key").filter("part <> lead_part").select(*pair("lead", "node")).distinct()
+    placed = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part"))
+    parts = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"))
+    # in a bucket of two, the only pair was compared
+    parts = scratch.put(parts.filter("low < high AND n > 2").select("key"), "parts")
+    rest = scratch.put(placed.join(parts, "key").select("node", "part").distinct(), "rest")
+    if not rest.isEmpty():
+        pairs = _sharing_rare(words.join(rest, "node"), similarity, scratch)
         more = verified(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        tried, done = tried.unionByName(leaders.select("key", "lead")), done.unionByName(more)
         links = more.filter(F.col("similarity") >= similarity).select("a", "b")
-        if not links.isEmpty():
-            known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
-            last, labels = labels, components(known.unionByName(links), scratch)
-            scratch.drop(last)
+        known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+        labels = components(known.unionByName(links), scratch)
     classes = members.join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     out = rows.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = scratch.put(out, "classes")
