@@ -48,10 +48,12 @@ def threshold_sweep(df: DataFrame, score: str, label: str, bins: int = 100) -> D
     """Counts and F2 when everything scoring at least ``threshold`` is called positive.
 
     Rows are counted per score bin first, so the cumulative window sees at most
-    ``bins`` rows however large the table. Scores lie in [0, 1].
+    ``bins`` rows however large the table. Scores lie in [0, 1]; those below count as 0, those above as 1. Rows with a
+    null or NaN score belong to no threshold and are left out; ``score_report`` counts them.
     """
-    bin_no = F.least(F.floor(F.col(score) * F.lit(bins)), F.lit(bins - 1)).cast("int")
-    counted = df.groupBy(bin_no.alias("bin")).agg(
+    bin_no = F.greatest(F.lit(0), F.least(F.floor(F.col(score) * F.lit(bins)), F.lit(bins - 1))).cast("int")
+    usable = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    counted = usable.groupBy(bin_no.alias("bin")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
@@ -68,6 +70,19 @@ def threshold_sweep(df: DataFrame, score: str, label: str, bins: int = 100) -> D
     return swept.withColumn("f2", f2_score(F.col("precision"), F.col("recall")))
 
 
+def score_report(df: DataFrame, score: str) -> DataFrame:
+    """Number of rows by what their score is: usable, below 0, above 1, NaN or null."""
+    s = F.col(score).cast("double")
+    nan = F.coalesce(F.isnan(s), F.lit(False))
+    return df.agg(
+        F.count_if((s >= 0) & (s <= 1) & ~nan).alias("usable"),
+        F.count_if((s < 0) & ~nan).alias("below"),
+        F.count_if((s > 1) & ~nan).alias("above"),
+        F.count_if(nan).alias("nan"),
+        F.count_if(s.isNull()).alias("missing"),
+    )
+
+
 def f2_score(precision: Column, recall: Column) -> Column:
     """F measure that weighs recall four times as much as precision; 0 when both are 0."""
     value = F.try_divide(F.lit(5.0) * precision * recall, F.lit(4.0) * precision + recall)

@@ -254,15 +254,28 @@ def as_of_join(
     value: str,
     chunk_seconds: int = 28 * DAY,
 ) -> DataFrame:
-    """Add to each left row the latest ``value`` of the right side valid at or before its time."""
+    """Add to each left row the latest non-null ``value`` of the right side valid at or before its time.
+
+    Marks become intervals that end at the next mark, and intervals are repeated for every chunk of time they touch. The
+    left rows then meet them by (keys, chunk), an ordinary join whose skewed keys Spark can split. Of several marks at one
+    second, the greatest value counts. A row with a null key or time has no value.
+    """
     keys = list(keys)
-    probes = left.withColumn("__value", F.lit(None).cast(right.schema[value].dataType)).withColumn("__probe", F.lit(True))
-    marks = right.select(
-        *keys, F.col(valid_from).alias(ts), F.col(value).alias("__value"), F.lit(False).alias("__probe")
-    )
-    both = probes.unionByName(marks, allowMissingColumns=True)
-    held = last_known(both, keys, ts, "__value", "__held", chunk_seconds)
-    return held.filter("__probe").drop("__probe", "__value").withColumnRenamed("__held", value)
+    own = [f"__key_{i}" for i in range(len(keys))]
+    probes = left.drop(value) if value in left.columns else left
+    probes = probes.withColumn("__at", epoch_seconds(F.col(ts))).withColumn("__chunk", F.floor(F.col("__at") / F.lit(chunk_seconds)))
+    end = left.agg(F.max(epoch_seconds(F.col(ts)))).first()[0]
+    marks = right.filter(F.col(value).isNotNull() & F.col(valid_from).isNotNull())
+    marks = marks.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)], epoch_seconds(F.col(valid_from)).alias("__from")).agg(F.max(value).alias(value))
+    marks = marks.filter(F.col("__from") <= F.lit(end))
+    following = F.lead("__from").over(Window.partitionBy(*own).orderBy("__from"))
+    held = marks.withColumn("__until", F.coalesce(following, F.lit(end) + F.lit(1)))
+    first, last = F.floor(F.col("__from") / F.lit(chunk_seconds)), F.floor((F.col("__until") - F.lit(1)) / F.lit(chunk_seconds))
+    held = held.withColumn("__part", F.explode(F.sequence(first, last)))
+    match = (F.col("__chunk") == F.col("__part")) & (F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__until"))
+    for k, o in zip(keys, own):
+        match = match & (probes[k] == held[o])
+    return probes.join(held, match, "left").select(*[c for c in left.columns if c != value], value)
 
 
 def dry_marks(ts: str, precipitation: str) -> Running:

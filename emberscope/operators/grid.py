@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indices import direction_of
 from ..functions.spatial import EARTH_RADIUS_KM, great_circle_km, grid_key
-from ..session import materialize
+from ..session import Scratch
 
 # A broadcast side may hold at most this many rows of a few dozen bytes.
 BROADCAST_ROWS = 1_000_000
@@ -97,14 +97,14 @@ def nearest_nodes(
 ) -> DataFrame:
     """The ``count`` nearest other nodes of every node: (node, neighbour, distance_km, position).
 
-    Candidates come from an equi-join on integer grid offsets within ``reach``
-    steps. A node is settled once its ``count``-th candidate is nearer than
-    anything outside that square can be; the others go round again with twice
-    the reach, so sparse or narrow grids are exact too. The few rounds each
-    write their part to the shared folder.
+    Nodes are sorted into square blocks of ``reach`` steps, and a node's candidates are the nodes of its own and the
+    eight blocks around, which hold all within ``reach`` steps. A node is settled once its ``count``-th candidate is
+    nearer than anything outside can be; the others go round again with twice the reach, so sparse or narrow
+    grids are exact too. Only nodes that exist become candidates, however wide the gaps.
     """
     per_degree = 1.0 / step
-    base = materialize(
+    scratch = Scratch(grid.sparkSession)
+    base = scratch.put(
         grid.select(
             F.col(node).alias("node"),
             F.col(lat).cast("double").alias("lat"),
@@ -122,12 +122,11 @@ def nearest_nodes(
     extent, slack = max(shape["extent"] or 0, 1), 2 * (shape["off"] or 0.0)
     open_nodes, parts = base, []
     while True:
-        whole = reach >= extent
-        ranked = materialize(_candidates(open_nodes, base, reach, count), "nearest")
-        if whole:
+        ranked = scratch.put(_candidates(open_nodes, base, reach, count), "nearest")
+        if reach >= extent:
             parts.append(ranked)
             break
-        # A node outside the square is at least this many degrees away in one
+        # A node outside the blocks is at least this many degrees away in one
         # direction. East and west, the nearest point of that meridian counts.
         beyond = F.radians(F.lit((reach + 1 - slack) * step))
         safe = F.lit(EARTH_RADIUS_KM) * F.least(beyond, F.asin(F.cos(F.radians(F.col("lat"))) * F.sin(beyond)))
@@ -137,29 +136,30 @@ def nearest_nodes(
             .filter((F.col("found") >= count) & (F.col("far") < safe))
             .select("node")
         )
-        done = ranked.join(settled, "node", "left_semi")
-        parts.append(done)
-        open_nodes = open_nodes.join(settled, "node", "left_anti")
+        parts.append(ranked.join(settled, "node", "left_semi"))
+        open_nodes = scratch.put(open_nodes.join(settled, "node", "left_anti"), "open")
         if open_nodes.isEmpty():
             break
-        reach *= 2
+        reach = min(2 * reach, extent)
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result.select(F.col("node").alias(node), "neighbour", "distance_km", "position")
+    links = scratch.put(result.select(F.col("node").alias(node), "neighbour", "distance_km", "position"), "links")
+    scratch.clear(links)
+    return links
 
 
 def _candidates(nodes: DataFrame, base: DataFrame, reach: int, count: int) -> DataFrame:
-    """Ranked candidates within the square; at most ``(2 reach + 1) ** 2`` per node."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    """Ranked candidates from the blocks around each node."""
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    block = lambda c: F.floor(F.col(c) / F.lit(reach))
     probes = (
-        nodes.withColumn("dr", F.explode(steps))
-        .withColumn("dc", F.explode(steps))
-        .filter((F.col("dr") != 0) | (F.col("dc") != 0))
-        .select("node", "lat", "lon", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
+        nodes.withColumn("dr", F.explode(around))
+        .withColumn("dc", F.explode(around))
+        .select("node", "lat", "lon", (block("row") + F.col("dr")).alias("block_row"), (block("col") + F.col("dc")).alias("block_col"))
     )
-    others = base.select(F.col("node").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "row", "col")
-    pairs = probes.join(others, ["row", "col"]).withColumn(
+    others = base.select(F.col("node").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), block("row").alias("block_row"), block("col").alias("block_col"))
+    pairs = probes.join(others, ["block_row", "block_col"]).filter("node <> neighbour").withColumn(
         "distance_km", F.round(great_circle_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 6)
     )
     nearest = Window.partitionBy("node").orderBy("distance_km", "neighbour")
@@ -180,8 +180,12 @@ def neighbour_mean(
     directions: Mapping[str, str] | None = None,
     neighbour_rows: int | None = None,
     exact_means: Sequence[str] = (),
+    keep_empty: bool = False,
 ) -> DataFrame:
-    """Means, sums and circular means over the neighbours at the same time: (node, ts, outputs).
+    """Means, sums and circular means over the neighbours at the same time: (node, ts, outputs) for each time of a node that has neighbours.
+
+    A node's time at which no neighbour was observed has no row, or with ``keep_empty`` a row of nulls: its own row
+    then stands beside its neighbours' without counting.
 
     The mappings go from output name to input column. With a neighbour table
     known to be small, the hourly rows are shuffled once by time, matched by
@@ -197,19 +201,22 @@ def neighbour_mean(
         angle = F.radians(F.col(column))
         vectors[f"__sin_{name}"], vectors[f"__cos_{name}"] = F.sin(angle), F.cos(angle)
     values = hourly.select(F.col(node).alias("neighbour"), ts, *used, *[v.alias(n) for n, v in vectors.items()])
-    links = neighbours.select(node, "neighbour")
+    links = neighbours.select(node, "neighbour", F.lit(True).alias("__near"))
+    if keep_empty:
+        links = links.unionByName(neighbours.select(node, F.col(node).alias("neighbour"), F.lit(False).alias("__near")).distinct())
     if neighbour_rows is not None and neighbour_rows <= BROADCAST_ROWS:
         matched = values.repartition(ts).join(F.broadcast(links), "neighbour")
     else:
         matched = values.join(links, "neighbour")
+    near = lambda column: F.when(F.col("__near"), F.col(column))
     return matched.groupBy(node, ts).agg(
-        *[_mean(column, column in exact_means).alias(name) for name, column in means.items()],
-        *[F.sum(column).alias(name) for name, column in sums.items()],
-        *[direction_of(F.avg(f"__sin_{name}"), F.avg(f"__cos_{name}")).alias(name) for name in directions],
+        *[_mean(near(column), column in exact_means).alias(name) for name, column in means.items()],
+        *[F.sum(near(column)).alias(name) for name, column in sums.items()],
+        *[direction_of(F.avg(near(f"__sin_{name}")), F.avg(near(f"__cos_{name}"))).alias(name) for name in directions],
     )
 
 
-def _mean(column: str, exact: bool) -> Column:
+def _mean(column: Column, exact: bool) -> Column:
     if not exact:
         return F.avg(column)
     return F.try_divide(F.sum(column).cast("double"), F.count(column).cast("double"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .. import vocabulary as V
 from ..functions.indices import percent
+from ..session import materialize
 
 OK, ALERT, CRITICAL = "OK", "ALERTA", "ERROR CRITICO"
 
@@ -42,6 +43,10 @@ def geography(df: DataFrame, expected_points: int, lat: str = "latitude", lon: s
     totals = points.agg(
         F.count(F.lit(1)).alias("points"), F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("no_coords")
     )
+    return _places(totals, expected_points)
+
+
+def _places(totals: DataFrame, expected_points: int) -> DataFrame:
     both = F.explode(
         F.array(
             F.struct(*_line("points", F.lit("table"), F.col("points"), F.lit(expected_points))),
@@ -76,6 +81,10 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = df.agg(
         F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]
     )
+    return _profile(counts, columns)
+
+
+def _profile(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = counts.unpivot(["__rows"], list(columns), "variable", "null_count")
     pct = F.coalesce(percent(F.col("null_count"), F.col("__rows")), F.lit(0.0))
     status = (
@@ -108,13 +117,28 @@ def audit(
     lat: str = "latitude",
     lon: str = "longitude",
 ) -> DataFrame:
-    """All checks as one table. Works on an empty table as well."""
+    """All checks as one table. Works on an empty table as well.
+
+    The table is read once: its rows and nulls are counted for each cell, day and place, and every check
+    is taken from these counts.
+    """
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"__null_{i}") for i, c in enumerate(features)]
+    keys = list(dict.fromkeys([cell, day, lat, lon]))
+    counts = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *nulls), "audit")
+    n = F.coalesce(F.sum("__n"), F.lit(0))
+    missing = F.col(lat).isNull() | F.col(lon).isNull()
+    places = counts.groupBy(lat, lon).agg(F.sum("__n").alias("__n"))
+    totals = places.agg(F.count(F.lit(1)).alias("points"), F.coalesce(F.sum(F.when(missing, F.col("__n"))), F.lit(0)).alias("no_coords"))
+    cell_days = counts.groupBy(cell, day).agg(F.sum("__n").alias("hours"))
+    day_counts = cell_days.groupBy(cell).agg(F.count(day).alias("days"))
+    subject = F.concat_ws(" ", F.col(cell).cast("string"), F.col(day).cast("string"))
+    sums = counts.agg(n.alias("__rows"), *[F.coalesce(F.sum(f"__null_{i}"), F.lit(0)).alias(c) for i, c in enumerate(features)])
     parts = [
-        volume(df, cells, days, hours).drop("difference"),
-        geography(df, cells, lat, lon),
-        incomplete_days(df, cell, day, days),
-        incomplete_hours(df, cell, day, hours),
-        null_profile(df, features).select(
+        counts.agg(n.alias("n")).select(*_line("volume", F.lit("table"), F.col("n"), F.lit(cells * days * hours))),
+        _places(totals, cells),
+        day_counts.filter(F.col("days") != days).select(*_line("days_per_cell", F.col(cell), F.col("days"), F.lit(days))),
+        cell_days.filter(F.col("hours") != hours).select(*_line("hours_per_day", subject, F.col("hours"), F.lit(hours))),
+        _profile(sums, features).select(
             F.lit("nulls").alias("check"),
             F.col("variable").alias("subject"),
             F.col("null_count").alias("observed"),

@@ -55,6 +55,8 @@ def gold_features(gold: DataFrame, gap_free: bool = False) -> DataFrame:
     hence one of two shuffles.
     """
     keys, ts = ["grid_id"], "timestamp_clima"
+    # these rows would be dropped at the end; in the windows they would form one group
+    gold = gold.filter("grid_id IS NOT NULL")
     if gap_free:
         in_hours = [replace(f, start=f.start * HOUR, end=f.end * HOUR) for f in ROLLING]
         rolled = over_time(gold, keys, ts, in_hours)

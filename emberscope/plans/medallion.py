@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import vocabulary as V
 from ..operators.grid import GridSpec, grid_nodes
+from ..operators.labels import LEXICAL
 from ..sources.tables import create_layers, layout_sorted, read_table, replace_table
 from ..streaming.ingest import FileSource, ingest_all
 from .features import gold_features
@@ -40,9 +41,15 @@ def build(
     location: str | None = None,
     layers: Sequence[str] = tuple(V.LAYERS),
     layout_partitions: int | None = None,
+    weather_multi_line: bool | None = None,
+    confidence_mode: str = LEXICAL,
+    accepted: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Run every step and return the status of the ingestion.
 
+    If a source fails, nothing behind it is rebuilt and the status says so. ``weather_multi_line`` is false for
+    files of one document per line. ``accepted`` keeps detections of these confidence codes only.
+
     Safe to run again: files already ingested are skipped and every later table
     is replaced as a whole.
     """
@@ -51,10 +58,12 @@ def build(
     status = ingest_all(
         spark,
         [
-            FileSource(fires_path, tables.bronze_fires, f"{state_path}/fires/checkpoint", f"{state_path}/fires/schema", "csv", V.FIRE_SCHEMA),
-            FileSource(weather_path, tables.bronze_weather, f"{state_path}/weather/checkpoint", f"{state_path}/weather/schema", "json", V.WEATHER_SCHEMA),
+            FileSource(fires_path, tables.bronze_fires, f"{state_path}/fires/checkpoint", f"{state_path}/fires/schema", "csv", V.FIRE_SCHEMA_FULL),
+            FileSource(weather_path, tables.bronze_weather, f"{state_path}/weather/checkpoint", f"{state_path}/weather/schema", "json", V.WEATHER_SCHEMA, multi_line=weather_multi_line),
         ],
     )
+    if not status.filter("NOT ok").isEmpty():
+        return status
     read = lambda name: read_table(spark, name)
     replace_table(silver_grid(read(tables.landing_grid)), tables.silver_grid)
     replace_table(silver_fires(read(tables.bronze_fires)), tables.silver_fires)
@@ -62,6 +71,6 @@ def build(
     if layout_partitions:
         weather = layout_sorted(weather, ["grid_id", "timestamp_clima"], layout_partitions)
     replace_table(weather, tables.silver_weather)
-    replace_table(gold_full(read(tables.silver_weather), read(tables.silver_fires)), tables.gold_full)
+    replace_table(gold_full(read(tables.silver_weather), read(tables.silver_fires), confidence_mode, accepted), tables.gold_full)
     replace_table(gold_features(read(tables.gold_full)), tables.gold_features)
     return status

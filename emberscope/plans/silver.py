@@ -63,6 +63,17 @@ def weather_rows(bronze: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def silver_weather(bronze: DataFrame, grid: DataFrame, grid_rows: int | None = None, strict: bool = False) -> DataFrame:
-    """Hourly rows with their grid node in the final column order: one plan, one write."""
-    located = assign_node(weather_rows(bronze, strict), grid.select("grid_id", "latitude_centroid", "longitude_centroid"), grid_rows=grid_rows)
+    """Hourly rows with their grid node in the final column order: one plan, one write.
+
+    An hour of a place that was delivered again counts once, as in the file whose name sorts last. Rows without a
+    readable time are not hours and all stay.
+    """
+    rows = weather_rows(bronze, strict)
+    key = ["latitude", "longitude", "timestamp_clima"]
+    others = [F.col(c) for c in rows.columns if c not in key]
+    timed = rows.filter(F.col("timestamp_clima").isNotNull()).groupBy(*key)
+    newest = timed.agg(F.max(F.struct(F.col("source_filename").alias("__file"), F.struct(*others).alias("__row"))).alias("__last"))
+    once = newest.select(*[F.col(c) if c in key else F.col(f"__last.__row.{c}").alias(c) for c in rows.columns])
+    rows = once.unionByName(rows.filter(F.col("timestamp_clima").isNull()))
+    located = assign_node(rows, grid.select("grid_id", "latitude_centroid", "longitude_centroid"), grid_rows=grid_rows)
     return located.select(*V.SILVER_WEATHER_KEYS, *V.CLIMATE_VARIABLES, *V.SILVER_WEATHER_TAIL)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import json
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,7 @@ def remembered_schema(spark: SparkSession, path: str, schema_path: str, fmt: str
         return saved
     reader = spark.read.option("pathGlobFilter", f"*.{fmt}")
     if fmt == "csv":
-        schema = reader.option("header", True).option("inferSchema", True).csv(path).schema
+        schema = _inferred(spark, header_lines(spark, path))
     elif fmt == "json":
         schema = reader.option("multiLine", True).json(path).schema
     else:
@@ -43,8 +45,87 @@ def save_schema(spark: SparkSession, schema: T.StructType, schema_path: str) ->
     spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(schema_path)
 
 
+def header_lines(spark: SparkSession, *paths: str, glob: str = "*.csv") -> dict[str, list[str]]:
+    """The files of each distinct first line. Meant for a bounded number of files: a batch, or a landing area once."""
+    lines = spark.read.option("pathGlobFilter", glob).text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
+    numbered = lines.filter("start = 0").withColumn("n", F.monotonically_increasing_id())
+    first = numbered.groupBy("file").agg(F.min_by("value", "n").alias("line"))
+    out: dict[str, list[str]] = {}
+    for row in first.collect():
+        out.setdefault(row.line.lstrip("\ufeff"), []).append(row.file)
+    return {line: sorted(files) for line, files in sorted(out.items())}
+
+
+def _names(line: str, options: dict) -> list[str]:
+    delimiter = options.get("sep", options.get("delimiter", ","))
+    return [n.strip() for n in next(csv.reader([line], delimiter=delimiter, quotechar=options.get("quote", '"')), [])]
+
+
+def _inferred(spark: SparkSession, headers: dict[str, list[str]]) -> T.StructType:
+    """Columns by name over all headers; a column of unlike types is text."""
+    if not headers:
+        raise ValueError("there is no CSV file to infer a schema from")
+    found: dict[str, T.DataType] = {}
+    for files in headers.values():
+        for field in spark.read.option("header", True).option("inferSchema", True).csv(files).schema:
+            known = found.setdefault(field.name, field.dataType)
+            if known != field.dataType:
+                wide = {known.typeName(), field.dataType.typeName()}
+                found[field.name] = T.LongType() if wide == {"integer", "long"} else T.DoubleType() if wide <= {"integer", "long", "double"} else T.StringType()
+    return T.StructType([T.StructField(name, kind) for name, kind in found.items()])
+
+
+def csv_by_name(spark: SparkSession, files: Sequence[str], schema: T.StructType, rescue: bool, multi_line: bool, options: dict) -> DataFrame:
+    """CSV files with a header, their columns matched to the schema by name; (fields, rescue column, source_filename).
+
+    Files may differ in the order and choice of columns: absent ones are null. With ``rescue``, a row that does not
+    fit keeps its good fields and its raw line, and columns that are not declared are kept as a JSON object of texts.
+    Names match exactly, or else in any case; of columns with the same name the first counts.
+    """
+    parts = []
+    for line, own in header_lines(spark, *files, glob="*").items():
+        declared, read, at, surplus = {f.name: f for f in schema}, [], {}, {}
+        folded = {n.lower(): n for n in declared}
+        for i, name in enumerate(_names(line, options)):
+            target = name if name in declared else folded.get(name.lower())
+            if target is None or target in at:
+                surplus[name] = f"__surplus_{i}"
+                read.append(T.StructField(surplus[name], T.StringType()))
+            else:
+                at[target] = target
+                read.append(T.StructField(target, declared[target].dataType))
+        reading = {**options, "header": "true", "multiLine": str(multi_line).lower(), "enforceSchema": "true"}
+        reading.pop("pathGlobFilter", None)
+        if rescue:
+            read.append(T.StructField(RESCUED, T.StringType()))
+            reading |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RESCUED}
+        rows = spark.read.schema(T.StructType(read)).options(**reading).csv(own)
+        fields = [F.col(n) if n in at else F.lit(None).cast(f.dataType).alias(n) for n, f in declared.items()]
+        if rescue:
+            left = [F.struct(F.lit(n).alias("key"), F.col(c).alias("value")) for n, c in surplus.items()]
+            kept = F.lit(None).cast("string")
+            if left:
+                given = F.filter(F.array(*left), lambda x: x["value"].isNotNull())
+                kept = F.when(F.size(given) > 0, F.to_json(F.map_from_entries(given)))
+            fields.append(F.coalesce(F.col(RESCUED), kept).alias(RESCUED))
+        parts.append(rows.select(*fields, F.col("_metadata.file_path").alias("source_filename")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def csv_files(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """New CSV files as a stream of their paths; contents are not read."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    given = {k: v for k, v in options.items() if k in ("pathGlobFilter", "maxFilesPerTrigger", "latestFirst", "maxFileAge", "recursiveFileLookup")}
+    return spark.readStream.format("binaryFile").schema(schema).options(**{"pathGlobFilter": "*.csv", **given}).load(path).select("path")
+
+
 def csv_stream(spark: SparkSession, path: str, schema: T.StructType, rescue: bool, multi_line: bool, options: dict) -> DataFrame:
-    """CSV files with a header as a stream.
+    """CSV files without a header as a stream: columns by position (with one, see ``csv_by_name``).
 
     A row that does not fit keeps its good fields, and with ``rescue`` its whole
     raw line goes to the rescue column. ``multi_line`` admits line breaks in
@@ -53,7 +134,7 @@ def csv_stream(spark: SparkSession, path: str, schema: T.StructType, rescue: boo
     if rescue:
         schema = T.StructType([*schema.fields, T.StructField(RESCUED, T.StringType())])
         options = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RESCUED}
-    defaults = {"pathGlobFilter": "*.csv", "header": "true", "multiLine": str(multi_line).lower()}
+    defaults = {"pathGlobFilter": "*.csv", "header": "false", "multiLine": str(multi_line).lower()}
     return spark.readStream.schema(schema).options(**{**defaults, **options}).csv(path)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
+from ..session import materialize
 
 
 def file_listing(spark: SparkSession, path: str, suffix: str) -> DataFrame:
@@ -35,14 +36,20 @@ def cell_batches(
 ) -> DataFrame:
     """Cells numbered in order and packed into batches: (batch, cells).
 
-    ``group`` is a leading part of the order (a grid row, a range of ids). Only
-    the group sizes pass through a whole-table window; the numbering itself
-    runs within the groups.
+    ``group`` is a leading part of the order (a grid row, a range of ids). The group sizes are summed up within the
+    partitions of a range, only one total for each partition passes through a whole-table window, and the
+    numbering itself runs within the groups.
     """
     grouped = cells.withColumn("__group", group)
     sizes = grouped.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__group", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    # written once, so that a group keeps its partition
+    ranged = materialize(sizes.repartitionByRange("__group").withColumn("__part", F.spark_partition_id()), "groups")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("__part").agg(F.sum("__n").alias("__total"))
+    parts = parts.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
+    earlier = Window.partitionBy("__part").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranged.withColumn("__inner", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    offsets = inner.join(parts, "__part").select("__group", (F.col("__base") + F.col("__inner")).alias("__offset"))
     within = Window.partitionBy("__group").orderBy(*order)
     number = F.col("__offset") + F.row_number().over(within) - F.lit(1)
     numbered = grouped.join(offsets, "__group").withColumn("__number", number)

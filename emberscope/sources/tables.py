@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions.spatial import morton
+from ..session import remove_dir
 
 STAGING, BACKUP = "__staging", "__backup"
 
@@ -35,7 +36,7 @@ def replace_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) ->
     spark = df.sparkSession
     recover(spark, name)
     staging, backup = _beside(name, STAGING), _beside(name, BACKUP)
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    _clear_staging(spark, staging)
     writer = df.write.format("parquet").mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(staging)
     if spark.catalog.tableExists(name):
@@ -66,6 +67,23 @@ def recover(spark: SparkSession, name: str) -> str:
     return "restored backup"
 
 
+def table_location(spark: SparkSession, name: str) -> str:
+    """Where a table's files are."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'")
+    return rows.first()["data_type"]
+
+
+def _clear_staging(spark: SparkSession, name: str) -> None:
+    """Remove a staging table and files that a crash left without one."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    parts = [p.strip("`") for p in name.split(".")]
+    if len(parts) == 1:
+        parts.insert(0, spark.catalog.currentDatabase())
+    home = spark.sql(f"DESCRIBE SCHEMA `{parts[-2]}`").filter("info_name = 'Location'").first()["info_value"]
+    for folder in {parts[-1], parts[-1].lower()}:
+        remove_dir(spark, f"{home}/{folder}")
+
+
 def _beside(name: str, suffix: str) -> str:
     return f"{name[:-1]}{suffix}`" if name.endswith("`") else f"{name}{suffix}"
 
@@ -74,6 +92,7 @@ def append_merging(df: DataFrame, name: str) -> None:
     """Append to a table; columns new to it are added, columns absent from ``df`` become null."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(name):
+        _clear_staging(spark, name)  # what a first write left that was cut short
         df.write.format("parquet").saveAsTable(name)
         return
     add_columns(spark, name, df.schema.fields)

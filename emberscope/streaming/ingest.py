@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.files import csv_stream, json_stream, remembered_schema
-from ..sources.tables import add_columns
+from ..sources.files import RESCUED, csv_by_name, csv_files, csv_stream, json_stream, remembered_schema
+from ..sources.tables import add_columns, table_location
 
 log = logging.getLogger(__name__)
 
 METADATA = ("ingestion_timestamp", "source_filename")
+FILES_PER_BATCH = 1000
 STATUS_SCHEMA = "table string, ok boolean, rows long, error string"
 
 
@@ -39,49 +41,84 @@ class FileSource:
     options: dict = field(default_factory=dict)
 
 
-def file_stream(spark: SparkSession, source: FileSource) -> DataFrame:
-    """Stream of the source's new files with ingestion metadata."""
+def _settings(source: FileSource) -> dict:
+    """Options with a bound on the files of a batch; all files are still read, batch by batch."""
+    return {"maxFilesPerTrigger": str(FILES_PER_BATCH), **source.options}
+
+
+def _has_header(source: FileSource) -> bool:
+    return source.fmt == "csv" and str(source.options.get("header", "true")).lower() == "true"
+
+
+def file_stream(spark: SparkSession, source: FileSource) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], T.StructType]:
+    """The source's new files as a stream, what makes rows of a batch of it, and the rows' declared fields.
+
+    For CSV with a header the stream holds paths, and a batch is read by the columns' names.
+    """
     readers = {"csv": csv_stream, "json": json_stream}
     if source.fmt not in readers:
         raise ValueError(f"format is one of {sorted(readers)}, not {source.fmt!r}")
     schema = source.schema or remembered_schema(spark, source.path, source.schema_path, source.fmt)
     multi_line = source.fmt == "json" if source.multi_line is None else source.multi_line
-    stream = readers[source.fmt](spark, source.path, schema, source.rescue, multi_line, source.options)
+    options = _settings(source)
+    wide = T.StructType([*schema.fields, *([T.StructField(RESCUED, T.StringType())] if source.rescue else [])])
+    if _has_header(source):
+
+        def by_name(batch: DataFrame) -> DataFrame:
+            files = [r.path for r in batch.collect()]  # at most the files of one batch
+            rows = csv_by_name(batch.sparkSession, files, schema, source.rescue, multi_line, source.options)
+            return rows.withColumn(METADATA[0], F.current_timestamp())
+
+        return csv_files(spark, source.path, options), by_name, wide
+    stream = readers[source.fmt](spark, source.path, schema, source.rescue, multi_line, options)
     stamped = stream.withColumn(METADATA[0], F.current_timestamp()).withColumn(METADATA[1], F.col("_metadata.file_path"))
-    return stamped.drop("_metadata") if "_metadata" in stamped.columns else stamped
+    return stamped.drop("_metadata") if "_metadata" in stamped.columns else stamped, lambda batch: batch, wide
 
 
 def ingest(spark: SparkSession, source: FileSource) -> int:
     """Append all files not seen before to the table, then stop. Returns the rows (or documents) read.
 
     The checkpoint remembers the files, so running again adds nothing. Fields
-    added to the declared schema since the last run are added to the table.
+    added to the declared schema since the last run are added to the table. A batch that is
+    repeated after a crash replaces its own files in the table, so it counts once.
     """
-    started = spark.range(1).select(F.current_timestamp()).first()[0]
-    stream = file_stream(spark, source)
-    if spark.catalog.tableExists(source.table):
-        add_columns(spark, source.table, stream.schema.fields)
-        stream = _in_table_order(spark, stream, source.table)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", source.checkpoint)
-        .trigger(availableNow=True)
-        .toTable(source.table)
-    )
+    stream, rows_of, declared = file_stream(spark, source)
+    stamps = [T.StructField(METADATA[0], T.TimestampType()), T.StructField(METADATA[1], T.StringType())]
+    fields = T.StructType([*declared.fields, *stamps])
+    if not spark.catalog.tableExists(source.table):
+        spark.createDataFrame([], fields).write.format("parquet").saveAsTable(source.table)
+    else:
+        add_columns(spark, source.table, fields)
+    counts: list[int] = []
+
+    def append(batch: DataFrame, number: int) -> None:
+        counts.append(publish_batch(rows_of(batch), source.table, source.checkpoint, number))
+
+    query = stream.writeStream.foreachBatch(append).option("checkpointLocation", source.checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     spark.catalog.refreshTable(source.table)
-    progress = query.recentProgress
-    if len(progress) + 1 < int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")):
-        return sum(p["numInputRows"] for p in progress)
-    # More batches than the query remembers: count what carries a later stamp.
-    return spark.read.table(source.table).filter(F.col(METADATA[0]) >= F.lit(started)).count()
+    return sum(counts)
 
 
-def _in_table_order(spark: SparkSession, stream: DataFrame, table: str) -> DataFrame:
+def publish_batch(batch: DataFrame, table: str, checkpoint: str, number: int) -> int:
+    """Add a batch to a Parquet table under file names of its own; the same batch again replaces them. Returns its rows."""
+    spark = batch.sparkSession
+    place = table_location(spark, table)
+    mark = f"batch-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{number:08d}"
+    staged = f"{place}/_{mark}"  # readers skip it; a rename stays within one file system
     target = spark.read.table(table).schema
-    have = set(stream.columns)
-    return stream.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in target])
+    have = set(batch.columns)
+    batch.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in target]).write.mode("overwrite").parquet(staged)
+    rows = spark.read.schema(target).parquet(staged).count()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.globStatus(path(f"{place}/{mark}-*")) or []:  # of an attempt that was cut short
+        files.delete(status.getPath(), False)
+    for k, status in enumerate(files.globStatus(path(f"{staged}/part-*")) or []):
+        if not files.rename(status.getPath(), path(f"{place}/{mark}-{k:05d}.parquet")):
+            raise OSError(f"cannot move {status.getPath().toString()} into {table}")
+    files.delete(path(staged), True)
+    return rows
 
 
 def ingest_all(spark: SparkSession, sources: Sequence[FileSource]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -15,13 +16,13 @@ def forecast_stream(spark: SparkSession, path: str, schema: T.StructType, option
 def scored_stream(
     feed: DataFrame, keys: Sequence[str], ts: str, score: Callable[[DataFrame], DataFrame], late: str = "3 days"
 ) -> DataFrame:
-    """Each (keys, ts) once, scored by a stateless function.
+    """Each (keys, ts) once, scored by a stateless function, such as a fitted model's ``transform``.
 
-    The watermark lets the state of delivered rows be dropped; a repeat that
-    comes later than ``late`` counts as new.
+    The watermark stands on the time of arrival, which no row can be behind, so no forecast hour is too late. It
+    lets the state of delivered rows be dropped: a repeat that arrives more than ``late`` after the first counts as new.
     """
-    once = feed.withWatermark(ts, late).dropDuplicatesWithinWatermark([*keys, ts])
-    return once.transform(score)
+    arrived = feed.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", late)
+    return arrived.dropDuplicatesWithinWatermark([*keys, ts]).drop("__arrived").transform(score)
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -90,6 +90,21 @@ FIRE_SCHEMA = T.StructType(
     ]
 )
 
+# Further columns of detection files, carried through when a file has them.
+FIRE_SCHEMA_FULL = T.StructType(
+    [
+        *FIRE_SCHEMA.fields,
+        T.StructField("bright_ti4", T.DoubleType()),
+        T.StructField("scan", T.DoubleType()),
+        T.StructField("track", T.DoubleType()),
+        T.StructField("satellite", T.StringType()),
+        T.StructField("instrument", T.StringType()),
+        T.StructField("version", T.StringType()),
+        T.StructField("bright_ti5", T.DoubleType()),
+        T.StructField("daynight", T.StringType()),
+    ]
+)
+
 WEATHER_SCHEMA = T.StructType(
     [
         T.StructField("cell_id", T.StringType()),

@@ -221,7 +221,7 @@ def split_by_time(spark, sf_dir):
 def _scored_documents(spark, sf_dir):
     """Labelled documents with a score that only depends on their length."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    score = F.least(F.col("n_chars").cast("double"), F.lit(4000.0)) / F.lit(4000.0)
+    score = F.col("n_chars").cast("double") / (F.col("n_chars").cast("double") + F.lit(1000.0))
     return d.select("doc_id", score.alias("score")).join(labels.select("doc_id", "quality"), "doc_id")
 
 
@@ -232,7 +232,7 @@ _SWEEP = """
                CAST(sum(pos) OVER () AS BIGINT) AS positives, CAST(sum(neg) OVER () AS BIGINT) AS negatives
         FROM (SELECT CAST(least(floor(score * 100), 99) AS INTEGER) AS bin, count(*) FILTER (WHERE quality = 1) AS pos,
                      count(*) FILTER (WHERE quality = 0) AS neg
-              FROM (SELECT least(CAST(n_chars AS DOUBLE), 4000.0) / 4000.0 AS score, quality
+              FROM (SELECT CAST(n_chars AS DOUBLE) / (CAST(n_chars AS DOUBLE) + CAST(1000.0 AS DOUBLE)) AS score, quality
                     FROM documents JOIN labels USING (doc_id)) AS s GROUP BY 1) AS b) AS c"""
 _F2 = "CASE WHEN precision = 0 AND recall = 0 THEN 0.0::DOUBLE ELSE CAST(5.0 AS DOUBLE) * precision * recall / (CAST(4.0 AS DOUBLE) * precision + recall) END"
 

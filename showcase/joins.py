@@ -176,13 +176,15 @@ def nearest_cells(spark, sf_dir):
     with_sql(
         "complete_gold",
         f"""
-SELECT n.cell_id AS grid_id, g.timestamp_clima,
+SELECT n.cell_id AS grid_id, own.timestamp_clima,
        CAST(sum(g.temperature_2m) AS DOUBLE) / CAST(nullif(count(g.temperature_2m), 0) AS DOUBLE) AS temperature_near,
        CAST(sum(g.precipitation) AS DOUBLE) / CAST(nullif(count(g.precipitation), 0) AS DOUBLE) AS precipitation_near,
        CAST(sum(g.target) AS BIGINT) AS fires_near,
        {mean_direction_sql('g.wind_direction_10m')} AS wind_direction_near
-FROM nearest AS n JOIN complete_gold AS g ON g.grid_id = n.neighbour
-GROUP BY n.cell_id, g.timestamp_clima""",
+FROM (SELECT DISTINCT grid_id, timestamp_clima FROM complete_gold) AS own
+JOIN nearest AS n ON n.cell_id = own.grid_id
+LEFT JOIN complete_gold AS g ON g.grid_id = n.neighbour AND g.timestamp_clima = own.timestamp_clima
+GROUP BY n.cell_id, own.timestamp_clima""",
         cells=_CELLS,
         nearest=_NEAREST,
     ),
@@ -200,6 +202,7 @@ def neighbour_means(spark, sf_dir):
         sums={"fires_near": "target"},
         directions={"wind_direction_near": "wind_direction_10m"},
         exact_means=["temperature_2m", "precipitation"],
-        neighbour_rows=links.count(),
+        neighbour_rows=2 * links.count(),
+        keep_empty=True,
     )
     return near.withColumn("wind_direction_near", F.col("wind_direction_near").cast("decimal(20,3)").cast("double"))

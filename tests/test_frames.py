@@ -181,3 +181,11 @@ def test_a_key_is_cut_into_chunks_in_the_plan(spark):
     plan = over_time(df, ["k"], "ts", [trailing("s", "n", "sum", HOUR)])._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchanges) == 1 and "__chunk" in exchanges[0]
+
+
+def test_as_of_join_has_no_window_over_the_probes(spark):
+    left = spark.createDataFrame([(1, dt.datetime(2020, 1, 1) + dt.timedelta(days=d), d) for d in range(300)] + [(None, dt.datetime(2020, 1, 1), -1)], "k int, ts timestamp, n int")
+    right = spark.createDataFrame([(1, dt.datetime(2020, 1, 10), 1.0), (1, dt.datetime(2020, 1, 10), 2.0), (1, dt.datetime(2020, 5, 1), None), (1, dt.datetime(2020, 7, 1), 3.0)], "k int, since timestamp, v double")
+    joined = as_of_join(left, right, ["k"], "ts", "since", "v", chunk_seconds=30 * 24 * HOUR)
+    got = {r.n: r.v for r in joined.collect()}
+    assert got == {d: None if d < 9 else 2.0 if d < 182 else 3.0 for d in range(-1, 300)}

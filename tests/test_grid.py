@@ -101,3 +101,17 @@ def test_morton_is_injective_and_local(spark):
     assert len({r.z for r in rows}) == 800
     want = lambda r, c: sum(((r >> i & 1) << 2 * i) | ((c >> i & 1) << 2 * i + 1) for i in range(16))
     assert all(r.z == want(r.r, r.c) for r in rows)
+
+
+def test_nearest_nodes_over_wide_gaps(spark):
+    nodes = spark.createDataFrame([("a", 0.0, 0.0), ("b", 0.1, 0.1), ("c", 80.0, 170.0), ("d", -80.0, -179.9)], "cell_id string, latitude double, longitude double")
+    got = nearest_nodes(nodes, count=2).collect()
+    assert sorted((r.cell_id, r.position) for r in got) == [(n, p) for n in "abcd" for p in (1, 2)]
+    assert {r.neighbour for r in got if r.cell_id == "a" and r.position == 1} == {"b"}
+
+
+def test_a_time_without_neighbours_has_nulls(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "a")], "n string, neighbour string")
+    hours = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0), ("b", 1, 7.0)], "n string, t int, x double")
+    got = {(r.n, r.t): r.m for r in neighbour_mean(hours, links, "n", "t", means={"m": "x"}, keep_empty=True).collect()}
+    assert got == {("a", 1): 7.0, ("b", 1): 5.0, ("a", 2): None, ("b", 2): 6.0}

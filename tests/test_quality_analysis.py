@@ -8,6 +8,7 @@ from emberscope.operators import analysis as A
 from emberscope.operators import quality as Q
 from emberscope.operators.blocks import block_deltas, roll_up
 from emberscope.operators.evaluation import (
+    score_report,
     best_threshold,
     class_ratio,
     confusion,
@@ -196,3 +197,21 @@ def test_models_are_seeded_and_learn(spark):
     sweep = weight_sweep(df.filter("id < 300"), df.filter("id >= 300"), ["a", "b"], "target", [1.0, 5.0], trees=5, depth=3)
     rows = sweep.collect()
     assert len(rows) == 2 and rows[0].f2 >= rows[1].f2
+
+
+def test_scores_that_are_none(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.2, 0), (None, 1), (float("nan"), 0), (1.5, 1), (-0.1, 0)], "s double, y int")
+    top = threshold_sweep(df, "s", "y").orderBy(F.desc("threshold")).first()
+    assert (top.threshold, top.tp, top.fp, top.positives, top.negatives) == (0.99, 1, 0, 2, 2)
+    r = score_report(df, "s").first()
+    assert (r.usable, r.below, r.above, r["nan"], r.missing) == (2, 1, 1, 1, 1)
+
+
+def test_audit_reads_its_table_once(spark, tmp_path):
+    rows = [(f"c{i % 3}", dt.date(2020, 1, 1 + i % 2), 1.0, float(i % 3), None if i == 4 else 1.0) for i in range(12)]
+    spark.createDataFrame(rows, "cell string, day date, latitude double, longitude double, x double").write.parquet(f"{tmp_path}/t")
+    out = Q.audit(spark.read.parquet(f"{tmp_path}/t"), "cell", "day", ["x"], 3, 2, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f"{tmp_path}/t" not in plan
+    got = {(r.check, r.subject): (r.observed, r.expected) for r in out.collect()}
+    assert got == {("volume", "table"): (12, 12), ("points", "table"): (3, 3), ("null_coordinates", "table"): (0, 0), ("nulls", "x"): (1, 0)}

@@ -8,11 +8,13 @@ from pyspark.sql import types as T
 
 from emberscope import vocabulary as V
 from emberscope.operators.grid import GridSpec
+from emberscope.plans.gold import gold_full
 from emberscope.plans.medallion import Tables, build
+from emberscope.plans.silver import silver_fires
 from emberscope.sources import landing as L
 from emberscope.sources import tables as S
 from emberscope.sources.files import load_schema
-from emberscope.streaming.ingest import FileSource, ingest, ingest_all
+from emberscope.streaming.ingest import FileSource, ingest, ingest_all, publish_batch
 from emberscope.streaming.scoring import drain, forecast_stream, scored_stream
 
 HEADER = "latitude,longitude,acq_date,acq_time,confidence,frp"
@@ -124,6 +126,86 @@ def test_one_failing_source_does_not_stop_the_others(spark, tmp_path, schema):
     assert got == {"bad": (False, None, True), "odd": (False, None, True), "t": (True, 1, False)}
 
 
+FULL = "latitude,longitude,bright_ti4,scan,track,acq_date,acq_time,satellite,instrument,confidence,version,bright_ti5,frp,daynight"
+ROW = "-31.22,-64.41,330.5,0.39,0.36,2020-08-23,1805,N,VIIRS,h,2,290.1,9.5,D"
+
+
+def test_columns_are_matched_by_header(spark, tmp_path, schema):
+    src = source(tmp_path, schema)
+    put(src.path, "a.csv", HEADER, "-31.2,-64.4,2020-01-01,5,n,1.5")
+    put(src.path, "b.csv", "FRP,longitude,latitude,note,acq_time,acq_date,confidence", "2.5,-64.4,-31.2,hello,45,2020-01-02,h", "x,-64.4,-31.3,,46,2020-01-02,h")
+    put(src.path, "c.csv", FULL, ROW)
+    assert ingest(spark, src) == 4
+    rows = {r.latitude: r for r in spark.read.table(src.table).filter("acq_date > '2020-01-01'").collect()}
+    assert (rows["-31.2"].longitude, rows["-31.2"].frp, rows["-31.2"].confidence) == ("-64.4", 2.5, "h")
+    assert json.loads(rows["-31.2"]["_rescued_data"]) == {"note": "hello"}
+    assert rows["-31.3"].frp is None and rows["-31.3"]["_rescued_data"] == "x,-64.4,-31.3,,46,2020-01-02,h"
+    assert (rows["-31.22"].confidence, rows["-31.22"].frp) == ("h", 9.5)
+    assert json.loads(rows["-31.22"]["_rescued_data"])["satellite"] == "N"
+
+
+def test_inferred_columns_are_matched_by_header(spark, tmp_path, schema):
+    src = source(tmp_path, schema, declared=None)
+    put(src.path, "a.csv", "a,b", "1,x")
+    put(src.path, "b.csv", "b,a", "y,2")
+    assert ingest(spark, src) == 2
+    assert {(r.a, r.b, r["_rescued_data"]) for r in spark.read.table(src.table).collect()} == {(1, "x", None), (2, "y", None)}
+
+
+def test_all_detection_columns_reach_silver_and_the_label(spark, tmp_path, schema):
+    src = source(tmp_path, schema, declared=V.FIRE_SCHEMA_FULL)
+    put(src.path, "a.csv", FULL, ROW)
+    ingest(spark, src)
+    fires = silver_fires(spark.read.table(src.table))
+    r = fires.first()
+    assert (r.satellite, r.bright_ti4, r.daynight, r.confidence, r.hora_join) == ("N", 330.5, "D", "h", 18) and r["_rescued_data"] is None
+    weather = spark.createDataFrame([(-31.2, -64.4)], "latitude double, longitude double").select(
+        "*", F.lit("c").alias("grid_id"), F.lit(1.0).alias("elevation"), F.timestamp_seconds(F.lit(1598205600)).alias("timestamp_clima"),
+        F.to_date(F.lit("2020-08-23")).alias("fecha_join"), F.lit(18).alias("hora_join"), *[F.lit(1.0).alias(v) for v in V.CLIMATE_VARIABLES])
+    assert (gold_full(weather, fires).first().target, gold_full(weather, fires).first().fire_intensity) == (1, 9.5)
+
+
+def test_a_repeated_batch_counts_once(spark, schema):
+    df = spark.range(10).withColumn("s", F.lit("a"))
+    df.limit(0).write.saveAsTable(f"{schema}.t")
+    for rows in (df, df.limit(4), df):
+        publish_batch(rows, f"{schema}.t", "/checkpoint", 3)
+    publish_batch(df, f"{schema}.t", "/checkpoint", 4)
+    spark.catalog.refreshTable(f"{schema}.t")
+    assert spark.read.table(f"{schema}.t").count() == 20
+
+
+def test_files_come_in_bounded_batches(spark, tmp_path, schema):
+    src = source(tmp_path, schema, options={"maxFilesPerTrigger": "2"})
+    for i in range(5):
+        put(src.path, f"{i}.csv", HEADER, f"-31.{i},-64.4,2020-01-01,5,n,1.5")
+    assert ingest(spark, src) == 5 and spark.read.table(src.table).count() == 5
+    assert len(os.listdir(f"{src.checkpoint}/offsets")) >= 3
+
+
+def test_replace_after_a_crash_while_staging(spark, schema):
+    name = f"{schema}.t"
+    S.replace_table(spark.range(2), name)
+    home = S.table_location(spark, name)
+    spark.range(1).write.parquet(f"{home}__staging")  # files without a catalog entry
+    S.replace_table(spark.range(7), name)
+    assert S.read_table(spark, name).count() == 7
+    spark.range(1).write.parquet(f"{home}_new")
+    S.append_merging(spark.range(3), f"{name}_new")
+    assert spark.read.table(f"{name}_new").count() == 3
+
+
+def test_late_cells_and_earlier_hours_are_scored(spark, tmp_path):
+    def lot(cell, days):
+        return [(cell, dt.datetime(2020, 1, 1) + dt.timedelta(hours=h), float(h)) for h in range(24 * days)]
+
+    for part in (lot("a", 10), lot("b", 10) + lot("a", 2)):
+        spark.createDataFrame(part, "k string, ts timestamp, x double").write.mode("append").parquet(f"{tmp_path}/feed")
+        feed = forecast_stream(spark, f"{tmp_path}/feed", "k string, ts timestamp, x double")
+        drain(scored_stream(feed, ["k"], "ts", lambda d: d), f"{tmp_path}/out", f"{tmp_path}/check")
+    assert spark.read.parquet(f"{tmp_path}/out").groupBy("k").count().collect() and spark.read.parquet(f"{tmp_path}/out").count() == 480
+
+
 def test_replace_by_a_query_over_itself(spark, schema):
     name = f"{schema}.t"
     S.replace_table(spark.range(5), name)
