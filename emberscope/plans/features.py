@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions.indices import spread_index
 from ..functions.timekeys import HOUR, cyclic
-from ..operators.blocks import block_deltas, roll_up
+from ..operators.blocks import block_deltas, block_start, roll_up
+from ..operators.grid import neighbour_mean
 from ..operators.frames import (
     dry_hours,
     dry_marks,
@@ -101,3 +102,30 @@ def block_features(hourly: DataFrame, key: str = "grid_id", ts: str = "timestamp
         "wind_speed_10m_delta": "wind_speed_10m",
     }
     return block_deltas(blocks, [key], "block_start", changes)
+
+
+def training_table(hourly: DataFrame, links: DataFrame, key: str = "grid_id", ts: str = "timestamp_clima", link_rows: int | None = None) -> DataFrame:
+    """One row per cell and six-hour block of a gap-free hourly series, with everything a model is trained on.
+
+    The block's base values and changes, the lags, rolling values, dry hours and 12 h label as they stand at its last hour,
+    the means of the neighbouring cells in the same block, and the season. ``links`` holds (key, neighbour).
+    Blocks without their last hour have no label and are left out.
+    """
+    blocks = block_features(hourly, key, ts)
+    memory = memory_features(hourly, key, ts).filter(F.hour(ts) % 6 == 5)
+    carried = [c for c in memory.columns if c not in hourly.columns]
+    memory = memory.select(key, block_start(F.col(ts)).alias("block_start"), *carried)
+    near = neighbour_mean(
+        blocks,
+        links,
+        key,
+        "block_start",
+        means={"temperature_near": "temperature_2m", "humidity_near": "relative_humidity_2m"},
+        sums={"fires_near": "target"},
+        neighbour_rows=link_rows,
+        keep_empty=True,
+    )
+    hour_sin, hour_cos = cyclic(F.hour("block_start"), 24)
+    month_sin, month_cos = cyclic(F.month("block_start"), 12)
+    joined = blocks.join(memory, [key, "block_start"]).join(near, [key, "block_start"], "left")
+    return joined.withColumns({"hour_sin": hour_sin, "hour_cos": hour_cos, "month_sin": month_sin, "month_cos": month_cos})

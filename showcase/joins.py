@@ -149,6 +149,10 @@ def _cells(spark, sf_dir):
     return users(spark, sf_dir).select(user.cast("string").alias("cell_id"), latitude(user).alias("latitude"), longitude(user).alias("longitude"))
 
 
+def neighbour_links(spark, sf_dir):
+    return nearest_nodes(_cells(spark, sf_dir)).withColumnRenamed("cell_id", "grid_id")
+
+
 _NEAREST = """
   SELECT cell_id, neighbour, distance_km, position FROM (
     SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY distance_km, neighbour) AS position FROM (
@@ -192,7 +196,7 @@ GROUP BY n.cell_id, own.timestamp_clima""",
 )
 def neighbour_means(spark, sf_dir):
     """Mean climate and number of fires of the eight nearest cells at the same hour."""
-    links = nearest_nodes(_cells(spark, sf_dir)).withColumnRenamed("cell_id", "grid_id")
+    links = neighbour_links(spark, sf_dir)
     near = neighbour_mean(
         complete_gold(spark, sf_dir),
         links,

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from emberscope.functions.timekeys import HOUR
 from emberscope.operators import frames as R
-from emberscope.plans.features import ROLLING, block_features, gold_features, memory_features
+from emberscope.plans.features import ROLLING, block_features, gold_features, memory_features, training_table
 
+from .joins import _CELLS, _NEAREST, neighbour_links
 from .base import GOLD_COLUMNS, VARIABLES, complete_gold, doubles, gold, mean_direction_sql, plain, query, table, weather, with_sql
 
 KEYS, TS = ["grid_id"], "timestamp_clima"
@@ -28,6 +29,10 @@ def _range(fn: str, column: str, hours: int) -> str:
     return f"{fn}({column}) OVER (w RANGE BETWEEN INTERVAL {hours * HOUR - 1} SECOND PRECEDING AND CURRENT ROW)"
 
 
+def six(expr: str, name: str) -> str:
+    return f"CAST(CAST({expr} AS DECIMAL(28,6)) AS DOUBLE) AS {name}"
+
+
 _TIME_COLUMNS = ",\n".join(
     f"CAST({_range('sum', 'precipitation', h)} AS DOUBLE) AS precipitation_sum_{h}h, "
     f"CAST({_range('sum', 'temperature_2m', h)} AS DOUBLE) / CAST(nullif({_range('count', 'temperature_2m', h)}, 0) AS DOUBLE) AS temperature_2m_mean_{h}h"
@@ -50,6 +55,23 @@ def rolling_time(spark, sf_dir):
     return plain(framed.select(*KEYS, TS, *[f.name for f in frames]))
 
 
+@query(
+    with_sql(
+        "weather",
+        "SELECT grid_id, timestamp_clima, "
+        + ", ".join(six(_range("sum", c, h), f"{c}_sum_{h}h") for c in ("precipitation", "temperature_2m") for h in (24, 96))
+        + " FROM weather WINDOW w AS (PARTITION BY grid_id ORDER BY timestamp_clima)",
+    )
+)
+def rolling_time_double(spark, sf_dir):
+    """The same frames over DOUBLE columns, whose sums are added up frame by frame."""
+    names = ("precipitation", "temperature_2m")
+    w = weather(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in names})
+    frames = [R.trailing(f"{c}_sum_{h}h", c, "sum", h * HOUR) for c in names for h in (24, 96)]
+    framed = R.over_time(w, KEYS, TS, frames)
+    return plain(framed.select(*KEYS, TS, *[F.col(f.name).cast("decimal(28,6)").alias(f.name) for f in frames]))
+
+
 _LAGS = [(c, h) for c in ("temperature_2m", "wind_speed_10m") for h in (6, 12, 24, 48)]
 
 
@@ -160,10 +182,6 @@ def memory_feature_table(spark, sf_dir):
     return plain(built.select("grid_id", TS, "target", *made))
 
 
-def six(expr: str, name: str) -> str:
-    return f"CAST(CAST({expr} AS DECIMAL(28,6)) AS DOUBLE) AS {name}"
-
-
 INDEX = "CAST(wind_speed_10m AS DOUBLE) * CAST(temperature_2m AS DOUBLE) / (CAST(relative_humidity_2m AS DOUBLE) + 1) AS fire_spread_index"
 CYCLES = ", ".join(
     [
@@ -208,3 +226,48 @@ def asof_monthly(spark, sf_dir):
     monthly = o.groupBy("o_custkey", since.alias("since")).agg(F.max("o_totalprice").alias("monthly_value"))
     left = o.select("o_orderkey", "o_custkey", "o_orderdate")
     return R.as_of_join(left, monthly, ["o_custkey"], "o_orderdate", "since", "monthly_value", 90 * 24 * HOUR)
+
+
+_SEASON = ", ".join(
+    six(f"{fn}(2 * pi() * {part}(b.block_start) / {n})", f"{part}_{fn}") for part, n in (("hour", 24), ("month", 12)) for fn in ("sin", "cos")
+)
+_LAG_COLUMNS = ("temperature_2m", "relative_humidity_2m", "wind_speed_10m")
+
+
+@query(
+    with_sql(
+        "complete_gold",
+        f"""SELECT b.*, w.weather_code, {_delta('temperature_2m')}, {_delta('vapour_pressure_deficit')}, {_delta('wind_speed_10m')},
+       m.* EXCLUDE (grid_id, block_start), {six('n.temperature_near', 'temperature_near')}, {six('n.humidity_near', 'humidity_near')}, n.fires_near, {_SEASON}
+FROM block AS b LEFT JOIN modes AS w ON w.grid_id = b.grid_id AND w.block_start = b.block_start
+LEFT JOIN memory AS m ON m.grid_id = b.grid_id AND m.block_start = b.block_start
+LEFT JOIN near AS n ON n.grid_id = b.grid_id AND n.block_start = b.block_start
+QUALIFY m.grid_id IS NOT NULL""".replace("b.*,", "b.*, ").replace("OVER (PARTITION BY grid_id ORDER BY block_start", "OVER (PARTITION BY b.grid_id ORDER BY b.block_start"),
+        block=_BLOCK.replace("FROM gold", "FROM complete_gold"),
+        modes=_MODE.replace("FROM gold", "FROM complete_gold WHERE weather_code IS NOT NULL"),
+        dried=_DRY.format(source="complete_gold"),
+        hours="SELECT grid_id, timestamp_clima, time_bucket(INTERVAL 6 HOUR, timestamp_clima, TIMESTAMP '2000-01-01') AS block_start, "
+        + ", ".join(
+            f"CAST(max({c}) OVER (w RANGE BETWEEN INTERVAL {h} HOUR PRECEDING AND INTERVAL {h} HOUR PRECEDING) AS DOUBLE) AS {c}_lag_{h}h"
+            for c in _LAG_COLUMNS
+            for h in (6, 12, 24, 48)
+        )
+        + f", {_TIME_COLUMNS}, CAST(dry AS BIGINT) AS dry_hours, {_HORIZON} AS target_ahead "
+        + "FROM dried WINDOW w AS (PARTITION BY grid_id ORDER BY timestamp_clima)",
+        memory="SELECT * EXCLUDE (timestamp_clima) FROM hours WHERE hour(timestamp_clima) % 6 = 5",
+        cells=_CELLS,
+        nearest=_NEAREST,
+        near="""SELECT own.grid_id, own.block_start, avg(o.temperature_2m) AS temperature_near, avg(o.relative_humidity_2m) AS humidity_near,
+         CAST(sum(o.target) AS BIGINT) AS fires_near
+  FROM block AS own JOIN nearest AS n ON n.cell_id = own.grid_id
+  LEFT JOIN block AS o ON o.grid_id = n.neighbour AND o.block_start = own.block_start GROUP BY 1, 2""",
+    ),
+    name="training_table",
+)
+def training(spark, sf_dir):
+    """Six-hour blocks of every cell with base values, changes, memory, neighbours, season and the 12 h label."""
+    links = neighbour_links(spark, sf_dir)
+    out = training_table(complete_gold(spark, sf_dir), links, link_rows=2 * links.count())
+    digits = ["temperature_near", "humidity_near", "hour_sin", "hour_cos", "month_sin", "month_cos"]
+    rounded = {c: F.col(c).cast("decimal(28,6)") for c in digits} | {"wind_direction_10m": F.col("wind_direction_10m").cast("decimal(20,3)")}
+    return plain(out.withColumns(rounded))
