@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberscope.llm import decontaminate, langid, mixing, near_dedup, token_output
 from emberscope.llm.common import free_name, read
 from emberscope.llm.queries import END_ID, MIX_POWER, MIX_SEED, tokenizer_path
-from emberscope.session import fresh_dir, pin_utc
+from emberscope.session import fresh_dir, pin_utc, remove_dir
 
 #: Cosine with the nearest language below which a text is in none.
 LEAST_COSINE = 0.02
@@ -57,9 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and reread as the input of the next."""
-    docs = read(pin_utc(spark), sf_dir, "documents")
+    docs, last = read(pin_utc(spark), sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = fresh_dir(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove_dir(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ Tokens are words between ASCII white space, A-Z lower-cased, and an end after ea
 
 The model's outcomes are the most frequent tokens and a fixed number of classes for all
 other words, a class being a hash of the word's last two letters and the punctuation after them. An
-outcome is predicted from the five outcomes before it: each context place has a diagonal matrix, each outcome
+outcome is predicted from the four outcomes before it: each context place has a diagonal matrix, each outcome
 a vector, their products add up to a prediction, and its dot product with an outcome's own vector plus
 a bias is the outcome's score. Training contrasts each token with noise drawn from the outcomes' frequencies and so
 needs no normaliser; scoring takes the softmax over all outcomes, a matrix product for a batch of tokens.
@@ -27,25 +27,27 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.session import materialize
+from emberscope.session import Scratch
 
 from .common import WORD, chunks, lower_text, ship
 
 FREQUENT = 1 << 16
-TOKENS, CLASSES = 384, 128
+TOKENS, CLASSES = 192, 64
 OUTCOMES = TOKENS + CLASSES
-WIDTH, CONTEXT = 32, 5
-ROUNDS, BATCH, NOISE, RATE, SEED = 2, 1024, 48, 0.1, 11
+WIDTH, CONTEXT = 16, 4
+ROUNDS, BATCH, NOISE, RATE, SEED = 1, 2048, 32, 0.2, 11
 #: The end as a token: no word has white space.
 END = "\n"
 CACHE_WORDS, COUNTER_WORDS = 300_000, 200_000
 _PUNCTUATION = ".,;:!?"
+_ONES = np.ones(OUTCOMES, dtype=np.float32)
 _STEP = float(1 << 24)
 
 
@@ -63,28 +65,35 @@ class Vocabulary:
     """Outcomes and counts of frequent words; ``counts`` is sorted by falling count."""
 
     def __init__(self, counts: list[tuple[str, int]]):
-        self.counts = dict(counts)
-        self.top = {END: 0} | {w: i for i, w in enumerate([w for w, _ in counts if w != END][: TOKENS - 1], 1)}
-        self.cache = dict(self.top)
-
-    def outcomes(self, words: list[str]) -> list[int]:
-        out = list(map(self.cache.get, words))
-        if None in out:
-            for i, k in enumerate(out):
-                if k is None:
-                    if len(self.cache) >= CACHE_WORDS:
-                        self.cache = dict(self.top)
-                    out[i] = self.cache[words[i]] = word_class(words[i])
-        return out
-
-    def stream(self, texts: list[list[str]]) -> np.ndarray:
-        """Outcomes of all texts, with padding before each and an end after each."""
-        ids: list[int] = []
-        for words in texts:
-            ids += [OUTCOMES] * CONTEXT
-            ids += self.outcomes(words)
-            ids.append(0)
-        return np.array(ids, dtype=np.int64)
+        self.place = {w: i for i, (w, _) in enumerate(counts)}
+        self.counts = np.array([c for _, c in counts] + [0], dtype=np.float64)  # the last: not frequent
+        self.ends = int(self.counts[self.place.get(END, -1)])
+        top = {END: 0} | {w: i for i, w in enumerate([w for w, _ in counts if w != END][: TOKENS - 1], 1)}
+        self.outcome = np.array([top[w] if w in top else word_class(w) for w, _ in counts] + [0], dtype=np.int64)
+        self.classes: dict[str, int] = {}
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the frequent words, -1 for others, and outcomes."""
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        outcomes = self.outcome[at]
+        for i in np.flatnonzero(at < 0).tolist():
+            k = self.classes.get(words[i])
+            if k is None:
+                if len(self.classes) >= CACHE_WORDS:
+                    self.classes = {}
+                k = self.classes[words[i]] = word_class(words[i])
+            outcomes[i] = k
+        return at, outcomes
+
+    def stream(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Outcomes of all texts, with padding before each and an end after each; where each text begins; all words' places."""
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(lengths + CONTEXT + 1)])
+        at, outcomes = self.look_up(list(chain.from_iterable(texts)))
+        ids = np.full(begin[-1], OUTCOMES, dtype=np.int64)
+        ids[np.arange(len(at)) + np.repeat(begin[:-1] + CONTEXT - (np.cumsum(lengths) - lengths), lengths)] = outcomes
+        ids[begin[1:] - 1] = 0
+        return ids, begin, at
 
 
 class Model:
@@ -121,15 +130,17 @@ class Model:
     def log10_probabilities(self, ids: np.ndarray) -> np.ndarray:
         """Of each token of a stream after the first CONTEXT, normalised; 0 for padding."""
         out = np.zeros(len(ids) - CONTEXT)
-        for a in range(0, len(out), 4096):
-            part = ids[a : a + 4096 + CONTEXT]
+        for a in range(0, len(out), 512):  # so that a block of scores stays in the processor's cache
+            part = ids[a : a + 512 + CONTEXT]
             _, q = self.predictions(part)
             target = part[CONTEXT:]
-            logits = q @ self.outer.T + self.bias
-            logits -= logits.max(axis=1, keepdims=True)
+            logits = q @ self.outer.T
+            logits += self.bias
+            if logits.max() > 60:  # a sum of exponentials could overflow
+                logits -= logits.max(axis=1, keepdims=True)
             own = logits[np.arange(len(target)), np.minimum(target, OUTCOMES - 1)].astype(np.float64)
             np.exp(logits, out=logits)
-            value = (own - np.log(logits.sum(axis=1, dtype=np.float64))) / np.log(10)
+            value = (own - np.log((logits @ _ONES).astype(np.float64))) / np.log(10)
             out[a : a + len(target)] = np.where(target < OUTCOMES, value, 0.0)
         return out
 
@@ -215,7 +226,7 @@ def outcome_totals(counts: DataFrame, vocabulary) -> tuple[np.ndarray, np.ndarra
 
     def classed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"outcome": vocabulary.value.outcomes(part["word"].tolist()), "c": part["c"]})
+            yield pd.DataFrame({"outcome": vocabulary.value.look_up(part["word"].tolist())[1], "c": part["c"]})
 
     tokens, kinds = np.zeros(OUTCOMES), np.zeros(OUTCOMES)
     for r in counts.mapInPandas(classed, "outcome int, c long").groupBy("outcome").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
@@ -237,7 +248,7 @@ def fit(texts: DataFrame, vocabulary, shares: np.ndarray, rounds: int = ROUNDS)
             for part in parts:
                 rows = part["text"].tolist()
                 for a, b in chunks(rows):
-                    trainer.train(vocabulary.value.stream([words_of(t) for t in rows[a:b]]))
+                    trainer.train(vocabulary.value.stream([words_of(t) for t in rows[a:b]])[0])
             if trainer.tokens:
                 values = np.append(trainer.m.flat() * trainer.tokens, trainer.tokens)
                 yield pd.DataFrame({"i": np.arange(len(values)), "value": values})
@@ -259,9 +270,10 @@ def score_texts(docs: DataFrame, learns: Column, doc_id: str = "doc_id", text: s
     """
     spark = docs.sparkSession
     ship(spark)
+    scratch = Scratch(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
     training = rows.filter("learns").select("text")
-    counts = materialize(count_words(training), "counts")
+    counts = scratch.put(count_words(training), "counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums.n or 0, sums.v
     # a fixed number of words
@@ -276,39 +288,43 @@ def score_texts(docs: DataFrame, learns: Column, doc_id: str = "doc_id", text: s
         from pyspark import TaskContext
 
         lm, voc, k = Model(model.value), vocabulary.value, TaskContext.get().partitionId() << 40
-        ends = voc.counts.get(END, 0)
+        logs_of = np.log10(voc.counts + 1)
+        # what a word's own count adds to its class's probability; nothing for tokens that are outcomes themselves
+        inner_of = np.where(voc.outcome >= TOKENS, logs_of, 0.0)
         for part in parts:
             texts = part["text"].tolist()
             for a, b in chunks(texts):
                 words = [words_of(t) for t in texts[a:b]]
-                ids = voc.stream(words)
+                ids, begin, at = voc.stream(words)
                 value = np.concatenate([np.zeros(CONTEXT), lm.log10_probabilities(ids)])
-                real = np.minimum(ids, OUTCOMES - 1)
-                value = value - np.where((ids >= TOKENS) & (ids < OUTCOMES), in_class[real], 0.0)
-                before = np.concatenate([[0], np.cumsum([len(w) + 1 + CONTEXT for w in words])])
-                value = np.add.reduceat(value, before[:-1])
-                out = []
-                for i, own in enumerate(words):
-                    known = list(map(voc.counts.get, own))
-                    rare = Counter([w for w, c in zip(own, known) if c is None])
-                    seen = [c for c in known if c is not None]
-                    logs = float(np.log10(np.array(seen, dtype=np.float64) + 1).sum())
-                    inner = float(np.log10(np.array([c for w, c in zip(own, known) if c is not None and w not in voc.top], dtype=np.float64) + 1).sum())
-                    k += 1
-                    out.append((k, len(own) + 1, len(seen) + (ends > 0), logs + np.log10(ends + 1), value[i] + inner, list(rare), list(rare.values())))
-                frame = pd.DataFrame(out, columns=["place", "n_tokens", "known", "logs", "value", "rare", "times"])
-                frame.insert(0, "held_out", ~part["learns"].to_numpy()[a:b])
-                frame.insert(0, "doc_id", part["doc_id"].to_numpy()[a:b])
-                yield frame
-
-    schema = "doc_id long, held_out boolean, place long, n_tokens long, known long, logs double, value double, rare array<string>, times array<long>"
+                value -= np.where((ids >= TOKENS) & (ids < OUTCOMES), in_class[np.minimum(ids, OUTCOMES - 1)], 0.0)
+                value = np.add.reduceat(value, begin[:-1])
+                # sums over each text's words; a last 0 serves texts without any
+                first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (at >= 0, logs_of[at], inner_of[at])]
+                known, logs, inner = (s[first[1:]] - s[first[:-1]] for s in sums)
+                rare = [Counter([own[i] for i in np.flatnonzero(at[x:y] < 0).tolist()]) for own, x, y in zip(words, first, first[1:])]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].to_numpy()[a:b],
+                    "held_out": ~part["learns"].to_numpy()[a:b],
+                    "place": k + np.arange(b - a),
+                    "n_tokens": np.diff(first) + 1,
+                    "known": known + (voc.ends > 0),
+                    "logs": logs + np.log10(voc.ends + 1),
+                    "value": value + inner,
+                    "rare": [list(r) for r in rare],
+                    "times": [list(r.values()) for r in rare],
+                })
+                k += b - a
+
+    schema = "doc_id string, held_out boolean, place long, n_tokens long, known long, logs double, value double, rare array<string>, times array<long>"
     # written once, so a row keeps its number
-    parts = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(score, schema.replace("doc_id long", "doc_id string")), "scored")
+    parts = scratch.put(rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(score, schema), "scored")
     each = parts.select("place", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("place", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = each.join(counts, "word").groupBy("place").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
     known = parts.drop("rare", "times").join(found, "place", "left")
     more_logs = F.coalesce("more_logs", F.lit(0.0))
-    return known.select(
+    out = known.select(
         F.col("doc_id").cast(dict(docs.dtypes)[doc_id]).alias("doc_id"),
         "held_out",
         "n_tokens",
@@ -317,3 +333,6 @@ def score_texts(docs: DataFrame, learns: Column, doc_id: str = "doc_id", text: s
         (F.col("logs") + more_logs - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
         (F.col("value") + more_logs).alias("score"),
     )
+    out = scratch.put(out, "scores")
+    scratch.clear(out)
+    return out

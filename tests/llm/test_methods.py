@@ -56,7 +56,7 @@ def test_lm_base_and_gain(spark, documents):
 def test_lm_is_normalised():
     flat = lm_score.Model.start(np.full(lm_score.OUTCOMES, 1 / lm_score.OUTCOMES))
     model = lm_score.Model(flat)
-    context = [3, 400, 0, 17, lm_score.OUTCOMES]
+    context = [3, 200, 0, 17, 5][: lm_score.CONTEXT]
     total = sum(10 ** model.log10_probabilities(np.array([*context, w]))[0] for w in range(lm_score.OUTCOMES))
     assert total == pytest.approx(1, abs=1e-4)
 
