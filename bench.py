@@ -1,7 +1,7 @@
 """Headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS]; prints one JSON line.
 
 All queries run twice to warm up, the second time in turned order, so that none pays for starting the
-session or compiling what the others share. Then each runs $BENCH_RUNS times (default 3); the median counts. Results are consumed by the no-op sink, so that every column is
+session or compiling what the others share. Then each runs $BENCH_RUNS times (default 2); the median counts. Results are consumed by the no-op sink, so that every column is
 computed and nothing is collected.
 """
 
@@ -46,7 +46,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     only = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n]
     spark = build_session(
         "bench",
