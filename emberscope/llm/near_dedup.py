@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     whole = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     named = whole.select("doc_id", F.md5(F.col("text").cast("binary")).alias("content"))
-    first = named.groupBy("content").agg(F.min("doc_id").alias("node"))
+    first = scratch.put(named.groupBy("content").agg(F.min("doc_id").alias("node")), "first")
     # equal texts, and then rows with the same id, are one node
     members = scratch.put(named.join(first, "content").select("doc_id", "node").distinct(), "members")
     nodes = members.filter("doc_id = node").select("node").distinct()

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberscope.session import materialize
+
 from .common import free_name, lower_ascii
 
 WORDS, BITS = 4, 8
@@ -116,7 +118,8 @@ def judge(
     kept = [c for c in pages.columns if c.lower() not in made]
     base = pages.select(*kept, host.alias("host"), path.alias("path"))
     base = base.withColumns({"rule": matching_rule(F.col("host"), F.col("path"), rules), key: canonical(F.col("host"), F.col("path"))})
-    keys = listed.select(F.col(listed_column).alias(own)).filter(F.col(own).isNotNull()).distinct()
+    # as a table: read three times, and a plain side of the join, so that Spark can split a hot URL
+    keys = materialize(listed.select(F.col(listed_column).alias(own)).filter(F.col(own).isNotNull()).distinct(), "listed")
     blocks = blocks_for(keys.count(), max_blocks=max_blocks)
     tested = possible_hits(base, key, bloom_table(keys, own, blocks), blocks, flag)
     hits = tested.filter(flag).join(keys, F.col(key) == F.col(own), "left")
