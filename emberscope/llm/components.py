@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from emberscope.session import Scratch
 
 
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller node at most, and none that has one is another's."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.unionAll(edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    seen = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return seen.filter("below > 1 OR below > 0 AND above > 0").isEmpty()
 
 
 def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -44,14 +48,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     inner = Scratch(scratch.spark)
     edges = _kept(_small_star(links.toDF("u", "v").filter("u <> v"), inner), scratch, inner)
-    seen = _print(edges)
-    while True:
+    while not _are_stars(edges):
         last, edges = edges, _kept(_small_star(inner.put(_large_star(edges, inner), "larger"), inner), scratch, inner)
         scratch.drop(last)
-        now = _print(edges)
-        if now == seen:
-            roots = edges.select("v").distinct()
-            out = scratch.put(edges.toDF("node", "label").union(roots.select(F.col("v").alias("node"), F.col("v").alias("label"))), "labels")
-            scratch.drop(edges)
-            return out
-        seen = now
+    roots = edges.select("v").distinct()
+    out = scratch.put(edges.toDF("node", "label").union(roots.select(F.col("v").alias("node"), F.col("v").alias("label"))), "labels")
+    scratch.drop(edges)
+    return out
