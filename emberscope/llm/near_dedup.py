@@ -155,9 +155,9 @@ def _verifier(similarity: float):
 def _sharing_rare(documents: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different parts that share one of their rarest shingles; no similar pair is missing.
 
-    Of two sets with this similarity, each misses a bounded number of the other's elements. So among the first
-    n - ceil(similarity * n) + 1 elements of each, in any order common to all, there is a common one. In order of rising
-    frequency these are shingles that hardly any other document has.
+    Sets of n and m elements with this similarity have at least c = similarity / (1 + similarity) * (n + m) in common. In any
+    order common to all, the first of these is at place n - c + 1 of the one and m - c + 1 of the other at most, and c is no
+    less than similarity * n. In order of rising frequency these are shingles that hardly any other document has.
     """
 
     def shingled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,11 +173,12 @@ def _sharing_rare(documents: DataFrame, similarity: float, scratch: Scratch) ->
     # bounded by the length of the document
     place = F.row_number().over(Window.partitionBy("node").orderBy("times", "token"))
     first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
-    prefix = ranked.withColumn("place", place).filter((F.col("place") <= first) & (F.col("times") > 1)).select("token", "node", "part", "n")
+    prefix = ranked.withColumn("place", place).filter((F.col("place") <= first) & (F.col("times") > 1)).select("token", "node", "part", "n", "place")
     prefix = scratch.put(prefix, "prefix")
-    other = prefix.toDF("token", "b", "b_part", "b_n")
+    other = prefix.toDF("token", "b", "b_part", "b_n", "b_place")
     near = prefix.withColumnRenamed("node", "a").join(other, "token").filter("a < b AND part <> b_part")
-    near = near.filter(F.least("n", "b_n") >= F.lit(similarity - 1e-9) * F.greatest("n", "b_n"))
+    common = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("b_n")) - F.lit(1e-9))
+    near = near.filter((F.col("place") <= F.col("n") - common + 1) & (F.col("b_place") <= F.col("b_n") - common + 1))
     return scratch.put(near.select("a", "b").distinct(), "pairs")
 
 
