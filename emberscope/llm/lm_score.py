@@ -221,6 +221,25 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, number: int) -> list[tuple[str, int]]:
+    """Words by falling count, ``number`` at most, and the end: all whose count is in the upper levels that hold so many.
+
+    There are 16 levels to each doubling, so about a thousand at most; sorting all words on every task and
+    sending each one's first to the driver would grow with the tasks.
+    """
+    level = F.floor(F.log2(F.col("c")) * F.lit(16)).cast("int")
+    least, held = None, 0
+    end = [(r.word, r.c) for r in counts.filter(F.col("word") == END).collect()]
+    counts = counts.filter(F.col("word") != END)
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.level):
+        held += r.n
+        if held > number:
+            break
+        least = r.level
+    words = [] if least is None else [(r.word, r.c) for r in counts.filter(level >= least).collect()]
+    return sorted(end + words, key=lambda x: (-x[1], x[0]))
+
+
 def outcome_totals(counts: DataFrame, vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of every outcome: OUTCOMES rows at most."""
 
@@ -276,8 +295,7 @@ def score_texts(docs: DataFrame, learns: Column, doc_id: str = "doc_id", text: s
     counts = scratch.put(count_words(training), "counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums.n or 0, sums.v
-    # a fixed number of words
-    common = [(r.word, r.c) for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    common = most_frequent(counts, frequent)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(common))
     tokens, kinds = outcome_totals(counts, vocabulary)
     shares = (tokens + 1) / (tokens + 1).sum()
