@@ -70,6 +70,18 @@ def test_lm_rare_words_are_joined(spark):
     assert all(few[i].n_known == many[i].n_known and few[i].base_score == pytest.approx(many[i].base_score) for i in few)
 
 
+def test_lm_context_tells_common_words_apart(spark):
+    # 260 words of one ending and one count, each even one always before the next odd one
+    words, rng = [f"w{i:03d}xx" for i in range(260)], random.Random(4)
+    texts = [" ".join(f"{words[i]} {words[i + 1]}" for i in rng.sample(range(0, 260, 2), 130)) for _ in range(200)]
+    pairs = [(i, f"{words[i]} {words[i + 1]}", f"{words[i]} {words[(i + 3) % 260]}") for i in range(200, 260, 2)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, a) for i, a, _ in pairs] + [(2000 + i, b) for i, _, b in pairs]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in lm_score.score_texts(df, F.col("doc_id") < 1000, rounds=7).collect()}
+    better = [got[1000 + i] - got[2000 + i] for i, _, _ in pairs]
+    assert sum(b > 0.05 for b in better) > 0.9 * len(better)
+
+
 # --- 2 -----------------------------------------------------------------------
 
 
