@@ -10,16 +10,14 @@ from emberscope.llm.common import free_name, read
 from emberscope.llm.queries import END_ID, MIX_POWER, MIX_SEED, tokenizer_path
 from emberscope.session import fresh_dir, pin_utc, remove_dir
 
-#: Cosine with the nearest language below which a text is in none.
-LEAST_COSINE = 0.02
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without a letter or unlike every language go."""
-    prototypes = langid.learn(docs)
+    learned = langid.profiles(docs)
+    prototypes = {name: langid.prototype(shares) for name, shares in learned.items()}
     said = free_name(docs, "__said")
-    judged = docs.withColumn(said, langid.predict(docs, prototypes))
-    return judged.filter((F.col(f"{said}.lang_pred") != langid.UNKNOWN) & (F.col(f"{said}.score") >= LEAST_COSINE)).drop(said)
+    judged = docs.withColumn(said, langid.predict(docs, prototypes, spreads={name: langid.spread(shares) for name, shares in learned.items()}))
+    return judged.filter((F.col(f"{said}.lang_pred") != langid.UNKNOWN) & ~F.col(f"{said}.foreign")).drop(said)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,12 @@ code point, and a run of anything else is one gap. Texts that are null or have n
 are ``und`` with score 0, as is everything if nothing was learned. Equal cosines go to the
 language that sorts first. Rows with a null or empty language teach nothing.
 The score is the cosine, with negative values as 0.
+
+Which language is nearest says little about whether a text is in it: without the mean, some cosine is nearly always positive.
+Whether a text is foreign is told by its product with the prototype, mean kept, for each trigram. A language's own
+training texts give its mean and deviation; a text is foreign below LEAST_SHARE of the mean, less one
+deviation over the root of the text's effective number of trigrams (the square of their number over the sum of the squared
+counts), so that short texts and those that repeat a few words are not judged by chance.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ UNKNOWN = "und"
 #: Prototypes are DIMENSIONS numbers for each language; more languages than this are refused.
 MAX_LANGUAGES = 4096
 BATCH = 64
+#: Share of the training texts' mean product with their language that a long text must have.
+LEAST_SHARE = 0.3
 
 
 class _Space:
@@ -85,8 +93,8 @@ def space() -> _Space:
     return _space[0]
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Prototypes by language, from all rows of ``docs``.
+def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
+    """Shares of all trigrams by language, from all rows of ``docs``.
 
     Tasks add up histograms by language, which Spark then sums: languages times
     trigrams at most, however many the texts.
@@ -96,7 +104,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     known = known.filter(F.col("text").isNotNull() & (F.col("lang") != ""))
 
-    def profiles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def histograms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for part in parts:
             for t, language in zip(part["text"], part["lang"]):
@@ -110,7 +118,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             at = np.flatnonzero(h)
             yield pd.DataFrame({"lang": language, "gram": at, "weight": h[at]})
 
-    weights = known.mapInPandas(profiles, "lang string, gram long, weight double")
+    weights = known.mapInPandas(histograms, "lang string, gram long, weight double")
     # in steps of 2**-40, so that the order of adding makes no difference
     steps = F.sum(F.round(F.col("weight") * float(1 << 40)).cast("decimal(38,0)"))
     summed = weights.groupBy("lang", "gram").agg(steps.alias("weight"))
@@ -120,42 +128,62 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
         counts.setdefault(r.lang, np.zeros(GRAMS))[r.gram] = float(r.weight)
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    out = {}
-    for language in sorted(counts):
-        v = (counts[language].astype(np.float32) / np.float32(counts[language].sum())) @ space().grams
-        out[language] = v / np.linalg.norm(v)
-    return out
+    return {language: counts[language] / counts[language].sum() for language in sorted(counts)}
+
+
+def prototype(shares: np.ndarray) -> np.ndarray:
+    v = shares.astype(np.float32) @ space().grams
+    return v / np.linalg.norm(v)
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
+    """Prototypes by language, from all rows of ``docs``."""
+    return {language: prototype(shares) for language, shares in profiles(docs, text, lang).items()}
+
+
+def spread(shares: np.ndarray) -> tuple[float, float]:
+    """Mean and deviation of the product with its prototype over a language's trigrams."""
+    own = space().grams @ prototype(shares)
+    mean = float(shares @ own)
+    return mean, float(np.sqrt(max(0.0, shares @ (own * own) - mean * mean)))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> Column:
-    """A column struct<lang_pred, score> over ``docs``' text."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", spreads: dict[str, tuple[float, float]] | None = None) -> Column:
+    """A column struct<lang_pred, score> over ``docs``' text; with ``spreads`` of all languages given, also whether it is foreign."""
     ship(docs.sparkSession)
     names = sorted(prototypes)
+    limits = np.array([spreads[n] for n in names]).reshape(-1, 2) if spreads is not None else None
     model = docs.sparkSession.sparkContext.broadcast((names, np.array([prototypes[n] for n in names], dtype=np.float32)))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double" + ("" if limits is None else ", foreign boolean"))
     def said(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         languages, vectors = model.value
+        raw = vectors
         if languages:
             mean = vectors.mean(axis=0) if len(languages) > 1 else np.zeros(DIMENSIONS, dtype=np.float32)
             vectors = vectors - mean
             vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         for texts in parts:
-            best, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+            best, score, foreign = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             rows = texts.tolist()
             for begin in range(0, len(rows) if languages else 0, BATCH):
                 own = [(i, h) for i in range(begin, min(begin + BATCH, len(rows))) if (h := space().histogram(rows[i])) is not None]
                 if not own:
                     continue
                 vec = np.stack([h for _, h in own]) @ space().grams
+                products = vec @ raw.T if limits is not None else None
                 vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
                 vec -= mean
                 vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
                 cosine = vec @ vectors.T
-                for (i, _), row in zip(own, cosine):
+                for at, ((i, h), row) in enumerate(zip(own, cosine)):
                     k = int(np.argmax(row))
                     best[i], score[i] = languages[k], min(1.0, max(0.0, float(row[k])))
-            yield pd.DataFrame({"lang_pred": best, "score": score})
+                    if limits is not None:
+                        n, (usual, deviation) = float(h.sum(dtype=np.float64)), limits[k]
+                        foreign[i] = products[at, k] / n < LEAST_SHARE * usual - deviation * np.sqrt(float(h @ h)) / n
+            out = {"lang_pred": best, "score": score}
+            yield pd.DataFrame(out if limits is None else out | {"foreign": foreign})
 
     return said(F.col(text))
 

@@ -40,6 +40,19 @@ def test_language_keeps_texts_with_a_language(spark, stages):
     assert kept.filter("doc_id < 0").count() == 0
 
 
+def test_language_rejects_what_was_not_learned(spark, stages):
+    before, _ = stages["language_id"]
+    rng, russian = np.random.default_rng(3), "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью ".split()
+    alphabets = {"latin": [chr(c) for c in range(97, 123)], "cyrillic": [chr(c) for c in range(0x430, 0x450)], "han": [chr(c) for c in range(0x4E00, 0x5E00)]}
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(200)) for letters in alphabets.values() for _ in range(40)]
+    texts += [" ".join(rng.permutation(russian * 20)) for _ in range(40)]
+    junk = spark.createDataFrame([(-1 - i, t, "", "s", len(t)) for i, t in enumerate(texts)], before.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, before.union(junk), SMALL).select("doc_id").collect()}
+    assert not [i for i in kept if i < 0]
+    # and every document with a letter stays, the short ones, too
+    assert kept == {r.doc_id for r in before.collect() if any(c.isalpha() for c in r.text or "")}
+
+
 def test_one_of_each_class_stays(stages):
     before, after = stages["near_duplicates"]
     classes = classes_of({r.doc_id: r.text for r in before.collect()})
