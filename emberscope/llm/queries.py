@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, line_dedup, lm_score, mixing, near_dedup, substring_dedup, token_output, url_filter
+from . import ann, decontaminate, langid, line_dedup, lm_score, mixing, near_dedup, simhash, substring_dedup, token_output, url_filter
 from .common import read, remainder
 from .registry import REGISTRY, query
 
@@ -156,3 +156,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = line_dedup.remove_lines(docs, MIN_SITES, site="source")
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# --- 13: fingerprints --------------------------------------------------------
+
+
+@query()
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_edited(read(spark, sf_dir, "documents").select("doc_id", "text"))
