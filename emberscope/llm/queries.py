@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, line_dedup, lm_score, mixing, near_dedup, simhash, substring_dedup, token_output, url_filter
+from . import ann, decontaminate, langid, line_dedup, lm_score, mixing, near_dedup, simhash, substring_dedup, token_output, url_filter, whitening
 from .common import read, remainder
 from .registry import REGISTRY, query
 
@@ -158,6 +158,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+# --- 11: whitening -----------------------------------------------------------
+
+COMPONENTS = 16
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, components=COMPONENTS)
+    white = whitening.whiten(vectors, model)
+    n, error, explained = (model.n, model.identity_error, model.explained) if model else (0, 0.0, [])
+    shares = F.array(*map(F.lit, explained)) if explained else F.array().cast("array<double>")
+    rows = white.select("vec_id", F.posexplode("whitened").alias("place", "whitened"), "deviation")
+    return rows.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("place")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
 # --- 13: fingerprints --------------------------------------------------------
 
 
