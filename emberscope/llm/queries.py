@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, line_dedup, lm_score, mixing, near_dedup, simhash, substring_dedup, token_output, url_filter, whitening
+from . import ann, decontaminate, dialogue, langid, line_dedup, lm_score, mixing, near_dedup, simhash, substring_dedup, token_output, url_filter, whitening
 from .common import read, remainder
 from .registry import REGISTRY, query
 
@@ -182,6 +182,72 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 12: conversations -------------------------------------------------------
+
+
+def _dearer(state: str, cost: int | str, edit: str) -> str:
+    """A state of the SQL, nine digits of cost and the audit, after one more edit; the least of such strings is the cheapest."""
+    return f"lpad(CAST(CAST(substr({state}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{edit}'"
+
+
+def _after(state: str, *others: str) -> str:
+    """After a row's edits: deletion, or what else leads to ``state`` from ``others`` where it is allowed."""
+    rest = [f"CASE WHEN code <> 'x' THEN {_dearer(o, '3 + more', 'R')} END" for o in others if state in "ua"]
+    kept = [f"CASE WHEN code = '{state}' THEN {_dearer(o, 'more', 'K')} END" for o in others]
+    return "least(" + ", ".join([_dearer(f"of_{state}", 4, "D"), *kept, *rest]) + ")"
+
+
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END))"""
+_GAP = "\\x20\\x09-\\x0D"
+
+
+@query(f"""
+WITH RECURSIVE asked AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({_CRC}, CAST(4294967295 AS BIGINT)) % 20 AS kind FROM asked),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds WHERE kind <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place FROM damaged),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{_GAP}]') THEN 'blank'
+                          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+                          WHEN NOT regexp_matches(text, '[.!?][{_GAP}]*$') THEN 'truncated' ELSE '' END AS fault,
+                  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY place) || substr(role, 1, 1) AS pair FROM ordered),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+                   count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+                   count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+run AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS place, '000000000' AS of_0, CAST(NULL AS VARCHAR) AS of_s, '000000003I' AS of_u, '000000006II' AS of_a FROM counted
+  UNION ALL
+  SELECT conv_id, place, to_0, to_s, least(to_u, {_dearer("to_0", 3, "I")}, {_dearer("to_s", 3, "I")}, {_dearer("to_a", 3, "I")}),
+         least(to_a, {_dearer("to_u", 3, "I")}, {_dearer("to_0", 6, "II")}, {_dearer("to_s", 6, "II")})
+  FROM (SELECT conv_id, place, {_dearer("of_0", 4, "D")} AS to_0, {_after("s", "of_0")} AS to_s,
+               {_after("u", "of_0", "of_s", "of_a")} AS to_u, {_after("a", "of_u")} AS to_a
+        FROM (SELECT f.conv_id, f.place, of_0, of_s, of_u, of_a, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' ELSE substr(role, 1, 1) END AS code,
+                     CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more
+              FROM run AS r JOIN faults AS f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.place = r.place + 1))),
+best AS (SELECT c.conv_id, least(of_0, of_a) AS best FROM run AS r JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.n = r.place),
+edits AS (SELECT conv_id, unnest(string_split(substr(best, 10), '')) AS edit, generate_subscripts(string_split(substr(best, 10), ''), 1) AS i FROM best WHERE length(best) > 9),
+placed AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS place FROM edits),
+turns AS (SELECT p.conv_id, i, edit, f.role, f.text, row_number() OVER (PARTITION BY p.conv_id ORDER BY i) AS m,
+                 first_value(edit = 'K' AND substr(f.role, 1, 1) = 's') OVER (PARTITION BY p.conv_id ORDER BY i) AS led
+          FROM placed AS p LEFT JOIN faults AS f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.place = p.place AND p.edit <> 'I' WHERE edit <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (m - CAST(led AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                        || ':' || coalesce(text, ''), chr(10) ORDER BY i) AS lines FROM turns GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(best, 1, 9) AS BIGINT), 0) AS cost, coalesce(substr(best, 10), '') AS audit,
+       sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best AS b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN repaired AS r ON r.conv_id IS NOT DISTINCT FROM a.conv_id""")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged, present = dialogue.damage(read(spark, sf_dir, "conversations"))
+    out = dialogue.repair(damaged, present=present)
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    digest = F.sha2(F.array_join(lines, "\n").cast("binary"), 256)
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest.alias("repaired_sha256"))
+
+
 # --- 13: fingerprints --------------------------------------------------------
 
 
