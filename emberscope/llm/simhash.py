@@ -132,11 +132,14 @@ def successors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     near = spread.select("block", "doc_id", "own", "n_chars", F.lead(this).over(inside).alias("next"), F.lag(this).over(inside).alias("last"))
     # one row for each block: as many as there are partitions
     ends = spread.groupBy("block").agg(F.min(this).alias("first"), F.max(this).alias("final"))
-    line = Window.orderBy("block")
-    every = ends.agg(F.min("first").alias("start"), F.max("final").alias("end"))
-    ends = ends.select("block", F.lead("first").over(line).alias("after"), F.lag("final").over(line).alias("before"))
-    joined = near.join(F.broadcast(ends), "block").crossJoin(F.broadcast(every))  # one row
-    after, before = F.coalesce("next", "after", "start"), F.coalesce("last", "before", "end")
+    line, whole_line = Window.orderBy("block"), Window.partitionBy()
+    ends = ends.select(
+        "block",
+        F.coalesce(F.lead("first").over(line), F.min("first").over(whole_line)).alias("after"),
+        F.coalesce(F.lag("final").over(line), F.max("final").over(whole_line)).alias("before"),
+    )
+    joined = near.join(F.broadcast(ends), "block")
+    after, before = F.coalesce("next", "after"), F.coalesce("last", "before")
     joined = joined.select("doc_id", "own", "n_chars", after.alias("next"), before.alias("last"))
     out = joined.select(
         "doc_id",
