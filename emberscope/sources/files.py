@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,7 @@ def remembered_schema(spark: SparkSession, path: str, schema_path: str, fmt: str
         return saved
     reader = spark.read.option("pathGlobFilter", f"*.{fmt}")
     if fmt == "csv":
-        schema = _inferred(spark, header_lines(spark, path))
+        schema = _inferred(spark, path)
     elif fmt == "json":
         schema = reader.option("multiLine", True).json(path).schema
     else:
@@ -45,17 +47,60 @@ def save_schema(spark: SparkSession, schema: T.StructType, schema_path: str) ->
     spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(schema_path)
 
 
-def header_lines(spark: SparkSession, *paths: str, glob: str = "*.csv") -> dict[str, list[str]]:
-    """The files of each distinct first line. Meant for a bounded number of files: a batch, or a landing area once."""
-    lines = spark.read.option("pathGlobFilter", glob).text(list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
-    )
-    numbered = lines.filter("start = 0").withColumn("n", F.monotonically_increasing_id())
-    first = numbered.groupBy("file").agg(F.min_by("value", "n").alias("line"))
+def literal(path: str) -> str:
+    """A path that a reader takes as it is, though its name holds characters of a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str | None:
+    """The first line of a file that is not blank, without a byte-order mark; None if there is none. Nothing behind it is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        source = codec.createInputStream(stream) if codec is not None else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, encoding))
+        line = reader.readLine()
+        while line is not None and not line.lstrip("\ufeff").strip():
+            line = reader.readLine()
+        return None if line is None else line.lstrip("\ufeff")
+    finally:
+        stream.close()
+
+
+def first_lines(spark: SparkSession, files: Iterable[str], encoding: str = "UTF-8") -> dict[str, str | None | Exception]:
+    """The first line of each file, or why it cannot be read. Meant for the files of one batch, of which there are so many at most."""
+
+    def look(path: str) -> str | None | Exception:
+        try:
+            return first_line(spark, path, encoding)
+        except Exception as error:  # noqa: BLE001 - whatever keeps this file from being read is its own
+            return error
+
+    files = list(files)
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(files, pool.map(look, files), strict=True))
+
+
+def by_header(lines: dict[str, str | None | Exception]) -> dict[str, list[str]]:
+    """The files of each distinct first line, in order; files without one are left out."""
     out: dict[str, list[str]] = {}
-    for row in first.collect():
-        out.setdefault(row.line.lstrip("\ufeff"), []).append(row.file)
-    return {line: sorted(files) for line, files in sorted(out.items())}
+    for path, line in sorted(lines.items()):
+        if isinstance(line, str):
+            out.setdefault(line, []).append(path)
+    return dict(sorted(out.items()))
+
+
+def _batches(items: Iterable[str], size: int) -> Iterable[list[str]]:
+    held: list[str] = []
+    for item in items:
+        held.append(item)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def _names(line: str, options: dict) -> list[str]:
@@ -63,46 +108,73 @@ def _names(line: str, options: dict) -> list[str]:
     return [n.strip() for n in next(csv.reader([line], delimiter=delimiter, quotechar=options.get("quote", '"')), [])]
 
 
-def _inferred(spark: SparkSession, headers: dict[str, list[str]]) -> T.StructType:
-    """Columns by name over all headers; a column of unlike types is text."""
-    if not headers:
-        raise ValueError("there is no CSV file to infer a schema from")
+#: Types that hold all values of the ones before them.
+_WIDER = ((T.IntegerType(), T.LongType(), T.DoubleType()), (T.DateType(), T.TimestampType()))
+
+
+def wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type for values of both: along numbers or times, else text. The order of merging does not matter."""
+    for line in _WIDER:
+        if a in line and b in line:
+            return line[max(line.index(a), line.index(b))]
+    return a if a == b else T.StringType()
+
+
+def _inferred(spark: SparkSession, path: str, glob: str = "*.csv", size: int = 1000) -> T.StructType:
+    """Columns by name over all files, a bounded number of files at a time; a column of unlike types is text."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
     found: dict[str, T.DataType] = {}
-    for files in headers.values():
-        for field in spark.read.option("header", True).option("inferSchema", True).csv(files).schema:
-            known = found.setdefault(field.name, field.dataType)
-            if known != field.dataType:
-                wide = {known.typeName(), field.dataType.typeName()}
-                found[field.name] = T.LongType() if wide == {"integer", "long"} else T.DoubleType() if wide <= {"integer", "long", "double"} else T.StringType()
+    for batch in _batches((r.path for r in files.toLocalIterator()), size):
+        for own in by_header(first_lines(spark, batch)).values():
+            for field in spark.read.option("header", True).option("inferSchema", True).csv([literal(f) for f in own]).schema:
+                found[field.name] = wider(found.get(field.name, field.dataType), field.dataType)
+    if not found:
+        raise ValueError("there is no CSV file to infer a schema from")
     return T.StructType([T.StructField(name, kind) for name, kind in found.items()])
 
 
-def csv_by_name(spark: SparkSession, files: Sequence[str], schema: T.StructType, rescue: bool, multi_line: bool, options: dict) -> DataFrame:
+def _matched(names: Sequence[str], declared: Sequence[str]) -> dict[int, str]:
+    """The declared column that each place of a header stands for: the same name first, then in any case, the first of equals."""
+    out: dict[int, str] = {}
+    for same in (str, str.lower):
+        wanted: dict[str, str] = {}
+        for name in declared:
+            if name not in out.values():
+                wanted.setdefault(same(name), name)
+        for i, name in enumerate(names):
+            if i not in out and same(name) in wanted:
+                out[i] = wanted.pop(same(name))
+    return out
+
+
+def csv_by_name(spark: SparkSession, headers: dict[str, list[str]], schema: T.StructType, rescue: bool, multi_line: bool, options: dict) -> DataFrame:
     """CSV files with a header, their columns matched to the schema by name; (fields, rescue column, source_filename).
 
-    Files may differ in the order and choice of columns: absent ones are null. With ``rescue``, a row that does not
+    ``headers`` holds the files of each first line. Files may differ in the order and choice of columns: absent ones are null. With ``rescue``, a row that does not
     fit keeps its good fields and its raw line, and columns that are not declared are kept as a JSON object of texts.
-    Names match exactly, or else in any case; of columns with the same name the first counts.
+    Names match exactly, or else in any case; of columns with the same name the first counts. Without files there are no rows.
     """
-    parts = []
-    for line, own in header_lines(spark, *files, glob="*").items():
-        declared, read, at, surplus = {f.name: f for f in schema}, [], {}, {}
-        folded = {n.lower(): n for n in declared}
-        for i, name in enumerate(_names(line, options)):
-            target = name if name in declared else folded.get(name.lower())
-            if target is None or target in at:
+    declared = {f.name: f for f in schema}
+    made = [*schema.fields, *([T.StructField(RESCUED, T.StringType())] if rescue else []), T.StructField("source_filename", T.StringType())]
+    out = spark.createDataFrame([], T.StructType(made)) if not headers else None
+    for line, own in headers.items():
+        read, surplus = [], {}
+        names = _names(line, options)
+        at = _matched(names, list(declared))
+        for i, name in enumerate(names):
+            if i in at:
+                read.append(T.StructField(f"__field_{i}", declared[at[i]].dataType))
+            else:
                 surplus[name] = f"__surplus_{i}"
                 read.append(T.StructField(surplus[name], T.StringType()))
-            else:
-                at[target] = target
-                read.append(T.StructField(target, declared[target].dataType))
         reading = {**options, "header": "true", "multiLine": str(multi_line).lower(), "enforceSchema": "true"}
         reading.pop("pathGlobFilter", None)
         if rescue:
             read.append(T.StructField(RESCUED, T.StringType()))
             reading |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RESCUED}
-        rows = spark.read.schema(T.StructType(read)).options(**reading).csv(own)
-        fields = [F.col(n) if n in at else F.lit(None).cast(f.dataType).alias(n) for n, f in declared.items()]
+        rows = spark.read.schema(T.StructType(read)).options(**reading).csv([literal(f) for f in own])
+        place = {name: f"__field_{i}" for i, name in at.items()}
+        fields = [F.col(place[n]).alias(n) if n in place else F.lit(None).cast(f.dataType).alias(n) for n, f in declared.items()]
         if rescue:
             left = [F.struct(F.lit(n).alias("key"), F.col(c).alias("value")) for n, c in surplus.items()]
             kept = F.lit(None).cast("string")
@@ -110,41 +182,45 @@ def csv_by_name(spark: SparkSession, files: Sequence[str], schema: T.StructType,
                 given = F.filter(F.array(*left), lambda x: x["value"].isNotNull())
                 kept = F.when(F.size(given) > 0, F.to_json(F.map_from_entries(given)))
             fields.append(F.coalesce(F.col(RESCUED), kept).alias(RESCUED))
-        parts.append(rows.select(*fields, F.col("_metadata.file_path").alias("source_filename")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        part = rows.select(*fields, F.col("_metadata.file_path").alias("source_filename"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def csv_files(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    """New CSV files as a stream of their paths; contents are not read."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    given = {k: v for k, v in options.items() if k in ("pathGlobFilter", "maxFilesPerTrigger", "latestFirst", "maxFileAge", "recursiveFileLookup")}
-    return spark.readStream.format("binaryFile").schema(schema).options(**{"pathGlobFilter": "*.csv", **given}).load(path).select("path")
-
-
-def csv_stream(spark: SparkSession, path: str, schema: T.StructType, rescue: bool, multi_line: bool, options: dict) -> DataFrame:
-    """CSV files without a header as a stream: columns by position (with one, see ``csv_by_name``).
+def csv_by_place(spark: SparkSession, files: Sequence[str], schema: T.StructType, rescue: bool, multi_line: bool, options: dict) -> DataFrame:
+    """CSV files without a header: columns by position; (fields, rescue column, source_filename).
 
     A row that does not fit keeps its good fields, and with ``rescue`` its whole
     raw line goes to the rescue column. ``multi_line`` admits line breaks in
     quoted fields, at the price of files that cannot be split.
     """
+    reading = {**options, "header": "false", "multiLine": str(multi_line).lower()}
+    reading.pop("pathGlobFilter", None)
     if rescue:
         schema = T.StructType([*schema.fields, T.StructField(RESCUED, T.StringType())])
-        options = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RESCUED}
-    defaults = {"pathGlobFilter": "*.csv", "header": "false", "multiLine": str(multi_line).lower()}
-    return spark.readStream.schema(schema).options(**{**defaults, **options}).csv(path)
+        reading |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RESCUED}
+    rows = spark.read.schema(schema).options(**reading).csv([literal(f) for f in files])
+    return rows.select(*schema.fieldNames(), F.col("_metadata.file_path").alias("source_filename"))
 
 
-def json_stream(spark: SparkSession, path: str, schema: T.StructType, rescue: bool, multi_line: bool, options: dict) -> DataFrame:
-    """JSON documents as a stream: one per file with ``multi_line``, else one per line."""
-    reader = spark.readStream.options(**{"pathGlobFilter": "*.json", **options})
+def json_documents(spark: SparkSession, files: Sequence[str], schema: T.StructType, rescue: bool, multi_line: bool, options: dict) -> DataFrame:
+    """JSON documents, one per file with ``multi_line``, else one per line; (fields, rescue column, source_filename)."""
+    given = {k: v for k, v in options.items() if k != "pathGlobFilter"}
+    paths, name = [literal(f) for f in files], F.col("_metadata.file_path").alias("source_filename")
     if not rescue:
-        return reader.schema(schema).json(path, multiLine=multi_line)
-    texts = reader.text(path, wholetext=multi_line)
-    return texts.select(*parse_json(F.col("value"), schema), "_metadata")
+        return spark.read.schema(schema).options(**given).json(paths, multiLine=multi_line).select(*schema.fieldNames(), name)
+    texts = spark.read.options(**given).text(paths, wholetext=multi_line)
+    return texts.select(*parse_json(F.col("value"), schema), name)
+
+
+def file_paths(spark: SparkSession, path: str, fmt: str, options: dict) -> DataFrame:
+    """New files of a folder as a stream of their paths; contents are not read.
+
+    A path may come more than once in a batch where names hold characters of a pattern.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    given = {k: v for k, v in options.items() if k in ("pathGlobFilter", "maxFilesPerTrigger", "maxBytesPerTrigger", "latestFirst", "maxFileAge", "recursiveFileLookup")}
+    return spark.readStream.format("binaryFile").schema(schema).options(**{"pathGlobFilter": f"*.{fmt}", **given}).load(path).select("path")
 
 
 def parse_json(text: Column, schema: T.StructType) -> list[Column]:

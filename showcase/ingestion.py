@@ -13,7 +13,7 @@ from emberscope.plans.features import stateless_features
 from emberscope.plans.medallion import Tables, build
 from emberscope.session import fresh_dir
 from emberscope.sources.landing import document_variables, file_listing, landing_audit as audit_listing, read_payloads, write_documents
-from emberscope.streaming.ingest import FileSource, ingest, ingest_all
+from emberscope.streaming.ingest import FileSource, ingest, ingest_all, rejected_table
 from emberscope.streaming.scoring import drain, forecast_stream, scored_stream
 
 from .base import VARIABLES, doubles, plain, query, table, weather, with_sql
@@ -153,6 +153,67 @@ def landing_audit(spark, sf_dir):
     return audit.select("files", (F.col("files").cast("double") * 100 / 160).alias("progress"), series.alias("series"))
 
 
+def _text_files(spark, path, texts):
+    """Files of these names and texts, written as any other program would: through the file system of the path."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    for name, text in texts.items():
+        out = files.create(jvm.org.apache.hadoop.fs.Path(folder, name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
+def _rename_parts(spark, path, names):
+    """Give the part files of a folder other names; one for each name at most."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted(s.getPath().getName() for s in files.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    for part, name in zip(parts, names, strict=False):
+        files.rename(jvm.org.apache.hadoop.fs.Path(folder, part), jvm.org.apache.hadoop.fs.Path(folder, name))
+
+
+ODD_NAMES = ["a b.csv", "a%20b.csv", "a[1].csv", "a{1,2}.csv", "a#b.csv", "a?.csv", "ä.csv", "a*.csv"]
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def ingest_odd_names(spark, sf_dir):
+    """Files whose names hold spaces, escapes and characters of patterns, delivered in two lots: each is read once."""
+    path = fresh_dir(spark, "landing")
+    e = table(spark, sf_dir, "events")
+    source = _source(spark, path, "events", "csv", EVENT_CSV)
+    for lot, at in (("event_id % 3 = 0", 0), ("event_id % 3 <> 0", 4)):
+        _write_events_csv(e.filter(lot).repartition(4, "event_id"), path)
+        _rename_parts(spark, path, ODD_NAMES[at : at + 4])
+        ingest(spark, source)
+    return spark.read.table(source.table).select("event_id", "user_id", "event_type", "value")
+
+
+@query(
+    """
+SELECT 'rows' AS what, CAST(count(*) AS VARCHAR) AS said FROM events
+UNION ALL SELECT 'sum of ids', CAST(sum(event_id) AS VARCHAR) FROM events
+UNION ALL SELECT * FROM (VALUES ('empty.csv', 'empty file'), ('blank.csv', 'empty file'), ('message.csv', 'invalid payload'),
+                                ('noise.csv.gz', 'unreadable'), ('status', 'true 4'))"""
+)
+def ingest_quarantine(spark, sf_dir):
+    """Good files among an empty one, a blank one, a message and one that cannot be unpacked: those are set aside with the reason, the rest is all there."""
+    path = fresh_dir(spark, "landing")
+    e = table(spark, sf_dir, "events")
+    _write_events_csv(e.repartition(2, "event_id"), path)
+    _text_files(spark, path, {"empty.csv": "", "blank.csv": "\n \n", "message.csv": "Invalid API call.", "noise.csv.gz": "not packed"})
+    source = _source(spark, path, "events", "csv", EVENT_CSV, options={"pathGlobFilter": "*.csv*"})
+    status = ingest_all(spark, [source]).select(F.lit("status").alias("what"), F.concat_ws(" ", F.col("ok").cast("string"), F.col("rejected").cast("string")).alias("said"))
+    read = spark.read.table(source.table)
+    rows = read.select(F.lit("rows").alias("what"), F.lit(1).alias("n")).groupBy("what").agg(F.count("n").cast("string").alias("said"))
+    ids = read.agg(F.sum("event_id").cast("string").alias("said")).select(F.lit("sum of ids").alias("what"), "said")
+    bad = spark.read.table(rejected_table(source.table))
+    why = bad.select(F.substring_index("file", "/", -1).alias("what"), F.substring_index("reason", ":", 1).alias("said"))
+    return rows.unionByName(ids).unionByName(why).unionByName(status)
+
+
 @query("SELECT 'good' AS source, true AS ok, count(*) AS \"rows\" FROM events UNION ALL SELECT 'bad', false, NULL")
 def ingest_status(spark, sf_dir):
     """A source without files fails and is reported; the other one is ingested all the same."""

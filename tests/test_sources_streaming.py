@@ -1,6 +1,9 @@
 import datetime as dt
+import gzip
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +16,8 @@ from emberscope.plans.medallion import Tables, build
 from emberscope.plans.silver import silver_fires
 from emberscope.sources import landing as L
 from emberscope.sources import tables as S
-from emberscope.sources.files import load_schema
-from emberscope.streaming.ingest import FileSource, ingest, ingest_all, publish_batch
+from emberscope.sources.files import load_schema, wider
+from emberscope.streaming.ingest import EMPTY, INVALID, FileSource, ingest, ingest_all, publish_batch, rejected_table
 from emberscope.streaming.scoring import drain, forecast_stream, scored_stream
 
 HEADER = "latitude,longitude,acq_date,acq_time,confidence,frp"
@@ -190,9 +193,134 @@ def test_replace_after_a_crash_while_staging(spark, schema):
     spark.range(1).write.parquet(f"{home}__staging")  # files without a catalog entry
     S.replace_table(spark.range(7), name)
     assert S.read_table(spark, name).count() == 7
-    spark.range(1).write.parquet(f"{home}_new")
+    spark.range(1).write.parquet(f"{home}_new__staging")  # of a first write that was cut short
     S.append_merging(spark.range(3), f"{name}_new")
     assert spark.read.table(f"{name}_new").count() == 3
+    with pytest.raises(ValueError, match="staging"):
+        S._clear_staging(spark, name)
+
+
+def test_files_of_an_earlier_session_are_kept(spark, schema):
+    """The default catalog is in memory: a new session finds files under the name of a table it does not know."""
+    name = f"{schema}.t"
+    home = S._home(spark, name)
+    spark.range(5).write.parquet(home)
+    S.append_merging(spark.range(3).withColumn("x", F.lit("new")), name)
+    assert spark.read.table(name).count() == 8 and spark.read.table(name).filter("x = 'new'").count() == 3
+    S.replace_table(S.read_table(spark, name).filter("x IS NULL"), name)
+    assert S.read_table(spark, name).count() == 5
+    spark.range(6).withColumn("part", F.col("id") % 2).write.partitionBy("part").parquet(S._home(spark, f"{name}2"))
+    assert S.read_table(spark, f"{name}2").filter("part = 1").count() == 3
+    spark.range(4).write.parquet(S._home(spark, f"{name}3"))
+    S.replace_table(spark.range(2), f"{name}3")
+    assert S.read_table(spark, f"{name}3").count() == 2
+
+
+def test_two_sessions_append_to_one_table(tmp_path):
+    code = (
+        "import sys; from emberscope.session import build_session; from emberscope.sources import tables as S\n"
+        f"spark = build_session('two', 'local[1]', spark__sql__warehouse__dir='{tmp_path}/w', spark__ui__enabled='false', spark__driver__memory='1g')\n"
+        "S.append_merging(spark.range(5), 'default.t'); print('rows', S.read_table(spark, 'default.t').count())"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = [subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300).stdout for _ in range(2)]
+    assert ["rows 5" in said[0], "rows 10" in said[1]] == [True, True], said
+
+
+@pytest.mark.parametrize("staged", [True, False])
+def test_recovery_without_a_catalog(spark, schema, staged):
+    name = f"{schema}.t"
+    spark.range(2).write.parquet(S._home(spark, f"{name}__backup"))
+    if staged:
+        spark.range(7).write.parquet(S._home(spark, f"{name}__staging"))
+    assert S.read_table(spark, name).count() == (7 if staged else 2)
+    S.append_merging(spark.range(1), name)
+    assert S.read_table(spark, name).count() == (8 if staged else 3)
+
+
+ODD = ["x y.csv", "x%20y.csv", "x[1].csv", "x{1,2}.csv", "q?.csv", "st*r.csv", "a#b.csv", "über.csv"]
+
+
+@pytest.mark.parametrize("header", ["true", "false"])
+def test_files_of_any_name_are_read_once(spark, tmp_path, schema, header):
+    src = source(tmp_path, schema, declared=T.StructType.fromDDL("a int, b int"), options={"header": header})
+    head = ["a,b"] if header == "true" else []
+    put(src.path, "plain.csv", *head, "0,0")
+    assert ingest(spark, src) == 1
+    for i, name in enumerate(ODD, 1):
+        put(src.path, name, *head, f"{i},1")
+    assert ingest(spark, src) == len(ODD) and ingest(spark, src) == 0
+    assert sorted(r.a for r in spark.read.table(src.table).collect()) == list(range(len(ODD) + 1))
+
+
+def test_exact_header_names_go_first(spark, tmp_path, schema):
+    src = source(tmp_path, schema, declared=T.StructType.fromDDL("a int, b int"))
+    put(src.path, "one.csv", "A,a,b", "1,2,3")
+    put(src.path, "two.csv", "B,A", "4,5")
+    put(src.path, "three.csv", "\ufeffa,b", "6,7")
+    assert ingest(spark, src) == 3
+    got = {(r.a, r.b, r["_rescued_data"]) for r in spark.read.table(src.table).collect()}
+    assert got == {(2, 3, '{"A":"1"}'), (5, 4, None), (6, 7, None)}
+
+
+def test_bad_files_are_set_aside(spark, tmp_path, schema):
+    src = source(tmp_path, schema, declared=T.StructType.fromDDL("a int, b int"), options={"pathGlobFilter": "*.csv*"})
+    put(src.path, "good.csv", "a,b", "1,2")
+    put(src.path, "empty.csv")
+    put(src.path, "blank.csv", "", "  ")
+    put(src.path, "message.csv", "Invalid API call.")
+    put(src.path, "worded.csv", "a,b", "3,4")
+    lines = b"a,b\n" + b"".join(b"%d,%d\n" % (i, i * 7919 % 1_000_003) for i in range(100_000))
+    with open(f"{src.path}/cut.csv.gz", "wb") as f:
+        f.write(gzip.compress(lines)[:200_000])
+    with open(f"{src.path}/whole.csv.gz", "wb") as f:
+        f.write(gzip.compress(b"a,b\n5,6\n"))
+    with open(f"{src.path}/noise.csv.gz", "wb") as f:
+        f.write(b"this was never compressed")
+    status = ingest_all(spark, [src]).first()
+    assert (status.ok, status.rows, status.rejected) == (True, 3, 5)
+    assert sorted(r.a for r in spark.read.table(src.table).collect()) == [1, 3, 5]
+    why = {r.file.rsplit("/")[-1]: r.reason for r in spark.read.table(rejected_table(src.table)).collect()}
+    assert (why["empty.csv"], why["blank.csv"], why["message.csv"]) == (EMPTY, EMPTY, INVALID)
+    assert why["cut.csv.gz"].startswith("unreadable") and why["noise.csv.gz"].startswith("unreadable") and len(why) == 5
+    put(src.path, "later.csv")  # nothing but a bad file
+    put(src.path, "more.csv", "a,b", "7,8")
+    assert ingest(spark, src) == 1 and spark.read.table(rejected_table(src.table)).count() == 6
+
+
+def test_faults_that_are_not_of_a_file_stop_the_source(spark, tmp_path, schema, monkeypatch):
+    src = source(tmp_path, schema, declared=T.StructType.fromDDL("a int"), options={"mode": "FAILFAST"}, rescue=False)
+    put(src.path, "a.csv", "a", "1")
+
+    def full(*_):
+        raise OSError("no space left")
+
+    with monkeypatch.context() as patch:
+        patch.setattr("emberscope.streaming.ingest.publish_batch", full)
+        assert not ingest_all(spark, [src]).first().ok
+    assert not spark.catalog.tableExists(rejected_table(src.table))
+    put(src.path, "b.csv", "a", "x")  # not to be read in this mode
+    status = ingest_all(spark, [src]).first()
+    assert (status.ok, status.rows, status.rejected) == (True, 1, 1)
+
+
+def test_bad_documents_are_set_aside(spark, tmp_path, schema):
+    src = source(tmp_path, schema, "json", V.WEATHER_SCHEMA)
+    put(src.path, "weather [a].json", document("a"))
+    put(src.path, "weather_b.json", "Invalid request")
+    put(src.path, "weather_c.json")
+    status = ingest_all(spark, [src]).first()
+    assert (status.ok, status.rows, status.rejected) == (True, 1, 2)
+
+
+def test_types_merge_in_any_order():
+    kinds = [T.IntegerType(), T.LongType(), T.DoubleType(), T.DateType(), T.TimestampType(), T.StringType(), T.BooleanType()]
+    for a in kinds:
+        for b in kinds:
+            assert wider(a, b) == wider(b, a)
+            for c in kinds:
+                assert wider(wider(a, b), c) == wider(a, wider(b, c)) or T.StringType() in (a, b, c, wider(wider(a, b), c), wider(a, wider(b, c)))
+    assert wider(T.DateType(), T.TimestampType()) == T.TimestampType() and wider(T.IntegerType(), T.DateType()) == T.StringType()
 
 
 def test_late_cells_and_earlier_hours_are_scored(spark, tmp_path):
