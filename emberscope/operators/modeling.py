@@ -63,18 +63,24 @@ def _fit(train: DataFrame, features: Sequence[str], stages: list) -> PipelineMod
     return Pipeline(stages=[assembler, *stages]).fit(train)
 
 
-def score(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
+def score(model: PipelineModel, df: DataFrame, name: str = "score", keep_incomplete: bool = False) -> DataFrame:
     """Input columns plus the probability of the positive class.
 
-    A margin classifier has no probability; its margin is squashed to [0, 1].
+    A margin classifier has no probability; its margin is squashed to [0, 1]. Rows that lack a feature
+    are left out, or have no score with ``keep_incomplete``.
     """
-    last = model.stages[-1]
-    out = model.transform(df)
+    assembler, last = model.stages[0], model.stages[-1]
+    out = model.transform(df, {assembler.handleInvalid: "keep"}) if keep_incomplete else model.transform(df)
     if last.hasParam("probabilityCol"):
         value = vector_to_array(F.col(last.getOrDefault("probabilityCol")))[1]
     else:
         margin = vector_to_array(F.col(last.getOrDefault("rawPredictionCol")))[1]
         value = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+    if keep_incomplete:
+        whole = F.lit(True)
+        for c in assembler.getInputCols():
+            whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        value = F.when(whole, value)
     return out.select(*df.columns, value.alias(name))
 
 

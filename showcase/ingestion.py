@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberscope import vocabulary as V
+from emberscope.functions.timekeys import HOUR
+from emberscope.operators.frames import lagged, over_time, trailing
 from emberscope.operators.grid import GridSpec
+from emberscope.operators.modeling import fit_forest, score
 from emberscope.operators.nested import build_documents
 from emberscope.operators.quality import schema_drift as drift_table
 from emberscope.plans.features import stateless_features
 from emberscope.plans.medallion import Tables, build
-from emberscope.session import fresh_dir
+from emberscope.session import fresh_dir, materialize
 from emberscope.sources.landing import document_variables, file_listing, landing_audit as audit_listing, read_payloads, write_documents
 from emberscope.streaming.ingest import FileSource, ingest, ingest_all, rejected_table
-from emberscope.streaming.scoring import drain, forecast_stream, scored_stream
+from emberscope.streaming.scoring import LiveScores, drain, forecast_stream, score_with_history, scored_stream
 
-from .base import VARIABLES, doubles, plain, query, table, weather, with_sql
-from .series import CYCLES, INDEX, six
+from .base import VARIABLES, complete_gold, doubles, plain, query, table, weather, with_sql
+from .series import _TIME_COLUMNS, CYCLES, INDEX, six
 from .tables import new_schema
 
 EVENT_CSV = T.StructType(
@@ -269,6 +273,68 @@ def forecast_scoring(spark, sf_dir):
     return plain(scored.select("grid_id", "timestamp_clima", "fire_spread_index", *[F.col(n).cast("decimal(28,6)").alias(n) for n in names]))
 
 
+_LIVE = ("temperature_2m", "precipitation")
+_LIVE_LAGS = [("temperature_2m", h) for h in (6, 12, 24, 48)]
+_FEED_HOURS, _HALF = 120, 60
+
+
+def _live_frames():
+    frames = [lagged(f"{c}_lag_{h}h", c, h * HOUR) for c, h in _LIVE_LAGS]
+    for h in (24, 48, 96):
+        frames += [trailing(f"precipitation_sum_{h}h", "precipitation", "sum", h * HOUR), trailing(f"temperature_2m_mean_{h}h", "temperature_2m", "mean", h * HOUR)]
+    return frames
+
+
+_LAG_SQL = ", ".join(
+    f"CAST(max({c}) OVER (w RANGE BETWEEN INTERVAL {h} HOUR PRECEDING AND INTERVAL {h} HOUR PRECEDING) AS DOUBLE) AS {c}_lag_{h}h" for c, h in _LIVE_LAGS
+)
+_LIVE_COMPLETE = " AND ".join(f"{c}_lag_{h}h IS NOT NULL" for c, h in _LIVE_LAGS)
+
+
+@query(
+    with_sql(
+        "complete_gold",
+        f"""SELECT *, {_LIVE_COMPLETE} AS has_score FROM framed
+WHERE timestamp_clima > (SELECT max(timestamp_clima) - INTERVAL {_FEED_HOURS} HOUR FROM filled)""",
+        filled="SELECT grid_id, timestamp_clima, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in _LIVE) + " FROM complete_gold",
+        framed=f"SELECT grid_id, timestamp_clima, {_LAG_SQL}, {_TIME_COLUMNS} FROM filled WINDOW w AS (PARTITION BY grid_id ORDER BY timestamp_clima)",
+    )
+)
+def live_scoring(spark, sf_dir):
+    """The last five days as a feed in two lots, partly repeated, scored by a saved forest on lags and rolling values.
+
+    The features of the second lot reach into the history and into the first lot.
+    """
+    hours = complete_gold(spark, sf_dir).select(
+        "grid_id", F.col("timestamp_clima").cast("timestamp").alias("timestamp_clima"), "target", *[F.coalesce(F.col(c), F.lit(0).cast("decimal(8,2)")).alias(c) for c in _LIVE]
+    )
+    hours = materialize(hours, "hours")
+    end = hours.agg(F.max("timestamp_clima")).scalar()
+    at = F.col("timestamp_clima")
+    start, middle = (end - F.make_dt_interval(hours=F.lit(h)) for h in (_FEED_HOURS, _HALF))
+    history = hours.filter(at <= start)
+    frames = _live_frames()
+    features = [f.name for f in frames]
+    train = over_time(history, ["grid_id"], "timestamp_clima", frames).select("target", *[F.col(c).cast("double").alias(c) for c in features])
+    model_path = fresh_dir(spark, "model")
+    fit_forest(train, features, positive_weight=10.0, trees=5, depth=4).write().save(model_path)
+    model = PipelineModel.load(model_path)
+    feed_path, state = fresh_dir(spark, "feed"), fresh_dir(spark, "state")
+
+    def finish(rows):
+        scored = score(model, rows.withColumns({c: F.col(c).cast("double") for c in features}), keep_incomplete=True)
+        return scored.withColumn("has_score", F.coalesce(F.col("score").between(0, 1), F.lit(False)))
+
+    live = LiveScores(["grid_id"], "timestamp_clima", list(_LIVE), frames, f"{new_schema(spark, 'live')}.scored", state, finish)
+    feed = hours.drop("target")
+    odd = F.xxhash64("grid_id") % 2 == 0
+    # the second lot repeats the first, and history; half of the cells come with it only
+    for lot in (feed.filter((at > start) & (at <= middle) & odd), feed.filter(at > start - F.make_dt_interval(hours=F.lit(24)))):
+        lot.write.mode("append").parquet(feed_path)
+        score_with_history(forecast_stream(spark, feed_path, feed.schema), history, live)
+    return plain(spark.read.table(live.table).select("grid_id", "timestamp_clima", *features, "has_score"))
+
+
 _FULL = " AND ".join(f"{c} IS NOT NULL" for c in VARIABLES)
 
 
