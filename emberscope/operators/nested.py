@@ -22,13 +22,18 @@ def zip_explode(df: DataFrame, keep: Sequence[Column | str], arrays: Mapping[str
     return df.select(*keep, F.inline(F.arrays_zip(*named)))
 
 
-def unreadable(df: DataFrame, arrays: Mapping[str, Column], strict: bool = False) -> DataFrame:
-    """Rows that ``zip_explode`` turns into nothing."""
+def has_rows(arrays: Mapping[str, Column], strict: bool = False) -> Column:
+    """Whether ``zip_explode`` makes any row of these arrays."""
     total, any_null = F.lit(0), F.lit(False)
     for array in arrays.values():
         total = total + F.coalesce(F.array_size(array), F.lit(0))
         any_null = any_null | array.isNull()
-    return df.filter((total == 0) | any_null if strict else total == 0)
+    return (total > 0) & ~any_null if strict else total > 0
+
+
+def unreadable(df: DataFrame, arrays: Mapping[str, Column], strict: bool = False) -> DataFrame:
+    """Rows that ``zip_explode`` turns into nothing."""
+    return df.filter(~has_rows(arrays, strict))
 
 
 def build_documents(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions.spatial import grid_key, snap
 from ..operators.labels import LEXICAL, keep_confidence, label_join, orphans, snap_detections
+from .losses import Losses
 
 JOIN_KEYS = ["fecha_join", "hora_join", "__row", "__col"]
 GOLD_CLIMATE = [v for v in V.CLIMATE_VARIABLES if v != "snow_depth"]
@@ -23,11 +24,22 @@ def snapped_fires(fires: DataFrame, confidence_mode: str = LEXICAL, accepted: tu
 
 
 def gold_full(
-    weather: DataFrame, fires: DataFrame, confidence_mode: str = LEXICAL, accepted: tuple[str, ...] | None = None
+    weather: DataFrame,
+    fires: DataFrame,
+    confidence_mode: str = LEXICAL,
+    accepted: tuple[str, ...] | None = None,
+    losses: Losses | None = None,
 ) -> DataFrame:
-    """Weather rows with target, intensity and confidence; as many rows as ``weather``."""
+    """Weather rows with target, intensity and confidence; as many rows as ``weather``.
+
+    ``losses`` counts the snapped detections and the rows they label; on hourly rows the difference are the orphans.
+    """
     snapped = snapped_fires(fires, confidence_mode, accepted)
+    if losses:
+        snapped = losses.watch(snapped, "gold_full", detections=F.count(F.lit(1)))
     labelled = label_join(_keyed(weather), snapped, JOIN_KEYS)
+    if losses:
+        labelled = losses.watch(labelled, "gold_full", rows=F.count(F.lit(1)), labelled=F.count_if(F.col("target") == 1))
     return labelled.select(
         "grid_id",
         "timestamp_clima",

@@ -10,7 +10,7 @@ from ..functions.spatial import snap
 from ..functions.timekeys import acquisition_time, iso_time, pad_time
 from ..operators.dedup import keep_first
 from ..operators.grid import assign_node
-from ..operators.nested import zip_explode
+from ..operators.nested import has_rows, zip_explode
 
 
 def silver_grid(landing: DataFrame) -> DataFrame:
@@ -23,9 +23,13 @@ def silver_grid(landing: DataFrame) -> DataFrame:
     )
 
 
-def silver_fires(bronze: DataFrame) -> DataFrame:
-    """Typed detections with time keys, one per date, time and place."""
-    typed = bronze.withColumns({c: F.col(c).try_cast("double") for c in ("latitude", "longitude")})
+def typed_fires(bronze: DataFrame) -> DataFrame:
+    """Detections with numeric coordinates."""
+    return bronze.withColumns({c: F.col(c).try_cast("double") for c in ("latitude", "longitude")})
+
+
+def unique_fires(typed: DataFrame) -> DataFrame:
+    """One detection per date, time and place, with time keys. Of several sets made unique together the same ones remain."""
     unique = keep_first(typed, V.FIRE_KEY)
     timed = unique.withColumn("time_str", pad_time(F.col("acq_time"))).withColumn(
         "timestamp_incendio", acquisition_time(F.col("acq_date"), F.col("time_str"))
@@ -35,6 +39,11 @@ def silver_fires(bronze: DataFrame) -> DataFrame:
     )
 
 
+def silver_fires(bronze: DataFrame) -> DataFrame:
+    """Typed detections with time keys, one per date, time and place."""
+    return unique_fires(typed_fires(bronze))
+
+
 def hourly_arrays(bronze: DataFrame) -> dict[str, Column]:
     """The time axis under either of its names, and the value series."""
     present = set(bronze.schema["hourly"].dataType.fieldNames())
@@ -47,6 +56,11 @@ def hourly_arrays(bronze: DataFrame) -> dict[str, Column]:
     return arrays
 
 
+def readable(bronze: DataFrame) -> Column:
+    """Whether a document yields any row."""
+    return has_rows(hourly_arrays(bronze))
+
+
 def weather_rows(bronze: DataFrame, strict: bool = False) -> DataFrame:
     """One typed row per document and hour."""
     header = [
@@ -62,18 +76,27 @@ def weather_rows(bronze: DataFrame, strict: bool = False) -> DataFrame:
     ).drop("timestamp_clima_str")
 
 
-def silver_weather(bronze: DataFrame, grid: DataFrame, grid_rows: int | None = None, strict: bool = False) -> DataFrame:
-    """Hourly rows with their grid node in the final column order: one plan, one write.
+def newest_hours(rows: DataFrame) -> DataFrame:
+    """One row per place and hour: as in the file whose name sorts last, and of that file's rows the greatest.
 
-    An hour of a place that was delivered again counts once, as in the file whose name sorts last. Rows without a
-    readable time are not hours and all stay.
+    Rows without a readable time are not hours and all stay: each has a number of its own in the key.
     """
-    rows = weather_rows(bronze, strict)
     key = ["latitude", "longitude", "timestamp_clima"]
     others = [F.col(c) for c in rows.columns if c not in key]
-    timed = rows.filter(F.col("timestamp_clima").isNotNull()).groupBy(*key)
-    newest = timed.agg(F.max(F.struct(F.col("source_filename").alias("__file"), F.struct(*others).alias("__row"))).alias("__last"))
-    once = newest.select(*[F.col(c) if c in key else F.col(f"__last.__row.{c}").alias(c) for c in rows.columns])
-    rows = once.unionByName(rows.filter(F.col("timestamp_clima").isNull()))
+    alone = F.when(F.col("timestamp_clima").isNull(), F.monotonically_increasing_id())
+    newest = rows.groupBy(*key, alone.alias("__alone")).agg(F.max(F.struct(F.col("source_filename").alias("__file"), F.struct(*others).alias("__row"))).alias("__last"))
+    return newest.select(*[F.col(c) if c in key else F.col(f"__last.__row.{c}").alias(c) for c in rows.columns])
+
+
+def located_hours(rows: DataFrame, grid: DataFrame, grid_rows: int | None = None) -> DataFrame:
+    """Hourly rows with their grid node in the final column order."""
     located = assign_node(rows, grid.select("grid_id", "latitude_centroid", "longitude_centroid"), grid_rows=grid_rows)
     return located.select(*V.SILVER_WEATHER_KEYS, *V.CLIMATE_VARIABLES, *V.SILVER_WEATHER_TAIL)
+
+
+def silver_weather(bronze: DataFrame, grid: DataFrame, grid_rows: int | None = None, strict: bool = False) -> DataFrame:
+    """Hourly rows with their grid node: one plan, one read of the documents, one write.
+
+    An hour of a place that was delivered again counts once, as in the file whose name sorts last.
+    """
+    return located_hours(newest_hours(weather_rows(bronze, strict)), grid, grid_rows)

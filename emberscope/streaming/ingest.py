@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,11 +209,20 @@ def _ensure(spark: SparkSession, table: str, fields: T.StructType) -> None:
         spark.createDataFrame([], fields).write.format("parquet").saveAsTable(table)
 
 
+def _mark(checkpoint: str) -> str:
+    return f"batch-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+
+
+def batch_number(file_name: Column, checkpoint: str) -> Column:
+    """The number of the batch that wrote a file of a table, from the file's name; null for files of another source."""
+    return F.regexp_extract(file_name, rf"^{_mark(checkpoint)}-(\d{{8}})-", 1).try_cast("int")
+
+
 def publish_batch(batch: DataFrame, table: str, checkpoint: str, number: int) -> int:
     """Add a batch to a Parquet table under file names of its own; the same batch again replaces them. Returns its rows."""
     spark = batch.sparkSession
     place = table_location(spark, table)
-    mark = f"batch-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{number:08d}"
+    mark = f"{_mark(checkpoint)}-{number:08d}"
     staged = f"{place}/_{mark}"  # readers skip it; a rename stays within one file system
     target = spark.read.table(table).schema
     have = set(batch.columns)

@@ -14,7 +14,9 @@ from emberscope.operators.modeling import fit_forest, score
 from emberscope.operators.nested import build_documents
 from emberscope.operators.quality import schema_drift as drift_table
 from emberscope.plans.features import stateless_features
+from emberscope.plans.losses import Losses
 from emberscope.plans.medallion import Tables, build
+from emberscope.plans.refresh import refresh
 from emberscope.session import fresh_dir, materialize
 from emberscope.sources.landing import document_variables, file_listing, landing_audit as audit_listing, read_payloads, write_documents
 from emberscope.streaming.ingest import FileSource, ingest, ingest_all, rejected_table
@@ -338,8 +340,7 @@ def live_scoring(spark, sf_dir):
 _FULL = " AND ".join(f"{c} IS NOT NULL" for c in VARIABLES)
 
 
-@query(
-    with_sql(
+_FEATURES_SQL = with_sql(
         "gold",
         f"""SELECT cell AS grid_id, timestamp_clima, latitude, longitude, elevation, {doubles(*VARIABLES)}, target,
 {doubles('fire_intensity')}, fire_confidence, {six('precip_acum_7d', 'precip_acum_7d')}, {six('precip_acum_3d', 'precip_acum_3d')},
@@ -350,22 +351,25 @@ FROM (SELECT *, CAST(latitude AS VARCHAR) || '_' || CAST(longitude AS VARCHAR) A
       FROM gold WINDOW w AS (PARTITION BY grid_id ORDER BY timestamp_clima)) AS r
 WHERE {_FULL}""",
     )
-)
-def medallion_build(spark, sf_dir):
-    """From CSV detections and JSON weather documents through every layer to the feature table."""
-    weather_path, fires_path = _write_documents(spark, sf_dir, 500), fresh_dir(spark, "fires")
+
+
+def _cell_of(user):
+    return ((F.lit(-325) + user % 20).cast("double") / 10.0).alias("latitude"), ((F.lit(-650) + F.floor(user / 20)).cast("double") / 10.0).alias("longitude")
+
+
+def _write_detections(spark, errors, path):
     letters = F.array(F.lit("l"), F.lit("n"), F.lit("h"))
-    errors = table(spark, sf_dir, "events").filter("event_type = 'error'")
-    user = F.col("user_id")
     errors.select(
-        (((F.lit(-325) + user % 20).cast("double") / 10.0)).alias("latitude"),
-        (((F.lit(-650) + F.floor(user / 20)).cast("double") / 10.0)).alias("longitude"),
+        *_cell_of(F.col("user_id")),
         F.to_date("ts").alias("acq_date"),
         (F.hour("ts") * 100 + F.minute("ts")).alias("acq_time"),
         F.get(letters, (F.col("event_id") % 3).cast("int")).alias("confidence"),
         F.col("value").alias("frp"),
-    ).write.option("header", True).csv(fires_path)
+    ).write.mode("append").option("header", True).csv(path)
+
 
+def _layers(spark, sf_dir):
+    """Table names in schemas of their own, and a grid that holds every user's cell."""
     layer = {name: new_schema(spark, name) for name in ("landing", "bronze", "silver", "gold")}
     named = {
         "landing_grid": "landing",
@@ -377,13 +381,79 @@ def medallion_build(spark, sf_dir):
         "gold_full": "gold",
         "gold_features": "gold",
     }
-    tables = Tables(**{t: f"{layer[where]}.{t}" for t, where in named.items()})
     # twenty cells to a column, as many columns as the users fill
     last = table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]
-    grid = GridSpec(-3250, -3050, -6500, -6500 + 10 * (last // 20 + 1), 10)
-    status = build(spark, fires_path, weather_path, fresh_dir(spark, "state"), grid, tables, layers=(), weather_multi_line=False)
+    return Tables(**{t: f"{layer[where]}.{t}" for t, where in named.items()}), GridSpec(-3250, -3050, -6500, -6500 + 10 * (last // 20 + 1), 10)
+
+
+def _checked(status):
     if failed := status.filter("NOT ok").collect():
         raise RuntimeError(str(failed))
-    out = spark.read.table(tables.gold_features)
+
+
+def _six_digits(features):
     rounded = ["precip_acum_7d", "precip_acum_3d", "hour_sin", "hour_cos", "month_sin", "month_cos"]
-    return plain(out.withColumns({c: F.col(c).cast("decimal(28,6)") for c in rounded}))
+    return plain(features.withColumns({c: F.col(c).cast("decimal(28,6)") for c in rounded}))
+
+
+@query(_FEATURES_SQL)
+def medallion_build(spark, sf_dir):
+    """From CSV detections and JSON weather documents through every layer to the feature table."""
+    weather_path, fires_path = _write_documents(spark, sf_dir, 500), fresh_dir(spark, "fires")
+    _write_detections(spark, table(spark, sf_dir, "events").filter("event_type = 'error'"), fires_path)
+    tables, grid = _layers(spark, sf_dir)
+    _checked(build(spark, fires_path, weather_path, fresh_dir(spark, "state"), grid, tables, layers=(), weather_multi_line=False))
+    return _six_digits(spark.read.table(tables.gold_features))
+
+
+@query(_FEATURES_SQL)
+def incremental_build(spark, sf_dir):
+    """The same in two drops of files, the second with other cells and more detections of the first ones' cells."""
+    fires_path, weather_path, state = fresh_dir(spark, "fires"), fresh_dir(spark, "documents"), fresh_dir(spark, "state")
+    tables, grid = _layers(spark, sf_dir)
+    errors = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    documents = spark.read.schema(V.WEATHER_SCHEMA).json(_write_documents(spark, sf_dir, 500))
+    early = F.pmod(F.xxhash64("cell_id"), F.lit(2)) == 0
+    for lot, some in ((early, "event_id % 3 = 0"), (~early, "event_id % 3 <> 0")):
+        documents.filter(lot).write.mode("append").json(weather_path)
+        _write_detections(spark, errors.filter(some), fires_path)
+        _checked(refresh(spark, fires_path, weather_path, state, grid, tables, layers=(), weather_multi_line=False))
+    return _six_digits(spark.read.table(tables.gold_features).drop("year", "part"))
+
+
+@query(
+    with_sql(
+        "gold",
+        f"""
+SELECT 'silver_fires' AS step, 'read' AS what, count(*) AS rows FROM located UNION ALL
+SELECT 'silver_fires', 'kept', count(*) FROM placed UNION ALL
+SELECT 'silver_fires', 'repeated', (SELECT count(*) FROM located) - (SELECT count(*) FROM placed) UNION ALL
+SELECT 'silver_fires', 'without_time', 0 UNION ALL
+SELECT 'silver_weather', 'documents', count(DISTINCT grid_id) + (SELECT count(DISTINCT user_id) FROM ev WHERE user_id % 7 = 0) FROM weather UNION ALL
+SELECT 'silver_weather', 'unreadable', count(DISTINCT user_id) FROM ev WHERE user_id % 7 = 0 UNION ALL
+SELECT 'silver_weather', 'hours', count(*) FROM weather UNION ALL
+SELECT 'silver_weather', 'outside_grid', count(*) FROM weather WHERE latitude >= -31.5 UNION ALL
+SELECT 'silver_weather', 'without_time', 0 UNION ALL
+SELECT 'gold_full', 'detections', count(*) FROM hours UNION ALL
+SELECT 'gold_full', 'rows', count(*) FROM weather UNION ALL
+SELECT 'gold_full', 'labelled', count(*) FROM gold WHERE target = 1 UNION ALL
+SELECT 'gold_full', 'orphans', count(*) FROM hours AS h ANTI JOIN weather AS w USING (fecha_join, hora_join, latitude, longitude) UNION ALL
+SELECT 'gold_features', 'read', count(*) FROM gold UNION ALL
+SELECT 'gold_features', 'kept', count(*) FROM gold WHERE {_FULL} AND latitude < -31.5 UNION ALL
+SELECT 'gold_features', 'incomplete', count(*) FROM gold WHERE NOT ({_FULL}) OR latitude >= -31.5""",
+        located="SELECT * FROM ev WHERE event_type = 'error'",
+        placed="SELECT DISTINCT CAST(ts AS DATE), hour(ts), minute(ts), latitude, longitude FROM located",
+        hours="SELECT DISTINCT fecha_join, hora_join, latitude, longitude FROM fires",
+    )
+)
+def build_losses(spark, sf_dir):
+    """What a build loses at every step, counted in the passes of the build; the grid leaves out half of the cells, and some documents are void."""
+    weather_path, fires_path = _write_documents(spark, sf_dir, 500), fresh_dir(spark, "fires")
+    void = table(spark, sf_dir, "events").filter("user_id % 7 = 0").select(F.col("user_id").cast("string").alias("cell_id")).distinct()
+    void.write.mode("append").json(weather_path)
+    _write_detections(spark, table(spark, sf_dir, "events").filter("event_type = 'error'"), fires_path)
+    tables, grid = _layers(spark, sf_dir)
+    south = GridSpec(grid.south, -3150, grid.west, grid.east, grid.step)
+    losses = Losses()
+    _checked(build(spark, fires_path, weather_path, fresh_dir(spark, "state"), south, tables, layers=(), weather_multi_line=False, losses=losses))
+    return losses.table(spark)
