@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timekeys import HOUR, epoch_seconds
+from ..session import Scratch
 
 
 def class_ratio(df: DataFrame, label: str = "target") -> DataFrame:
@@ -40,6 +40,16 @@ def temporal_split(
     return df.withColumn(name, F.when(~near, split))
 
 
+def time_folds(df: DataFrame, ts: str, folds: int, block_hours: int, gap_hours: int = 12, name: str = "fold") -> DataFrame:
+    """Add the fold a row falls in: blocks of time in turn, so that neighbouring hours, which are much alike, are learned or tested together.
+
+    The last ``gap_hours`` of a block get null, as their label looks into the next; so do rows without a time.
+    """
+    at, block = epoch_seconds(F.col(ts)), block_hours * HOUR
+    fold = F.pmod(F.floor(at / F.lit(block)), F.lit(folds)).cast("int")
+    return df.withColumn(name, F.when(F.pmod(at, F.lit(block)) < F.lit(block - gap_hours * HOUR), fold))
+
+
 def _instant(text: str) -> Column:
     return F.unix_seconds(F.lit(text).cast("timestamp"))
 
@@ -102,10 +112,43 @@ def pr_curve(sweep: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(scored: DataFrame, score: str = "score", label: str = "target") -> float:
-    """Area under the ROC curve over the distinct scores."""
-    data = scored.select(F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("label"))
-    return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(data)
+def score_levels(df: DataFrame, score: str, label: str, scratch: Scratch) -> DataFrame:
+    """(score, pos, neg, neg_below) for each distinct score: its rows by label, and the negatives with a smaller one.
+
+    Rows are counted by score first. The levels, as many as there are distinct scores, are put in order by ranges, a prefix sum runs inside
+    each range, and only one total for each range passes through a single window. Null and NaN scores and other labels are left out.
+    """
+    value = F.col(score).cast("double")
+    usable = df.filter(value.isNotNull() & ~F.isnan(value) & F.col(label).isin(0, 1))
+    # -0.0 is 0.0
+    levels = usable.groupBy((value + F.lit(0.0)).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    # a table: the ranges must not be cut otherwise by a second run
+    ranged = scratch.put(levels.repartitionByRange("score").withColumn("range", F.spark_partition_id()), "levels")
+    totals = ranged.groupBy("range").agg(F.sum("neg").alias("own"))
+    totals = totals.select("range", F.coalesce(F.sum("own").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("inside", inside).join(F.broadcast(totals), "range").select("score", "pos", "neg", (F.col("before") + F.col("inside")).alias("neg_below"))
+
+
+def roc_auc(scored: DataFrame, score: str = "score", label: str = "target") -> float | None:
+    """Area under the ROC curve over the distinct scores, see ``rank_auc``."""
+    return rank_auc(scored, score, label).first()["auc"]
+
+
+def rank_auc(df: DataFrame, score: str = "score", label: str = "target") -> DataFrame:
+    """One row (positives, negatives, auc): the share of pairs of a positive and a negative row that the score puts in order, ties counting half.
+
+    Exact: whole numbers up to the last division. Null where one of the classes has no row.
+    """
+    scratch = Scratch(df.sparkSession)
+    levels = score_levels(df, score, label, scratch)
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    ordered = F.sum(wide("pos") * (wide("neg_below") * 2 + wide("neg")))
+    summed = levels.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"), F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"), ordered.cast("double").alias("ordered"))
+    out = scratch.put(summed, "auc")
+    scratch.clear(out)
+    pairs = F.col("positives").cast("double") * F.col("negatives").cast("double") * 2
+    return out.select("positives", "negatives", F.try_divide("ordered", pairs).alias("auc"))
 
 
 def confusion(df: DataFrame, by: Sequence[Column | str], predicted: str, actual: str) -> DataFrame:

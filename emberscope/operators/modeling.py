@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -117,6 +118,46 @@ def weight_sweep(
     return train.sparkSession.createDataFrame(lines, schema).orderBy(F.desc_nulls_last("f2"), "positive_weight")
 
 
+def filled(df: DataFrame, features: Sequence[str], missing: float = -999.0) -> DataFrame:
+    """Features as doubles, with a value outside their range where they are null or NaN, which a tree can tell from all others."""
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(missing)) for c in features})
+
+
+def fold_sweep(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    fold: str,
+    weights: Sequence[float],
+    trees: int = 20,
+    depth: int = 5,
+    seed: int = 42,
+    bins: int = 100,
+    parallel: int = 4,
+) -> DataFrame:
+    """Best threshold and its measures for each positive-class weight and each fold, the fold being tested and all others learned.
+
+    (positive_weight, fold, threshold, precision, recall, f2). Rows without a fold take no part. Fits run side by side, so that Spark
+    fills the gaps of one with tasks of the others; one row for each comes to the driver.
+    """
+    rows = df.select(*features, label, fold).filter(F.col(fold).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fitted(task: tuple[float, int]) -> tuple | None:
+        weight, k = task
+        model = fit_forest(rows.filter(F.col(fold) != k), features, label, weight, trees, depth, seed)
+        best = best_threshold(threshold_sweep(score(model, rows.filter(F.col(fold) == k)), "score", label, bins)).first()
+        return None if best is None else (float(weight), k, best["threshold"], best["precision"], best["recall"], best["f2"])
+
+    try:
+        folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
+        with ThreadPoolExecutor(parallel) as pool:
+            lines = [line for line in pool.map(inheritable_thread_target(df.sparkSession)(fitted), [(w, k) for w in weights for k in folds]) if line]
+    finally:
+        rows.unpersist()
+    schema = "positive_weight double, fold int, threshold double, precision double, recall double, f2 double"
+    return df.sparkSession.createDataFrame(lines, schema)
+
+
 def feature_importance(model: PipelineModel, spark) -> DataFrame:
     """Share of each feature in a tree model, greatest first."""
     names = model.stages[0].getInputCols()

@@ -23,6 +23,7 @@ from ..operators.frames import (
     rows_back,
     trailing,
 )
+from ..session import Scratch
 
 ROLLING = [
     rows_back("precip_acum_7d", "precipitation", "sum", V.ROWS_7_DAYS),
@@ -109,9 +110,12 @@ def training_table(hourly: DataFrame, links: DataFrame, key: str = "grid_id", ts
 
     The block's base values and changes, the lags, rolling values, dry hours and 12 h label as they stand at its last hour,
     the means of the neighbouring cells in the same block, and the season. ``links`` holds (key, neighbour).
-    Blocks without their last hour have no label and are left out.
+    Blocks without their last hour have no label and are left out. The hours and the blocks are each read several times and
+    therefore stand in tables meanwhile; the result is a table, too.
     """
-    blocks = block_features(hourly, key, ts)
+    scratch = Scratch(hourly.sparkSession)
+    hourly = scratch.put(hourly, "hours")
+    blocks = scratch.put(block_features(hourly, key, ts), "blocks")
     memory = memory_features(hourly, key, ts).filter(F.hour(ts) % 6 == 5)
     carried = [c for c in memory.columns if c not in hourly.columns]
     memory = memory.select(key, block_start(F.col(ts)).alias("block_start"), *carried)
@@ -128,4 +132,7 @@ def training_table(hourly: DataFrame, links: DataFrame, key: str = "grid_id", ts
     hour_sin, hour_cos = cyclic(F.hour("block_start"), 24)
     month_sin, month_cos = cyclic(F.month("block_start"), 12)
     joined = blocks.join(memory, [key, "block_start"]).join(near, [key, "block_start"], "left")
-    return joined.withColumns({"hour_sin": hour_sin, "hour_cos": hour_cos, "month_sin": month_sin, "month_cos": month_cos})
+    joined = joined.withColumns({"hour_sin": hour_sin, "hour_cos": hour_cos, "month_sin": month_sin, "month_cos": month_cos})
+    out = scratch.put(joined, "training")
+    scratch.clear(out)
+    return out
