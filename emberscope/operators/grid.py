@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -95,44 +96,47 @@ def nearest_nodes(
     step: float = 0.1,
     reach: int = 3,
 ) -> DataFrame:
-    """The ``count`` nearest other nodes of every node: (node, neighbour, distance_km, position).
+    """The ``count`` nearest other nodes of every node on the sphere: (node, neighbour, distance_km, position).
 
-    Nodes are sorted into square blocks of ``reach`` steps, and a node's candidates are the nodes of its own and the
-    eight blocks around, which hold all within ``reach`` steps. A node is settled once its ``count``-th candidate is
-    nearer than anything outside can be; the others go round again with twice the reach, so sparse or narrow
-    grids are exact too. Only nodes that exist become candidates, however wide the gaps.
+    Nodes are points of the unit sphere, sorted into cubes of some width, so the 180th meridian and the poles are places like any other.
+    A node's candidates are the nodes of its own and the 26 cubes around, which hold all within one width. A node is
+    settled once its ``count``-th candidate is nearer than that; the others go round again with twice the width, so sparse or narrow
+    grids are exact too. The first width is ``reach`` steps, less where the meridians draw together: nodes near a pole start with narrower cubes
+    and are settled before the others begin. Only nodes that exist become candidates, however wide the gaps.
     """
-    per_degree = 1.0 / step
     scratch = Scratch(grid.sparkSession)
+    a, o = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
+    # 0 for half of the globe, then one less each time the meridians draw together by half
+    level = F.greatest(F.least(F.floor(F.log2(F.greatest(F.cos(a), F.lit(2.0**NARROWEST)))) + 1, F.lit(0)), F.lit(NARROWEST))
     base = scratch.put(
         grid.select(
             F.col(node).alias("node"),
             F.col(lat).cast("double").alias("lat"),
             F.col(lon).cast("double").alias("lon"),
-            F.round(F.col(lat) * per_degree).cast("long").alias("row"),
-            F.round(F.col(lon) * per_degree).cast("long").alias("col"),
+            (F.cos(a) * F.cos(o)).alias("x"),
+            (F.cos(a) * F.sin(o)).alias("y"),
+            F.sin(a).alias("z"),
+            level.cast("int").alias("level"),
         ),
         "grid",
     )
-    # How far nodes lie off the grid lines they round to (nothing, on a true grid).
-    off = F.greatest(F.abs(F.col("lat") * per_degree - F.col("row")), F.abs(F.col("lon") * per_degree - F.col("col")))
-    shape = base.agg(
-        F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("extent"), F.max(off).alias("off")
-    ).first()
-    extent, slack = max(shape["extent"] or 0, 1), 2 * (shape["off"] or 0.0)
+    shape = base.agg(*[(F.max(c) - F.min(c)).alias(c) for c in _SPACE], F.min("level").alias("first")).first()
+    extent, now = max(shape[c] or 0.0 for c in _SPACE), shape["first"] or 0
+    full = 2 * math.sin(math.radians(step * reach) / 2)
     open_nodes, parts = base, []
     while True:
-        ranked = scratch.put(_candidates(open_nodes, base, reach, count), "nearest")
-        if reach >= extent:
+        width = full * 2.0**now
+        last = width >= extent
+        # in the last round all nodes meet all, which are few or far apart
+        ranked = scratch.put(_candidates(open_nodes.filter((F.col("level") <= now) | F.lit(last)), base, width, count), "nearest")
+        if last:
             parts.append(ranked)
             break
-        # A node outside the blocks is at least this many degrees away in one
-        # direction. East and west, the nearest point of that meridian counts.
-        beyond = F.radians(F.lit((reach + 1 - slack) * step))
-        safe = F.lit(EARTH_RADIUS_KM) * F.least(beyond, F.asin(F.cos(F.radians(F.col("lat"))) * F.sin(beyond)))
+        # the shortest way over the sphere to a point one width away; distances are rounded to a millimetre
+        safe = 2 * EARTH_RADIUS_KM * math.asin(min(1.0, width / 2)) - 1e-5
         settled = (
             ranked.groupBy("node")
-            .agg(F.count(F.lit(1)).alias("found"), F.max("distance_km").alias("far"), F.max("lat").alias("lat"))
+            .agg(F.count(F.lit(1)).alias("found"), F.max("distance_km").alias("far"))
             .filter((F.col("found") >= count) & (F.col("far") < safe))
             .select("node")
         )
@@ -140,7 +144,7 @@ def nearest_nodes(
         open_nodes = scratch.put(open_nodes.join(settled, "node", "left_anti"), "open")
         if open_nodes.isEmpty():
             break
-        reach = min(2 * reach, extent)
+        now += 1
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -149,24 +153,27 @@ def nearest_nodes(
     return links
 
 
-def _candidates(nodes: DataFrame, base: DataFrame, reach: int, count: int) -> DataFrame:
-    """Ranked candidates from the blocks around each node."""
+_SPACE = ("x", "y", "z")
+#: Cubes are at most so many powers of two narrower than at the equator.
+NARROWEST = -10
+
+
+def _candidates(nodes: DataFrame, base: DataFrame, width: float, count: int) -> DataFrame:
+    """Ranked candidates from the cubes around each node."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    block = lambda c: F.floor(F.col(c) / F.lit(reach))
-    probes = (
-        nodes.withColumn("dr", F.explode(around))
-        .withColumn("dc", F.explode(around))
-        .select("node", "lat", "lon", (block("row") + F.col("dr")).alias("block_row"), (block("col") + F.col("dc")).alias("block_col"))
-    )
-    others = base.select(F.col("node").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), block("row").alias("block_row"), block("col").alias("block_col"))
-    pairs = probes.join(others, ["block_row", "block_col"]).filter("node <> neighbour").withColumn(
+    cube = lambda c: F.floor(F.col(c) / F.lit(width))
+    probes = nodes.select("node", "lat", "lon", *[cube(c).alias(f"c{c}") for c in _SPACE])
+    for c in _SPACE:
+        probes = probes.withColumn("d", F.explode(around)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d")).drop("d")
+    others = base.select(F.col("node").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[cube(c).alias(f"c{c}") for c in _SPACE])
+    pairs = probes.join(others, [f"c{c}" for c in _SPACE]).filter("node <> neighbour").withColumn(
         "distance_km", F.round(great_circle_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 6)
     )
     nearest = Window.partitionBy("node").orderBy("distance_km", "neighbour")
     return (
         pairs.withColumn("position", F.row_number().over(nearest))
         .filter(F.col("position") <= count)
-        .select("node", "neighbour", "distance_km", "position", "lat", "lon")
+        .select("node", "neighbour", "distance_km", "position")
     )
 
 

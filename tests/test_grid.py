@@ -115,3 +115,27 @@ def test_a_time_without_neighbours_has_nulls(spark):
     hours = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0), ("b", 1, 7.0)], "n string, t int, x double")
     got = {(r.n, r.t): r.m for r in neighbour_mean(hours, links, "n", "t", means={"m": "x"}, keep_empty=True).collect()}
     assert got == {("a", 1): 7.0, ("b", 1): 5.0, ("a", 2): None, ("b", 2): 6.0}
+
+
+def _round_the_pole(south, north, step):
+    return [(round(a / 10, 1), round(o / 10, 1)) for a in range(round(south * 10), round(north * 10), round(step * 10)) for o in range(-1800, 1800, 600 if a < 890 else 150)]
+
+
+SPHERE = {
+    "meridian": [(round(a / 10, 1), round(o / 10, 1)) for a in range(-3, 3) for o in [*range(-1800, -1795), *range(1796, 1800)]],
+    "dense pole": [(round(89 + a / 10, 1), round(o / 10, 1)) for a in range(0, 10, 3) for o in range(-1800, 1800, 60)],
+    "both poles": [*_round_the_pole(88.0, 90.0, 0.5), *[(-a, o) for a, o in _round_the_pole(88.0, 90.0, 0.5)]],
+    "globe": [(float(a), float(o)) for a in range(-80, 90, 20) for o in range(-180, 180, 30)],
+}
+
+
+@pytest.mark.parametrize("name", SPHERE)
+def test_nearest_nodes_on_the_sphere(spark, name):
+    nodes = [(f"n{i:04d}", *p) for i, p in enumerate(SPHERE[name])]
+    df = spark.createDataFrame(nodes, "cell_id string, latitude double, longitude double")
+    got = {}
+    for r in nearest_nodes(df).collect():
+        got.setdefault(r.cell_id, []).append((r.position, r.distance_km))
+    for node, *at in nodes:
+        want = sorted(km(at, p) for other, *p in nodes if other != node)[:8]
+        assert [d for _, d in sorted(got[node])] == pytest.approx(want, abs=2e-6)
