@@ -106,25 +106,28 @@ def rows_with_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
 
 
-def audit(
-    df: DataFrame,
+def audit_counts(df: DataFrame, features: Sequence[str], cell: str, day: str, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Rows and nulls for each cell, day and place: (cell, day, lat, lon, __n, __null_0, ...), from which ``audit_of`` takes every check.
+
+    Counts of disjoint sets of rows add up, so they can be kept, and only those of changed rows taken again.
+    """
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"__null_{i}") for i, c in enumerate(features)]
+    keys = list(dict.fromkeys([cell, day, lat, lon]))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *nulls)
+
+
+def audit_of(
+    counts: DataFrame,
+    features: Sequence[str],
     cell: str,
     day: str,
-    features: Sequence[str],
     cells: int,
     days: int,
     hours: int = 24,
     lat: str = "latitude",
     lon: str = "longitude",
 ) -> DataFrame:
-    """All checks as one table. Works on an empty table as well.
-
-    The table is read once: its rows and nulls are counted for each cell, day and place, and every check
-    is taken from these counts.
-    """
-    nulls = [F.count_if(F.col(c).isNull()).alias(f"__null_{i}") for i, c in enumerate(features)]
-    keys = list(dict.fromkeys([cell, day, lat, lon]))
-    counts = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *nulls), "audit")
+    """All checks as one table, from the counts of ``audit_counts`` with the same features in the same order."""
     n = F.coalesce(F.sum("__n"), F.lit(0))
     missing = F.col(lat).isNull() | F.col(lon).isNull()
     places = counts.groupBy(lat, lon).agg(F.sum("__n").alias("__n"))
@@ -149,6 +152,26 @@ def audit(
     return reduce(DataFrame.unionByName, parts)
 
 
+def audit(
+    df: DataFrame,
+    cell: str,
+    day: str,
+    features: Sequence[str],
+    cells: int,
+    days: int,
+    hours: int = 24,
+    lat: str = "latitude",
+    lon: str = "longitude",
+) -> DataFrame:
+    """All checks as one table. Works on an empty table as well.
+
+    The table is read once: its rows and nulls are counted for each cell, day and place, and every check
+    is taken from these counts.
+    """
+    counts = materialize(audit_counts(df, features, cell, day, lat, lon), "audit")
+    return audit_of(counts, features, cell, day, cells, days, hours, lat, lon)
+
+
 def schema_drift(spark, actual: T.StructType, declared: T.StructType) -> DataFrame:
     """Differences between two schemas, nested fields included: (field, actual, declared, drift)."""
     have, want = dict(_flatten(actual)), dict(_flatten(declared))

@@ -37,7 +37,8 @@ def gold_full(
     snapped = snapped_fires(fires, confidence_mode, accepted)
     if losses:
         snapped = losses.watch(snapped, "gold_full", detections=F.count(F.lit(1)))
-    labelled = label_join(_keyed(weather), snapped, JOIN_KEYS)
+    keyed = weather if {"__row", "__col"} <= set(weather.columns) else _keyed(weather)
+    labelled = label_join(keyed, snapped, JOIN_KEYS)
     if losses:
         labelled = losses.watch(labelled, "gold_full", rows=F.count(F.lit(1)), labelled=F.count_if(F.col("target") == 1))
     return labelled.select(
@@ -53,6 +54,16 @@ def gold_full(
     )
 
 
+def store_keyed(weather: DataFrame, name: str, buckets: int) -> None:
+    """Store hourly rows with their join keys, hashed into buckets and sorted by them, one file for each bucket.
+
+    ``gold_full`` then joins the stored table as it lies: the hours, by far the larger side, are neither shuffled nor sorted
+    again, however often detections are corrected. ``buckets`` fixes how many tasks join; take a multiple of the cores and about 200 MB each.
+    """
+    keyed = _keyed(weather).repartition(buckets, *JOIN_KEYS)
+    keyed.write.format("parquet").mode("overwrite").bucketBy(buckets, *JOIN_KEYS).sortBy(*JOIN_KEYS).saveAsTable(name)
+
+
 def fires_without_weather(weather: DataFrame, fires: DataFrame) -> DataFrame:
     """Snapped detections outside the grid or the period, which the label join cannot show."""
     lost = orphans(snapped_fires(fires), _keyed(weather), JOIN_KEYS)

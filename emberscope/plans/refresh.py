@@ -22,6 +22,7 @@ from .. import vocabulary as V
 from ..functions.spatial import grid_key
 from ..operators.grid import GridSpec, grid_nodes
 from ..operators.labels import LEXICAL
+from ..operators.quality import audit_counts, audit_of
 from ..sources.tables import adopt, create_layers, read_table, replace_table
 from ..streaming.ingest import FileSource, batch_number, ingest_all
 from .features import gold_features
@@ -34,6 +35,9 @@ PARTS = 16
 #: Rows that a rolling feature sees before its own.
 FRAME_ROWS = max(V.ROWS_7_DAYS, V.ROWS_3_DAYS)
 
+#: Columns of the weather whose nulls are counted.
+AUDITED = [*V.CLIMATE_VARIABLES, "elevation", "latitude", "longitude"]
+
 Partition = tuple[int | None, int]
 
 
@@ -147,10 +151,12 @@ def refresh(
     weather_multi_line: bool | None = None,
     confidence_mode: str = LEXICAL,
     accepted: tuple[str, ...] | None = None,
+    audit: str | None = None,
 ) -> DataFrame:
     """Ingest what is new and bring every table up to date; returns the status of the ingestion.
 
     Takes what ``build`` takes; the tables carry the columns year and part behind theirs. If a source fails, nothing behind it changes.
+    ``audit`` names a table of counts of the weather rows that is kept up with them, for ``weather_audit``.
     """
     create_layers(spark, location, layers)
     sources = file_sources(fires_path, weather_path, state_path, tables, weather_multi_line)
@@ -159,12 +165,13 @@ def refresh(
         return status
     noted, place = _noted(spark, f"{state_path}/refreshed"), f"{state_path}/refreshed"
     settings = {"grid": [grid.south, grid.north, grid.west, grid.east, grid.step], "parts": parts, "confidence": confidence_mode, "accepted": list(accepted or ())}
-    known = noted.get("settings") == settings and all(spark.catalog.tableExists(t) or adopt(spark, t) for t in tables.derived())
+    kept = [*tables.derived(), *([audit] if audit else [])]
+    known = noted.get("settings") == settings and all(spark.catalog.tableExists(t) or adopt(spark, t) for t in kept)
     if not known:
         noted = {}
         replace_table(grid_nodes(spark, grid), tables.landing_grid)
         replace_table(silver_grid(read_table(spark, tables.landing_grid)), tables.silver_grid)
-        for t in tables.derived():
+        for t in kept:
             spark.sql(f"DROP TABLE IF EXISTS {t}")
     fires, last_fires = new_rows(spark, tables.bronze_fires, sources[0], noted.get("fires", -1))
     weather, last_weather = new_rows(spark, tables.bronze_weather, sources[1], noted.get("weather", -1))
@@ -179,6 +186,13 @@ def refresh(
     held = held.join(weather.select("source_filename").distinct(), "source_filename", "left_anti").select(*fresh.columns)
     overwrite(newest_hours(held.unionByName(fresh)), tables.silver_weather, touched_weather)
 
+    if audit:
+        stored = spark.read.table(tables.silver_weather)
+        counts = audit_counts(stored.filter(within(touched_weather)), AUDITED, "grid_id", "fecha_join")
+        counts = _placed(counts, "fecha_join", parts)
+        _empty(spark, counts, audit)
+        overwrite(counts, audit, touched_weather)
+
     typed = typed_fires(fires)
     _empty(spark, _placed(unique_fires(typed), "fecha_join", parts), tables.silver_fires)
     touched_fires = partitions(_placed(typed.withColumn("fecha_join", F.col("acq_date").try_cast("date")), "fecha_join", parts))
@@ -206,3 +220,8 @@ def refresh(
     overwrite(features.filter(within(stale)), tables.gold_features, stale)
     _note(spark, place, {"settings": settings, "fires": last_fires, "weather": last_weather})
     return status
+
+
+def weather_audit(counts: DataFrame, cells: int, days: int, hours: int = 24) -> DataFrame:
+    """All checks of the weather rows from the table of counts that ``refresh`` keeps."""
+    return audit_of(counts, AUDITED, "grid_id", "fecha_join", cells, days, hours)

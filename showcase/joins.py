@@ -8,7 +8,7 @@ from emberscope import vocabulary as V
 from emberscope.functions.spatial import grid_key
 from emberscope.operators.grid import GridSpec, assign_node, grid_nodes, nearest_nodes, neighbour_mean
 from emberscope.operators.spine import complete
-from emberscope.plans.gold import fires_without_weather, gold_full
+from emberscope.plans.gold import fires_without_weather, gold_full, store_keyed
 from emberscope.plans.silver import silver_grid
 
 from .base import (
@@ -30,6 +30,7 @@ from .base import (
     longitude,
     with_sql,
 )
+from .tables import new_schema
 
 GOLD_SELECT = (
     f"grid_id, timestamp_clima, latitude, longitude, elevation, {doubles(*VARIABLES)}, target, "
@@ -42,6 +43,14 @@ def label_join(spark, sf_dir):
     return plain(gold(spark, sf_dir))
 
 
+@query(with_sql("gold", f"SELECT {GOLD_SELECT} FROM gold"))
+def label_join_bucketed(spark, sf_dir):
+    """The same from hourly rows that are stored by their join keys, so that only detections are shuffled."""
+    name = f"{new_schema(spark, 'bucketed')}.weather"
+    store_keyed(weather(spark, sf_dir), name, 8)
+    return plain(gold_full(spark.read.table(name), detections(spark, sf_dir)))
+
+
 _CONFIDENCE = {
     "lexical": ("CASE max(confidence) WHEN 'l' THEN 1 WHEN 'n' THEN 2 WHEN 'h' THEN 3 ELSE 0 END", "true"),
     "ordinal": ("max(CASE confidence WHEN 'l' THEN 1 WHEN 'n' THEN 2 WHEN 'h' THEN 3 ELSE 0 END)", "true"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberscope import vocabulary as V
 from emberscope.operators import quality as Q
 from emberscope.sources.landing import cell_batches, date_chunks, pending, split_payloads, weather_file_name
 
@@ -120,6 +121,47 @@ def audit_all(spark, sf_dir):
     return Q.audit(weather(spark, sf_dir), "grid_id", "fecha_join", FEATURES, CELLS, DAYS)
 
 
+_LOCATED = "SELECT * REPLACE (CAST(latitude AS VARCHAR) || '_' || CAST(longitude AS VARCHAR) AS grid_id) FROM weather"
+
+
+def _from_located(sql: str) -> str:
+    return sql.replace("FROM weather", "FROM located")
+
+
+@query(
+    with_sql(
+        "weather",
+        f"""
+SELECT 'volume' AS "check", 'table' AS subject, n AS observed, CAST(115200 AS BIGINT) AS expected, {_status('n', '115200')}
+FROM (SELECT count(*) AS n FROM located) AS c
+UNION ALL {_from_located(_GEO)}
+UNION ALL {_from_located(_DAYS_SQL)}
+UNION ALL {_from_located(_HOURS_SQL)}
+UNION ALL SELECT 'nulls', variable, null_count, CAST(0 AS BIGINT), status FROM profile""",
+        located=_LOCATED,
+        profile=_profile_sql("located"),
+    )
+)
+def incremental_audit(spark, sf_dir):
+    """All checks from counts that are kept up with the stored hours over two drops of files, one of them with hours that come again."""
+    from emberscope.plans.refresh import refresh, weather_audit
+    from emberscope.session import fresh_dir
+
+    from .ingestion import _checked, _layers, _write_detections, _write_documents
+
+    fires_path, state, landed = fresh_dir(spark, "fires"), fresh_dir(spark, "state"), fresh_dir(spark, "documents")
+    tables, grid = _layers(spark, sf_dir)
+    counts = f"{tables.gold_full}_audit"
+    _write_detections(spark, table(spark, sf_dir, "events").filter("event_type = 'error'").limit(0), fires_path)
+    documents = spark.read.schema(V.WEATHER_SCHEMA).json(_write_documents(spark, sf_dir, 500))
+    early = F.pmod(F.xxhash64("cell_id"), F.lit(3)) > 0
+    again = F.pmod(F.xxhash64("cell_id"), F.lit(3)) < 2
+    for lot in (early, again):
+        documents.filter(lot).write.mode("append").json(landed)
+        _checked(refresh(spark, fires_path, landed, state, grid, tables, layers=(), weather_multi_line=False, audit=counts))
+    return weather_audit(spark.read.table(counts), CELLS, DAYS)
+
+
 @query(with_sql("weather", _HOURS_SQL.replace("hours <> 24", "hours <> 1").replace("24 AS", "1 AS")))
 def having_not_equal(spark, sf_dir):
     return Q.incomplete_hours(weather(spark, sf_dir), "grid_id", "fecha_join", 1)

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,12 +14,15 @@ from emberscope.operators.evaluation import (
     class_ratio,
     confusion,
     pr_curve,
+    rank_auc,
     roc_auc,
     temporal_split,
     threshold_sweep,
+    time_folds,
 )
-from emberscope.operators.modeling import feature_importance, fit_boosted, fit_forest, fit_margin, score, weight_sweep
+from emberscope.operators.modeling import feature_importance, filled, fit_boosted, fit_forest, fit_margin, fold_sweep, score, weight_sweep
 from emberscope.operators.spine import complete, hourly_spine, time_axis
+from emberscope.plans.losses import Losses
 
 SCHEMA = "grid_id string, fecha_join date, latitude double, longitude double, x double, y double"
 
@@ -215,3 +219,54 @@ def test_audit_reads_its_table_once(spark, tmp_path):
     assert f"{tmp_path}/t" not in plan
     got = {(r.check, r.subject): (r.observed, r.expected) for r in out.collect()}
     assert got == {("volume", "table"): (12, 12), ("points", "table"): (3, 3), ("null_coordinates", "table"): (0, 0), ("nulls", "x"): (1, 0)}
+
+
+def test_rank_auc_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(-3, 3) / 4, rng.randint(0, 1)) for _ in range(300)] + [(-0.0, 1), (0.0, 0)]
+    df = spark.createDataFrame([*rows, (None, 1), (float("nan"), 0), (0.5, None), (0.5, 7)], "score double, target int")
+    pos, neg = [s for s, t in rows if t], [s for s, t in rows if not t]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    got = rank_auc(df.repartition(7)).first()
+    assert (got.positives, got.negatives) == (len(pos), len(neg)) and got.auc == pytest.approx(want, abs=1e-15)
+    assert rank_auc(df.filter("target = 1")).first().auc is None
+    empty = rank_auc(df.limit(0)).first()
+    assert (empty.positives, empty.negatives, empty.auc) == (0, 0, None)
+
+
+def test_time_folds_keep_blocks_together(spark):
+    hours = spark.range(24 * 20).select((F.lit(dt.datetime(2020, 1, 1)).cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("ts"))
+    rows = time_folds(hours, "ts", 3, 48, 12).orderBy("ts").collect()
+    assert sum(r.fold is None for r in rows) == 12 * 10
+    last = {}
+    for r in rows:
+        if r.fold is not None:
+            assert all(r.ts - at >= dt.timedelta(hours=13) for f, at in last.items() if f != r.fold)
+            last[r.fold] = r.ts
+    assert set(last) == {0, 1, 2}
+
+
+def test_fold_sweep_learns_on_the_other_folds(spark):
+    # the feature tells the label in folds 0 and 1 and its opposite in fold 2
+    rows = spark.range(600).selectExpr("id % 3 AS fold", "id % 2 AS y", "cast(if(id % 3 = 2, 1 - id % 2, id % 2) AS double) AS x", "cast(null AS double) AS void")
+    rows = rows.unionByName(rows.limit(10).withColumn("fold", F.lit(None).cast("bigint")))
+    got = {(r.positive_weight, r.fold): r for r in fold_sweep(filled(rows, ["x", "void"]), ["x", "void"], "y", "fold", [1.0, 5.0], trees=3, depth=2).collect()}
+    assert set(got) == {(w, f) for w in (1.0, 5.0) for f in range(3)}
+    # learned from folds that say the opposite, fold 2 is best judged by taking nearly everything
+    assert got[1.0, 2].precision < 0.6
+
+
+def test_losses_count_in_the_pass(spark, tmp_path):
+    losses = Losses()
+    read = losses.watch(spark.range(10).toDF("v"), "silver_fires", read=F.count(F.lit(1)))
+    kept = losses.watch(read.filter("v % 3 = 0"), "silver_fires", kept=F.count(F.lit(1)), odd=F.count_if(F.col("v") % 2 == 1))
+    kept.write.parquet(f"{tmp_path}/out")
+    assert losses.lines() == [("silver_fires", "read", 10), ("silver_fires", "kept", 4), ("silver_fires", "odd", 2), ("silver_fires", "repeated", 6)]
+
+
+def test_kept_counts_add_up(spark):
+    days = [("a", dt.date(2020, 1, d), 1.0, 2.0, None if h else 3.0) for d in (1, 2) for h in range(24)] + [("b", dt.date(2020, 1, 1), None, 2.0, 1.0)]
+    df = spark.createDataFrame(days, "c string, d date, latitude double, longitude double, x double")
+    whole = sorted(map(str, Q.audit(df, "c", "d", ["x"], 1, 2).collect()))
+    halves = [Q.audit_counts(part, ["x"], "c", "d") for part in (df.filter("x IS NULL"), df.filter("x IS NOT NULL"))]
+    assert sorted(map(str, Q.audit_of(halves[0].unionByName(halves[1]), ["x"], "c", "d", 1, 2).collect())) == whole

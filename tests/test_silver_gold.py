@@ -8,6 +8,7 @@ from emberscope.functions.indices import confidence_label
 from emberscope.operators.dedup import keep_first
 from emberscope.operators.nested import build_documents, to_json_text, unreadable, zip_explode
 from emberscope.plans.features import gold_features, stateless_features
+from emberscope.plans import gold as G
 from emberscope.plans.gold import fires_without_weather, gold_full
 from emberscope.plans.silver import hourly_arrays, silver_fires, silver_weather
 from emberscope.sources.files import parse_json
@@ -187,3 +188,28 @@ def test_cyclic_encoding(spark):
 def test_confidence_labels(spark):
     df = spark.createDataFrame([(0,), (1,), (2,), (3,), (None,)], "c int")
     assert [r[0] for r in df.select(confidence_label(F.col("c"))).collect()] == ["Desconocido", "Baja (Low)", "Nominal", "Alta (High)", "Desconocido"]
+
+
+def test_label_join_leaves_stored_hours_where_they_are(spark, tmp_path):
+    hours = [(f"c{i}", dt.datetime(2020, 1, 1, h), dt.date(2020, 1, 1), h, -31.0 - i / 10, -64.0) for i in range(20) for h in range(24)]
+    weather = spark.createDataFrame(hours, "grid_id string, timestamp_clima timestamp, fecha_join date, hora_join int, latitude double, longitude double")
+    weather = weather.withColumns({"elevation": F.lit(1.0)} | {v: F.lit(1.0) for v in V.CLIMATE_VARIABLES})
+    fires = spark.createDataFrame([(-31.04, -64.0, dt.date(2020, 1, 1), 3, "h", 2.5), (10.0, 10.0, dt.date(2020, 1, 1), 3, "h", 2.5)], "latitude double, longitude double, fecha_join date, hora_join int, confidence string, frp double")
+    spark.sql("CREATE SCHEMA IF NOT EXISTS bucketed")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        G.store_keyed(weather, "bucketed.weather", 4)
+        # as with detections too many to broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        stored = G.gold_full(spark.read.table("bucketed.weather"), fires)
+        plan = stored._jdf.queryExecution().executedPlan().toString()
+        plain = G.gold_full(weather, fires)
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        # the detections' exchange, by which they are snapped, is the only one
+        assert plan.count("Exchange hashpartitioning") == 1 and plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        scan = plan[: plan.index("FileScan")].rsplit("+-", 3)
+        assert "Bucketed: true" in plan and "Exchange" not in scan[-1]
+        assert sorted(map(str, stored.collect())) == sorted(map(str, plain.collect())) and stored.filter("target = 1").count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.sql("DROP SCHEMA bucketed CASCADE")
