@@ -107,14 +107,15 @@ def _fetch(window: int):
                 out = []
                 for i, base in zip(range(a, b), bounds):
                     doc_id, row = part["doc_id"].iloc[i], part["row"].iloc[i]
-                    for s in part["list"].iloc[i]:
-                        begin, n = int(base) + s["start"], s["n"]
+                    for own_run, packed in zip(part["runs"].iloc[i], part["places"].iloc[i]):
+                        start, n = int(packed) >> 32, (int(packed) & 0xFFFFFFFF) >> 1
+                        begin = int(base) + start
                         own = words[begin : begin + n + window - 1]
-                        if s["crowded"]:
+                        if packed & 1:
                             keys = window_hashes(own, window).view(np.int64)
-                            out += [(int(k), doc_id, row, s["start"] + j, None) for j, k in enumerate(keys)]
+                            out += [(int(k), doc_id, row, start + j, None) for j, k in enumerate(keys)]
                         else:
-                            out.append((s["run"], doc_id, row, s["start"], own.tobytes()))
+                            out.append((own_run, doc_id, row, start, own.tobytes()))
                 yield pd.DataFrame(out, columns=["run", "doc_id", "row", "start", "words"])
 
     return fetch
@@ -179,8 +180,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     packed = scratch.put(first.groupBy("run").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "packed")
     listed = first.join(packed, "run").select("run", "at.doc_id", "at.row", "at.start", "n", (F.col("kinds") > crowded).alias("crowded"))
     # bounded by the length of the document
-    listed = listed.groupBy("doc_id", "row").agg(F.collect_list(F.struct("run", "start", "n", "crowded")).alias("list"))
-    listed = rows.join(listed, ["doc_id", "row"]).select("doc_id", "row", "text", "list")
+    place = F.shiftleft(F.col("start").cast("long"), 32) + F.col("n") * 2 + F.col("crowded").cast("int")
+    listed = listed.groupBy("doc_id", "row").agg(F.collect_list(F.struct("run", place.alias("place"))).alias("list"))
+    # arrays of numbers: a list of structs would be a dictionary for each in Python
+    listed = rows.join(listed, ["doc_id", "row"]).select("doc_id", "row", "text", F.col("list.run").alias("runs"), F.col("list.place").alias("places"))
     fetched = scratch.put(listed.mapInPandas(_fetch(window), "run long, doc_id long, row int, start int, words binary"), "fetched")
 
     single = fetched.filter("words IS NULL")
@@ -203,11 +206,11 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("row", F.hash("text"))
 
 
-def _without(words: list[bytes], spans: list) -> list[bytes]:
+def _without(words: list[bytes], spans: np.ndarray) -> list[bytes]:
+    """The words in none of the spans, each a number of which the upper half is its begin and the lower its end."""
     edge = np.zeros(len(words) + 1, dtype=np.int64)
-    for s in spans:
-        edge[s["begin"]] += 1
-        edge[s["end"]] -= 1
+    np.add.at(edge, spans >> 32, 1)
+    np.add.at(edge, spans & 0xFFFFFFFF, -1)
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
 
 
@@ -218,7 +221,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cover = repeated_passages(docs, doc_id, text, window, run, shard_words, crowded)
     # bounded by the length of the document
     doc, row, spans_of = (free_name(docs, n) for n in ("__doc", "__row", "__spans"))
-    cover = cover.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_list(F.struct("begin", "end")).alias(spans_of))
+    span = F.shiftleft(F.col("begin").cast("long"), 32) + F.col("end")
+    cover = cover.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_list(span).alias(spans_of))
     keep = docs.select(*others, *([] if text in others else [text]))
     joined = keep.join(cover, (keep[doc_id].cast("long") == cover[doc]) & (F.hash(keep[text]) == cover[row]), "left")
 
@@ -229,7 +233,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for t, s in zip(texts, spans):
                 # bytes.split() splits at ASCII white space only
                 words = [] if t is None else t.encode("utf-8", "surrogatepass").split()
-                left = words if s is None else _without(words, s)
+                left = words if s is None else _without(words, np.asarray(s, dtype=np.int64))
                 joined_words = b" ".join(left)
                 out.append((joined_words.decode("utf-8", "surrogatepass"), len(words), len(words) - len(left), hashlib.sha256(joined_words).hexdigest()))
             yield pd.DataFrame(out, columns=["kept", "n_words", "n_removed", "kept_sha256"])
