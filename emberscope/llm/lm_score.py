@@ -222,21 +222,31 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, number: int) -> list[tuple[str, int]]:
-    """Words by falling count, ``number`` at most, and the end: all whose count is in the upper levels that hold so many.
+    """The ``number`` first words by falling count, those of one count in order of a hash, and the end.
 
-    There are 16 levels to each doubling, so about a thousand at most; sorting all words on every task and
-    sending each one's first to the driver would grow with the tasks.
+    Whole levels of counts are taken while they fit; there are 16 to each doubling, so about a thousand at most, and sorting all words on every
+    task and sending each one's first to the driver would grow with the tasks. Inside the level that does not fit, the words are cut by their count,
+    and of the words of that one count as many come as there is room, by pieces of the hash that are counted in the same way.
     """
     level = F.floor(F.log2(F.col("c")) * F.lit(16)).cast("int")
-    least, held = None, 0
     end = [(r.word, r.c) for r in counts.filter(F.col("word") == END).collect()]
     counts = counts.filter(F.col("word") != END)
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.level):
-        held += r.n
-        if held > number:
+    words: list[tuple[str, int]] = []
+    # a level, a count, and pieces of the hash of the word: what still does not fit after all of them are equal hashes
+    steps = [-level, -F.col("c"), *(F.shiftrightunsigned(F.xxhash64("word"), 64 - 16 * (i + 1)).bitwiseAND(F.lit(0xFFFF)) for i in range(4))]
+    for step in steps:
+        room, last = number - len(words), None
+        for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.step):
+            if r.n > room:
+                break
+            room, last = room - r.n, r.step
+        else:
+            r = None
+        if last is not None:
+            words += [(x.word, x.c) for x in counts.filter(step <= last).collect()]
+        if r is None or room == 0:
             break
-        least = r.level
-    words = [] if least is None else [(r.word, r.c) for r in counts.filter(level >= least).collect()]
+        counts = counts.filter(step == r.step)
     return sorted(end + words, key=lambda x: (-x[1], x[0]))
 
 
