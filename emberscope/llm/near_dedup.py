@@ -24,12 +24,13 @@ no word are alone. Words are compared by 32-bit hashes in the alignment.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscope.session import Scratch
@@ -174,12 +175,34 @@ def _sharing_rare(documents: DataFrame, similarity: float, scratch: Scratch) ->
     place = F.row_number().over(Window.partitionBy("node").orderBy("times", "token"))
     first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
     prefix = ranked.withColumn("place", place).filter((F.col("place") <= first) & (F.col("times") > 1)).select("token", "node", "part", "n", "place")
+    # A shingle that a template lends to very many documents must not pair them all. With c in common, a document of n shingles whose
+    # shingle stands at this place can only be like documents of up to (n - place + 1) * (1 + similarity) / similarity - n
+    # shingles, and of similarity * n at least: each row goes to the bands of such lengths, and meets there only rows that come to its own.
+    shortest = F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9))
+    longest = F.floor((F.col("n") - F.col("place") + 1) * F.lit((1 + similarity) / similarity) + F.lit(1e-9)) - F.col("n")
+    wanted = F.sequence(_band(shortest), _band(F.greatest(longest, shortest)))
+    prefix = prefix.filter(longest >= shortest).withColumns({"own": _band(F.col("n")), "wanted": F.explode(wanted)})
     prefix = scratch.put(prefix, "prefix")
-    other = prefix.toDF("token", "b", "b_part", "b_n", "b_place")
-    near = prefix.withColumnRenamed("node", "a").join(other, "token").filter("a < b AND part <> b_part")
+    # parts first, so that a part is never compared with itself
+    groups = prefix.select("token", "own", "wanted", "part").distinct()
+    groups = scratch.put(groups, "groups")
+    other = groups.toDF("token", "wanted", "own", "b_part")
+    met = scratch.put(groups.join(other, ["token", "own", "wanted"]).filter("part < b_part"), "met")
+    left = prefix.withColumnRenamed("node", "a").join(met, ["token", "own", "wanted", "part"])
+    right = prefix.select("token", F.col("wanted").alias("own"), F.col("own").alias("wanted"), F.col("part").alias("b_part"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"))
+    near = left.join(right, ["token", "own", "wanted", "b_part"])
     common = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("b_n")) - F.lit(1e-9))
     near = near.filter((F.col("place") <= F.col("n") - common + 1) & (F.col("b_place") <= F.col("b_n") - common + 1))
-    return scratch.put(near.select("a", "b").distinct(), "pairs")
+    return scratch.put(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+#: Ratio of the lengths at the ends of a band.
+BAND = 1.03
+
+
+def _band(length: Column) -> Column:
+    """The band a length lies in; longer texts never lie in an earlier one."""
+    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.lit(math.log(BAND))).cast("int")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -239,15 +262,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id.
+    """``docs`` with one document of each class of texts: the one with the smallest id.
 
-    Of rows with the same id the one whose text sorts first stays. Rows with a null id or a null text all stay.
+    Texts, not ids, are classed, so a text goes only if one like it stays: rows with the same id and unlike texts all stay, and of
+    rows with the same id and text one. Of several texts with the smallest id of their class one stays. Rows with a null id or a null text all stay.
     """
-    gone = free_name(docs, "__gone")
-    classes = near_duplicates(docs, doc_id, text, similarity).filter("class_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
-    kept = docs.join(classes, docs[doc_id] == classes[gone], "left_anti")
-    tie, rank = free_name(docs, "__tie"), free_name(docs, "__rank")
+    node, class_id, best, rank = (free_name(docs, n) for n in ("__node", "__class", "__best", "__rank"))
     alone = F.col(doc_id).isNull() | F.col(text).isNull()
-    kept = kept.withColumn(tie, F.when(alone, F.monotonically_increasing_id()).otherwise(-1))
-    first = F.row_number().over(Window.partitionBy(doc_id, tie).orderBy(text))
-    return kept.withColumn(rank, first).filter(F.col(rank) == 1).select(*docs.columns)
+    keyed = docs.withColumn(node, F.when(~alone, F.xxhash64(text)))
+    scratch = Scratch(docs.sparkSession)
+    # copies are made one, map-side first
+    texts = scratch.put(keyed.filter(~alone).select(F.col(node).alias("doc_id"), F.col(text).alias("text")).distinct(), "texts")
+    classes = near_duplicates(texts, similarity=similarity).distinct().toDF(node, class_id)  # a table of its own
+    scratch.drop(texts)
+    held = keyed.filter(~alone).select(F.col(doc_id).alias("id"), node).join(classes, node)
+    kept = held.groupBy(class_id).agg(F.min(F.struct(F.col("id"), F.col(node))).alias(best)).select(F.col(f"{best}.id").alias(best), F.col(f"{best}.{node}").alias(node))
+    # a table of its own: rows of a very common document are split in the join
+    kept = scratch.put(kept, "kept")
+    stay = keyed.filter(~alone).join(kept, (keyed[doc_id] == kept[best]) & (keyed[node] == kept[node]), "left_semi")
+    first = F.row_number().over(Window.partitionBy(doc_id, node).orderBy(F.lit(1)))
+    stay = stay.withColumn(rank, first).filter(F.col(rank) == 1).select(*docs.columns)
+    return stay.unionByName(docs.filter(alone))
