@@ -2,9 +2,10 @@
 
 import random
 
-from pyspark.sql import functions as F
+import numpy as np
+import pytest
 
-from emberscope.llm import lm_score, near_dedup
+from emberscope.llm import decontaminate, lm_score, near_dedup
 from emberscope.session import Scratch
 
 
@@ -20,6 +21,48 @@ def test_frequent_words_are_cut_inside_a_level(spark):
     assert lm_score.most_frequent(counts.limit(0), 5) == []
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 10])
+def test_automaton_against_plain_search(size):
+    rng = random.Random(size)
+    for _ in range(30):
+        items = [(f"i{rng.randrange(6)}", " ".join(rng.choices("abc!", k=rng.randrange(0, 9)))) for _ in range(rng.randrange(0, 8))]
+        docs = [None, "", *(" ".join(rng.choices("abcd", k=rng.choice([0, 1, 5, 40, 300]))) for _ in range(6))]
+        scanner = decontaminate.Scanner(items, size)
+        for text, (n, hit, ids) in zip(docs, scanner.scan(docs)):
+            words = decontaminate.normal_words(text)
+            want, owners = set(), set()
+            for item, t in items:
+                for pattern in decontaminate.windows(decontaminate.normal_words(t), size):
+                    p = pattern.split(b" ")
+                    for i in range(len(words) - len(p) + 1):
+                        if words[i : i + len(p)] == p:
+                            want |= set(range(i, i + len(p)))
+                            owners.add(item)
+            assert (n, sorted(want), sorted(owners)) == (len(words), hit.tolist(), ids)
+
+
+def test_blocks_of_items_find_the_same(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(2, 30)))) for i in range(40)], "item_id long, text string")
+    rows = [r.text for r in items.collect()]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=20)) + " " + rng.choice(rows) + " end") for i in range(30)] + [(99, None)], "doc_id long, text string")
+    one = decontaminate.contamination(docs, items)
+    many = decontaminate.contamination(docs, items, block_bytes=600)
+    key = lambda r: r.doc_id
+    assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key)
+
+
+def test_the_automaton_is_small():
+    rng = np.random.default_rng(1)
+    items = [(str(i), " ".join(f"w{x}" for x in rng.integers(0, 50_000, 2000))) for i in range(100)]
+    scanner = decontaminate.Scanner(items)
+    a = scanner.automaton
+    held = sum(x.nbytes for x in (a.keys, a.depth, a.root, a.terminal, a.fail, a.link, a.ends, scanner.vocabulary, scanner.states, scanner.items))
+    # a block is 4 MB of items at most
+    assert held < 60 * sum(len(t) for _, t in items)
+
+
 def texts(rng, n, own, template):
     return [" ".join(rng.choices("abcdefghij", k=1)[0] + str(rng.randrange(10**6)) for _ in range(own)) + " " + template for _ in range(n)]
 
