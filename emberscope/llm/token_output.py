@@ -21,10 +21,12 @@ its description (``splits_at_space``); otherwise whole texts are encoded.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -38,9 +40,16 @@ from .eliasfano import EliasFano, encode
 
 MAGIC = b"TIDS"
 HEAD = struct.Struct("<4sHHQQQ")
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 FILE_TOKENS = 4 << 20
 _PUNCTUATION = ".,;:!?"
+#: What str.split() takes for white space beyond the ASCII kind.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def words_between(text: str) -> list[str]:
+    """Words between ASCII white space."""
+    return WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
 def splits_at_space(description: dict) -> bool:
@@ -84,24 +93,29 @@ class Encoder:
     def _texts(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, word: str) -> tuple[str, ...]:
-        """Parts that are encoded alone: letters, and the punctuation after them, never form an id together."""
-        stem = word.rstrip(_PUNCTUATION)
-        if not stem.isalpha():
-            return (word,)
-        if self.lower and stem.isascii():
-            stem = stem.lower()
-        return (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
+    def _pieces(self, words: set[str]) -> dict[str, tuple[str, ...]]:
+        """Parts of each word that are encoded alone: letters, and the punctuation after them, never form an id together."""
+        out, lower = {}, self.lower
+        for word in words:
+            stem = word.rstrip(_PUNCTUATION)
+            if not stem.isalpha():
+                out[word] = (word,)
+            else:
+                own = stem.lower() if lower and stem.isascii() else stem
+                out[word] = (own,) if len(stem) == len(word) else (own, word[len(stem) :])
+        return out
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces; words of letters are encoded many in one text and cut where a word closes."""
         out: dict[str, bytes] = {}
         letters = [p for p in pieces if p.isalpha()] if self.closes.any() else []
         groups = [letters[i : i + 1000] for i in range(0, len(letters), 1000)]
+        width = self.type.itemsize
         for group, ids in zip(groups, self._texts([" ".join(g) for g in groups])):
-            cuts = np.flatnonzero(self.closes[ids]) + 1
-            if len(cuts) == len(group) and (not len(ids) or cuts[-1] == len(ids)):
-                out.update(zip(group, (part.tobytes() for part in np.split(ids, cuts[:-1]))))
+            cuts = ((np.flatnonzero(self.closes[ids]) + 1) * width).tolist()
+            if len(cuts) == len(group) and (not len(ids) or cuts[-1] == len(ids) * width):
+                raw = ids.tobytes()
+                out.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
         rest = [p for p in pieces if p not in out]
         out.update(zip(rest, (ids.tobytes() for ids in self._texts(rest))))
         return out
@@ -109,20 +123,21 @@ class Encoder:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return [ids.tobytes() for ids in self._texts([t or "" for t in texts])]
-        words = [WORD.findall(t) if t else [] for t in texts]
-        seen = set().union(*words)
+        words = [words_between(t) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
+            seen = set().union(*words)
             self.cache = {w: self.cache[w] for w in seen if w in self.cache}
         cache = self.cache
-        parts = {w: self._pieces(w) for w in seen if w not in cache}
-        pieces = set().union(*parts.values())
+        parts = self._pieces(set(filterfalse(cache.__contains__, chain.from_iterable(words))))
+        pieces = set(chain.from_iterable(parts.values()))
         ids = {p: cache[p] for p in pieces if p in cache}
         fresh = self._learn({p for p in pieces if p not in ids})
         ids |= fresh
         cache |= fresh
         for w, own in parts.items():
-            cache[w] = b"".join([ids[p] for p in own])
-        return [b"".join([cache[w] for w in own]) for own in words]
+            cache[w] = ids[own[0]] if len(own) == 1 else ids[own[0]] + ids[own[1]]
+        of = cache.__getitem__
+        return [b"".join(map(of, own)) for own in words]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from emberscope.llm import decontaminate, lm_score, near_dedup
+from emberscope.llm import decontaminate, lm_score, near_dedup, token_output
+from emberscope.llm.common import WORD
+from emberscope.llm.queries import tokenizer_path
 from emberscope.session import Scratch
 
 
@@ -126,3 +128,18 @@ def test_bands_lose_no_pair(spark):
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
     assert got == {i: root(i) for i, _ in docs}
+
+
+def test_words_between_any_white_space():
+    for text in ("a b\tc\nd\x0be\x0cf\rg", "  a  b ", "", "a\x1cb c", "a\x85b c\xa0d", "a b　c d", "﻿a b", "a\x00b c"):
+        assert token_output.words_between(text) == WORD.findall(text)
+
+
+def test_ids_are_those_of_the_tokenizer_when_the_cache_is_cut(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE_WORDS", 20)
+    own = token_output.Encoder(tokenizer_path())
+    rng = random.Random(3)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["Über", "naïve,", "x1", "one", "ONE!?", "中文", "a\x1cb", "l'été", "e.g.", "''", f"w{rng.randrange(99)}", "".join(rng.choices("abcé", k=9)) + "."]) for _ in range(30)) for _ in range(5)]
+        want = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, dtype=own.type).tobytes() for t in texts]
+        assert own.encode_all(texts) == want
