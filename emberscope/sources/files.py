@@ -33,18 +33,51 @@ def remembered_schema(spark: SparkSession, path: str, schema_path: str, fmt: str
     return schema
 
 
-def load_schema(spark: SparkSession, schema_path: str) -> T.StructType | None:
+def schema_log(spark: SparkSession, schema_path: str) -> DataFrame | None:
+    """All versions of a remembered schema, (version, schema as JSON); None before the first."""
     try:
-        line = spark.read.text(schema_path).first()
+        lines = spark.read.text(schema_path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    return T.StructType.fromJson(json.loads(line["value"])) if line else None
+    version = F.col("version") if "version" in lines.columns else F.lit(0)
+    return lines.select(version.cast("int").alias("version"), F.col("value").alias("schema"))
 
 
-def save_schema(spark: SparkSession, schema: T.StructType, schema_path: str) -> None:
-    spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(schema_path)
+def load_schema(spark: SparkSession, schema_path: str) -> T.StructType | None:
+    """The newest version of a remembered schema."""
+    log = schema_log(spark, schema_path)
+    line = None if log is None else log.orderBy(F.desc("version")).first()
+    return T.StructType.fromJson(json.loads(line["schema"])) if line else None
+
+
+def save_schema(spark: SparkSession, schema: T.StructType, schema_path: str) -> int:
+    """Add a version to a remembered schema, if it differs from the newest; returns its number."""
+    log = schema_log(spark, schema_path)
+    last = None if log is None else log.orderBy(F.desc("version")).first()
+    if last is not None and last["schema"] == schema.json():
+        return last["version"]
+    number = 1 if last is None else last["version"] + 1
+    spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{schema_path}/version={number}")
+    return number
+
+
+def new_columns(spark: SparkSession, headers: dict[str, list[str]], schema: T.StructType, options: dict) -> list[T.StructField]:
+    """Columns of some files that a schema does not have, in any case, with the narrowest types for all their values in these files."""
+    known, found = {f.name.lower() for f in schema}, {}
+    for line, own in headers.items():
+        fresh = {n for n in _names(line, options) if n and n.lower() not in known}
+        if not fresh:
+            continue
+        reading = {k: v for k, v in options.items() if k != "pathGlobFilter"}
+        for field in spark.read.options(**reading).option("header", True).option("inferSchema", True).csv([literal(f) for f in own]).schema:
+            if field.name in fresh:
+                found[field.name] = wider(found.get(field.name, field.dataType), field.dataType)
+    out: dict[str, T.StructField] = {}
+    for name, kind in found.items():
+        out.setdefault(name.lower(), T.StructField(name, kind))
+    return list(out.values())
 
 
 def literal(path: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import vocabulary as V
-from ..sources.files import RESCUED, by_header, csv_by_name, csv_by_place, file_paths, first_lines, json_documents, literal, remembered_schema
+from ..sources.files import RESCUED, by_header, csv_by_name, csv_by_place, file_paths, first_lines, json_documents, literal, new_columns, remembered_schema, save_schema
 from ..sources.tables import add_columns, adopt, table_location
 
 log = logging.getLogger(__name__)
@@ -123,7 +123,8 @@ def ingest(spark: SparkSession, source: FileSource) -> int:
     """Append all files not seen before to the table, then stop. Returns the rows (or documents) read.
 
     The checkpoint remembers the files, so running again adds nothing. Fields
-    added to the declared schema since the last run are added to the table. A batch that is
+    added to the declared schema since the last run are added to the table; without a declared schema, so are columns that
+    CSV files bring for the first time, and the remembered schema gets a new version. Values that do not fit a column's type are rescued. A batch that is
     repeated after a crash replaces its own files in the table, so it counts once.
 
     A file that is empty, holds a message instead of data, or cannot be read (or not in the mode FAILFAST) is left out and
@@ -142,15 +143,27 @@ def ingest_counted(spark: SparkSession, source: FileSource) -> tuple[int, int]:
     _ensure(spark, source.table, T.StructType([*schema.fields, *rescued, *stamps]))
     rejects = rejected_table(source.table)
     counts: list[tuple[int, int]] = []
+    known = [schema]
+
+    def evolve(own: SparkSession, lines: dict[str, str]) -> None:
+        """New columns of a source without a declared schema: a new version of the remembered one, and of the table."""
+        if source.schema is not None or not _has_header(source):
+            return
+        more = new_columns(own, by_header(lines), known[0], _reading(source))
+        if more:
+            known[0] = T.StructType([*known[0].fields, *more])
+            add_columns(own, source.table, more)
+            save_schema(own, known[0], source.schema_path)
 
     def append(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
         files = sorted(r.path for r in batch.distinct().collect())  # at most the files of one batch
         good, bad = judged_files(own, source, files)
+        evolve(own, good)
         rows = 0
         while good:
             try:
-                rows = publish_batch(rows_of_files(own, source, schema, good), source.table, source.checkpoint, number)
+                rows = publish_batch(rows_of_files(own, source, known[0], good), source.table, source.checkpoint, number)
                 break
             except Exception as error:
                 broken = unreadable_file(error, list(good))

@@ -18,6 +18,7 @@ from emberscope.plans.losses import Losses
 from emberscope.plans.medallion import Tables, build
 from emberscope.plans.refresh import refresh
 from emberscope.session import fresh_dir, materialize
+from emberscope.sources.files import schema_log
 from emberscope.sources.landing import document_variables, file_listing, landing_audit as audit_listing, read_payloads, write_documents
 from emberscope.streaming.ingest import FileSource, ingest, ingest_all, rejected_table
 from emberscope.streaming.scoring import LiveScores, drain, forecast_stream, score_with_history, scored_stream
@@ -70,6 +71,32 @@ def ingest_inferred(spark, sf_dir):
     return spark.read.table(source.table).select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
 
 
+@query(
+    """
+SELECT event_id, user_id, CASE WHEN event_id % 3 = 1 THEN value WHEN event_id % 3 = 2 AND event_id % 4 <> 0 THEN value END AS value,
+       CASE WHEN event_id % 3 = 2 THEN event_type END AS event_type, event_id % 3 = 2 AND event_id % 4 = 0 AS rescued, 3 AS versions FROM events"""
+)
+def ingest_evolving(spark, sf_dir):
+    """Three drops without a declared schema: a column comes with the second, another with the third, in which some values no longer fit."""
+    path = fresh_dir(spark, "landing")
+    source = _source(spark, path, "events", "csv")
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 4 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("value")
+    for lot, columns in enumerate((["event_id", "user_id"], ["user_id", "value", "event_id"], ["event_id", text, "event_type", "user_id"])):
+        e.filter(F.col("event_id") % 3 == lot).select(*columns).write.mode("append").option("header", True).csv(path)
+        ingest(spark, source)
+    versions = schema_log(spark, source.schema_path).agg(F.max("version")).scalar()
+    out = spark.read.table(source.table)
+    return out.select(
+        F.col("event_id").cast("bigint").alias("event_id"),
+        F.col("user_id").cast("bigint").alias("user_id"),
+        "value",
+        "event_type",
+        F.col("_rescued_data").isNotNull().alias("rescued"),
+        versions.alias("versions"),
+    )
+
+
 @query(
     """
 SELECT event_id, user_id, event_type, value, CASE WHEN event_id % 2 = 0 THEN '{"note":"n' || event_id || '"}' END AS rescued FROM events"""

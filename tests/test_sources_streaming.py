@@ -16,7 +16,7 @@ from emberscope.plans.medallion import Tables, build
 from emberscope.plans.silver import silver_fires
 from emberscope.sources import landing as L
 from emberscope.sources import tables as S
-from emberscope.sources.files import load_schema, wider
+from emberscope.sources.files import load_schema, schema_log, wider
 from emberscope.streaming.ingest import EMPTY, INVALID, FileSource, ingest, ingest_all, publish_batch, rejected_table
 from emberscope.streaming.scoring import drain, forecast_stream, scored_stream
 
@@ -313,6 +313,21 @@ def test_bad_documents_are_set_aside(spark, tmp_path, schema):
     assert (status.ok, status.rows, status.rejected) == (True, 1, 2)
 
 
+def test_a_remembered_schema_grows_by_versions(spark, tmp_path, schema):
+    src = source(tmp_path, schema, declared=None)
+    put(src.path, "a.csv", "id,day", "1,2020-01-01")
+    ingest(spark, src)
+    put(src.path, "b.csv", "x,ID,id2", "5,2,7")
+    put(src.path, "c.csv", "id,x", "3,0.5")
+    ingest(spark, src)
+    put(src.path, "d.csv", "id,x", "oops,1")
+    ingest(spark, src)
+    got = {(r.id, str(r.day), r.x, r.id2, r["_rescued_data"]) for r in spark.read.table(src.table).collect()}
+    assert got == {(1, "2020-01-01", None, None, None), (2, "None", 5.0, 7, None), (3, "None", 0.5, None, None), (None, "None", 1.0, None, "oops,1")}
+    log = {r.version: [f.name for f in T.StructType.fromJson(json.loads(r.schema))] for r in schema_log(spark, src.schema_path).collect()}
+    assert log == {1: ["id", "day"], 2: ["id", "day", "x", "id2"]} or log == {1: ["id", "day"], 2: ["id", "day", "id2", "x"]}
+
+
 def test_types_merge_in_any_order():
     kinds = [T.IntegerType(), T.LongType(), T.DoubleType(), T.DateType(), T.TimestampType(), T.StringType(), T.BooleanType()]
     for a in kinds:
