@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions.spatial import grid_key, snap
 from ..operators.labels import LEXICAL, keep_confidence, label_join, orphans, snap_detections
+from ..operators.spine import complete, hourly_spine
 from .losses import Losses
 
 JOIN_KEYS = ["fecha_join", "hora_join", "__row", "__col"]
@@ -54,6 +55,20 @@ def gold_full(
     )
 
 
+def complete_weather(weather: DataFrame, ts: str = "timestamp_clima") -> DataFrame:
+    """Every hour between the first and the last one for every cell that has any, with nulls where nothing was measured.
+
+    Hours outside the grid or without a time have no place in a series and are left out.
+    """
+    located = weather.filter(F.col("grid_id").isNotNull() & F.col(ts).isNotNull())
+    cells = located.groupBy("grid_id").agg(*[F.min(c).alias(c) for c in ("latitude", "longitude", "elevation")])
+    start, end = located.agg(F.min(ts)).scalar(), located.agg(F.max(ts) + F.expr("INTERVAL 1 HOUR")).scalar()
+    kind = weather.schema[ts].dataType
+    spine = hourly_spine(cells, start, end, ts).withColumn(ts, F.col(ts).cast(kind))
+    hours = complete(located.select("grid_id", ts, *V.CLIMATE_VARIABLES), spine, ["grid_id", ts])
+    return hours.withColumns({"fecha_join": F.col(ts).cast("date"), "hora_join": F.hour(ts)})
+
+
 def store_keyed(weather: DataFrame, name: str, buckets: int) -> None:
     """Store hourly rows with their join keys, hashed into buckets and sorted by them, one file for each bucket.
 

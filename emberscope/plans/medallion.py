@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
-from ..operators.grid import GridSpec, grid_nodes
+from ..operators.grid import GridSpec, grid_nodes, nearest_nodes
 from ..operators.labels import LEXICAL
+from ..operators.quality import audit_counts, audit_of
 from ..sources.tables import create_layers, layout_sorted, read_table, replace_table
 from ..streaming.ingest import FileSource, ingest_all
-from .features import gold_features
-from .gold import gold_full
+from .features import gold_features, training_table
+from .gold import complete_weather, gold_full
 from .losses import Losses
 from .silver import readable, silver_fires, silver_grid, silver_weather
 
@@ -61,13 +62,16 @@ def build(
     confidence_mode: str = LEXICAL,
     accepted: tuple[str, ...] | None = None,
     losses: Losses | None = None,
+    training: str | None = None,
+    audit: str | None = None,
 ) -> DataFrame:
     """Run every step and return the status of the ingestion.
 
     If a source fails, nothing behind it is rebuilt and the status says so. ``weather_multi_line`` is false for
     files of one document per line. ``accepted`` keeps detections of these confidence codes only. ``losses`` receives what every
     step leaves behind: unreadable documents, hours outside the grid or without a time, repeated and orphaned detections, and
-    rows that lack a value.
+    rows that lack a value. ``training`` names a table of six-hour blocks with everything a model is trained on, made from the hours
+    completed to gap-free series and the nearest nodes of the grid; ``audit`` one of all checks of the weather rows against the grid and its days.
 
     Safe to run again: files already ingested are skipped and every later table
     is replaced as a whole.
@@ -94,4 +98,13 @@ def build(
     replace_table(gold_full(read(tables.silver_weather), read(tables.silver_fires), confidence_mode, accepted, losses), tables.gold_full)
     gold = watch(read(tables.gold_full), "gold_features", read=n)
     replace_table(watch(gold_features(gold), "gold_features", kept=n), tables.gold_features)
+    if training:
+        links = nearest_nodes(read(tables.landing_grid)).withColumnRenamed("cell_id", "grid_id")
+        hourly = gold_full(complete_weather(read(tables.silver_weather)), read(tables.silver_fires), confidence_mode, accepted)
+        # eight links and the node itself
+        replace_table(training_table(hourly, links, link_rows=9 * grid.size), training)
+    if audit:
+        hours = read(tables.silver_weather)
+        days = hours.agg(F.datediff(F.max("fecha_join"), F.min("fecha_join")) + 1).first()[0] or 0
+        replace_table(audit_of(audit_counts(hours, V.CLIMATE_VARIABLES, "grid_id", "fecha_join"), V.CLIMATE_VARIABLES, "grid_id", "fecha_join", grid.size, days), audit)
     return status

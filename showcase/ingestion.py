@@ -24,7 +24,8 @@ from emberscope.streaming.ingest import FileSource, ingest, ingest_all, rejected
 from emberscope.streaming.scoring import LiveScores, drain, forecast_stream, score_with_history, scored_stream
 
 from .base import VARIABLES, complete_gold, doubles, plain, query, table, weather, with_sql
-from .series import _TIME_COLUMNS, CYCLES, INDEX, six
+from .joins import _CELLS as CELLS_SQL
+from .series import _TIME_COLUMNS, CYCLES, INDEX, TRAINING_SQL, six
 from .tables import new_schema
 
 EVENT_CSV = T.StructType(
@@ -433,6 +434,42 @@ def medallion_build(spark, sf_dir):
     return _six_digits(spark.read.table(tables.gold_features))
 
 
+# hours of weather alone make the period, cells are named by their place, and the neighbours are those of the whole grid
+_PLACE = "CAST(latitude AS VARCHAR) || '_' || CAST(longitude AS VARCHAR)"
+_BUILT_SQL = (
+    TRAINING_SQL.replace("complete_gold", "placed_gold")
+    .replace("placed_gold AS (", "complete_gold AS (", 1)
+    .replace("FROM ev) AS b", "FROM ev WHERE event_type <> 'error') AS b")
+    .replace("(SELECT DISTINCT user_id FROM events) AS u", "(SELECT DISTINCT user_id FROM events WHERE event_type <> 'error') AS u")
+    .replace("block AS (", f"placed_gold AS (SELECT * REPLACE ({_PLACE} AS grid_id) FROM complete_gold),\nblock AS (", 1)
+    .replace(
+        CELLS_SQL,
+        f"SELECT {_PLACE} AS cell_id, * FROM (SELECT CAST(-325 + i % 20 AS DOUBLE) / 10 AS latitude, CAST(-650 + i // 20 AS DOUBLE) / 10 AS longitude "
+        "FROM (SELECT unnest(generate_series(0, (max(user_id) // 20 + 1) * 20 - 1)) AS i FROM ev))",
+    )
+)
+_EXACT = ("hours_in_block", "target", "dry_hours", "target_ahead", "fires_near")
+_AS_IT_IS = ", ".join(f"'{c}'" for c in ("grid_id", "block_start", *_EXACT))
+
+
+@query(
+    f"""SELECT COLUMNS(lambda c: c IN ({_AS_IT_IS})), CAST(round(CAST(COLUMNS(lambda c: c NOT IN ({_AS_IT_IS}, 'wind_direction_10m')) AS DECIMAL(28,9)), 5) AS DOUBLE)
+FROM ({_BUILT_SQL}) AS t"""
+)
+def training_build(spark, sf_dir):
+    """From landing files through every layer to the training table of six-hour blocks."""
+    weather_path, fires_path = _write_documents(spark, sf_dir, 500), fresh_dir(spark, "fires")
+    _write_detections(spark, table(spark, sf_dir, "events").filter("event_type = 'error'"), fires_path)
+    tables, grid = _layers(spark, sf_dir)
+    name = f"{tables.gold_full}_training"
+    _checked(build(spark, fires_path, weather_path, fresh_dir(spark, "state"), grid, tables, layers=(), weather_multi_line=False, training=name))
+    out = plain(spark.read.table(name).drop("wind_direction_10m"))
+    # six digits first where the SQL says so, and then five of everything, as sums of doubles differ in the last ones
+    six_first = ("temperature_near", "humidity_near", "hour_sin", "hour_cos", "month_sin", "month_cos")
+    out = out.withColumns({c: F.col(c).cast("decimal(28,6)") for c in six_first})
+    return out.withColumns({c: F.round(F.col(c).cast("decimal(28,9)"), 5).cast("double") for c in out.columns if c not in ("grid_id", "block_start", *_EXACT)})
+
+
 @query(_FEATURES_SQL)
 def incremental_build(spark, sf_dir):
     """The same in two drops of files, the second with other cells and more detections of the first ones' cells."""

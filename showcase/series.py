@@ -234,8 +234,7 @@ _SEASON = ", ".join(
 _LAG_COLUMNS = ("temperature_2m", "relative_humidity_2m", "wind_speed_10m")
 
 
-@query(
-    with_sql(
+TRAINING_SQL = with_sql(
         "complete_gold",
         f"""SELECT b.*, w.weather_code, {_delta('temperature_2m')}, {_delta('vapour_pressure_deficit')}, {_delta('wind_speed_10m')},
        m.* EXCLUDE (grid_id, block_start), {six('n.temperature_near', 'temperature_near')}, {six('n.humidity_near', 'humidity_near')}, n.fires_near, {_SEASON}
@@ -261,9 +260,10 @@ QUALIFY m.grid_id IS NOT NULL""".replace("b.*,", "b.*, ").replace("OVER (PARTITI
          CAST(sum(o.target) AS BIGINT) AS fires_near
   FROM block AS own JOIN nearest AS n ON n.cell_id = own.grid_id
   LEFT JOIN block AS o ON o.grid_id = n.neighbour AND o.block_start = own.block_start GROUP BY 1, 2""",
-    ),
-    name="training_table",
-)
+    )
+
+
+@query(TRAINING_SQL, name="training_table")
 def training(spark, sf_dir):
     """Six-hour blocks of every cell with base values, changes, memory, neighbours, season and the 12 h label."""
     links = neighbour_links(spark, sf_dir)
