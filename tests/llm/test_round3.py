@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from emberscope.llm import decontaminate, lm_score, near_dedup, token_output
+from emberscope.llm import decontaminate, langid, lm_score, near_dedup, token_output
 from emberscope.llm.common import WORD
 from emberscope.llm.queries import tokenizer_path
 from emberscope.session import Scratch
@@ -143,3 +143,70 @@ def test_ids_are_those_of_the_tokenizer_when_the_cache_is_cut(monkeypatch):
         texts = [" ".join(rng.choice(["Über", "naïve,", "x1", "one", "ONE!?", "中文", "a\x1cb", "l'été", "e.g.", "''", f"w{rng.randrange(99)}", "".join(rng.choices("abcé", k=9)) + "."]) for _ in range(30)) for _ in range(5)]
         want = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, dtype=own.type).tobytes() for t in texts]
         assert own.encode_all(texts) == want
+
+
+SCRIPTS = {
+    "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя",
+    "el": "αβγδεζηθικλμνξοπρστυφχψω",
+    "he": "אבגדהוזחטיכלמנסעפצקרשת",
+    "hi": "अआइईउऊएऐओकखगघचछजझटठडढतथदधनपफबभमयरलवशषसह",
+    "zh": "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出",
+    "fr": "abcdefghijlmnopqrstuvéèàçêôû",
+    "tr": "abcçdefgğhıijklmnoöprsştuüvyz",
+}
+
+
+def spoken(rng, lang, n):
+    """Words of a script; each language has its own few syllables, so that its trigrams are its own."""
+    own = random.Random(lang)
+    syllables = ["".join(own.choices(SCRIPTS[lang], k=2)) for _ in range(25)]
+    return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(n))
+
+
+def brute_language(text, texts_of):
+    """The method trigram by trigram, with Python's integers."""
+
+    def vector(t):
+        marks = [langid._Space._symbol(ord(c)) for c in t]
+        s, total = [0], np.zeros(langid.DIMENSIONS)
+        for m in [*marks, 0]:
+            if m or s[-1]:
+                s.append(m)
+        letter = langid._Space._vector
+        for a, b, c in zip(s, s[1:], s[2:]):
+            total += np.roll(letter(a), 2).astype(int) * np.roll(letter(b), 1) * letter(c)
+        return total, len(s) - 2
+
+    prototypes = {}
+    for lang, texts in texts_of.items():
+        p = sum(v / n for v, n in map(vector, texts))
+        prototypes[lang] = p / np.linalg.norm(p)
+    mean = np.mean(list(prototypes.values()), axis=0)
+    own = vector(text)[0]
+    own = own / np.linalg.norm(own) - mean
+    cosines = {lang: own @ (p - mean) / np.linalg.norm(own) / np.linalg.norm(p - mean) for lang, p in prototypes.items()}
+    return max(sorted(cosines), key=cosines.get), max(cosines.values())
+
+
+def test_scripts_are_told_apart_as_by_brute_force(spark):
+    rng = random.Random(4)
+    texts = {lang: [spoken(rng, lang, 25) for _ in range(5)] for lang in SCRIPTS}
+    df = spark.createDataFrame([(f"{lang}{i}", t, lang) for lang, own in texts.items() for i, t in enumerate(own)], "doc_id string, text string, lang string")
+    prototypes = langid.learn(df)
+    asked = [(lang, spoken(rng, lang, 12)) for lang in SCRIPTS for _ in range(3)] + [("fr", "ÉÈÀ " + spoken(rng, "fr", 6).upper())]
+    got = langid.identify(spark.createDataFrame(asked, "lang string, text string"), prototypes).collect()
+    for r in got:
+        lang, score = brute_language(r.text, texts)
+        assert r.lang_pred == lang == r.lang and r.score == pytest.approx(max(0, score), abs=1e-4)
+    # a script that nothing was learned of is foreign, one that was is not
+    shares = langid.trigram_shares(df.filter("lang <> 'he'"))
+    learned = langid.prototypes_of(shares)
+    known = langid.predict(df, learned, spreads=langid.spreads_of(shares, learned))
+    foreign = {(r.lang, r.f) for r in df.select("lang", known["foreign"].alias("f")).collect()}
+    assert ("he", True) in foreign and ("he", False) not in foreign and ("ru", True) not in foreign and ("zh", True) not in foreign
+
+
+def test_marks_and_signs_are_no_letters():
+    assert langid.space().trigrams("́̂ 12 !!") is None and langid.space().trigrams("é") is not None
+    grams, counts = langid.space().trigrams("aa  aa")
+    assert counts.sum() == 5 and len(grams) == 3
