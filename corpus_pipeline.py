@@ -13,10 +13,10 @@ from emberscope.session import fresh_dir, pin_utc, remove_dir
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without a letter or unlike every language go."""
-    learned = langid.profiles(docs)
-    prototypes = {name: langid.prototype(shares) for name, shares in learned.items()}
+    shares = langid.trigram_shares(docs)
+    prototypes = langid.prototypes_of(shares)
     said = free_name(docs, "__said")
-    judged = docs.withColumn(said, langid.predict(docs, prototypes, spreads={name: langid.spread(shares) for name, shares in learned.items()}))
+    judged = docs.withColumn(said, langid.predict(docs, prototypes, spreads=langid.spreads_of(shares, prototypes)))
     return judged.filter((F.col(f"{said}.lang_pred") != langid.UNKNOWN) & ~F.col(f"{said}.foreign")).drop(said)
 
 
