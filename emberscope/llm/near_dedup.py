@@ -183,14 +183,16 @@ def _sharing_rare(documents: DataFrame, similarity: float, scratch: Scratch) ->
     wanted = F.sequence(_band(shortest), _band(F.greatest(longest, shortest)))
     prefix = prefix.filter(longest >= shortest).withColumns({"own": _band(F.col("n")), "wanted": F.explode(wanted)})
     prefix = scratch.put(prefix, "prefix")
-    # parts first, so that a part is never compared with itself
-    groups = prefix.select("token", "own", "wanted", "part").distinct()
-    groups = scratch.put(groups, "groups")
-    other = groups.toDF("token", "wanted", "own", "b_part")
-    met = scratch.put(groups.join(other, ["token", "own", "wanted"]).filter("part < b_part"), "met")
-    left = prefix.withColumnRenamed("node", "a").join(met, ["token", "own", "wanted", "part"])
-    right = prefix.select("token", F.col("wanted").alias("own"), F.col("own").alias("wanted"), F.col("part").alias("b_part"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"))
-    near = left.join(right, ["token", "own", "wanted", "b_part"])
+    # only where several parts meet, and both bands have rows: what one part shares with itself alone is settled
+    low, high = F.least("own", "wanted"), F.greatest("own", "wanted")
+    meeting = prefix.groupBy("token", low.alias("low"), high.alias("high")).agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min("own").alias("least"), F.max("own").alias("most"))
+    meeting = meeting.filter("a < b AND least = low AND most = high")
+    meeting = scratch.put(meeting.select("token", "low", "high"), "meeting")
+    prefix = prefix.withColumns({"low": low, "high": high}).join(meeting, ["token", "low", "high"], "left_semi").drop("low", "high")
+    prefix = scratch.put(prefix, "met")
+    other = prefix.select("token", F.col("wanted").alias("own"), F.col("own").alias("wanted"), *[F.col(c).alias(f"b_{c}") for c in ("part", "n", "place")], F.col("node").alias("b"))
+    once = "part <> b_part AND (own < wanted OR own = wanted AND a < b)"
+    near = prefix.withColumnRenamed("node", "a").join(other, ["token", "own", "wanted"]).filter(once)
     common = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("b_n")) - F.lit(1e-9))
     near = near.filter((F.col("place") <= F.col("n") - common + 1) & (F.col("b_place") <= F.col("b_n") - common + 1))
     return scratch.put(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
