@@ -61,7 +61,8 @@ def fit_boosted(
 
 def _fit(train: DataFrame, features: Sequence[str], stages: list) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="skip")
-    return Pipeline(stages=[assembler, *stages]).fit(train)
+    # a copy has no training summary, which would take the session to the tasks; once an Observation was made, it cannot go
+    return Pipeline(stages=[assembler, *stages]).fit(train).copy()
 
 
 def score(model: PipelineModel, df: DataFrame, name: str = "score", keep_incomplete: bool = False) -> DataFrame:

@@ -3,11 +3,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from emberscope.functions.timekeys import HOUR
 from emberscope.operators.frames import ahead, lagged, over_time, trailing
-from emberscope.operators.modeling import fit_forest, score
+from emberscope.operators.modeling import fit_boosted, fit_forest, fit_margin, score
 from emberscope.streaming.scoring import BATCH, LiveScores, forecast_stream, score_batch, score_with_history
 
 T0 = dt.datetime(2020, 1, 1)
@@ -90,6 +91,15 @@ def test_frames_look_back_only(tmp_path):
         LiveScores(["k"], "ts", ["x"], [ahead("y", "x", "max", HOUR)], "t", str(tmp_path))
 
 
+def test_models_score_after_an_observation(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 3
+    rows = spark.createDataFrame([(float(i % 7), float(i), i % 2) for i in range(40)], "a double, b double, target int")
+    for model in (fit_forest(rows, ["a", "b"], trees=3, depth=2), fit_margin(rows, ["a", "b"]), fit_boosted(rows, ["a", "b"], rounds=2, depth=2)):
+        assert score(model, rows).count() == 40
+
+
 def test_rows_without_a_feature_keep_no_score(spark):
     rows = spark.createDataFrame([(float(i % 7), float(i), i % 2) for i in range(40)], "a double, b double, target int")
     model = fit_forest(rows, ["a", "b"], trees=3, depth=2)
