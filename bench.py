@@ -20,6 +20,7 @@ from showcase import REGISTRY  # noqa: E402
 
 HEADLINE = [
     "label_join",
+    "label_join_bucketed",
     "orphan_fires",
     "grid_snap_join",
     "neighbour_mean",
@@ -38,6 +39,7 @@ HEADLINE = [
     "hotspots_topk",
     "month_rank",
     "audit_all",
+    "roc_auc",
     "ingest_stream",
     "medallion_build",
 ]
