@@ -273,10 +273,16 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alone = F.col(doc_id).isNull() | F.col(text).isNull()
     keyed = docs.withColumn(node, F.when(~alone, F.xxhash64(text)))
     scratch = Scratch(docs.sparkSession)
-    # copies are made one, map-side first
-    texts = scratch.put(keyed.filter(~alone).select(F.col(node).alias("doc_id"), F.col(text).alias("text")).distinct(), "texts")
-    classes = near_duplicates(texts, similarity=similarity).distinct().toDF(node, class_id)  # a table of its own
+    # copies are made one; a text has its smallest id as its number, which puts originals into the middle of stars, or a hash where texts share that id
+    texts = keyed.filter(~alone).groupBy(node, F.col(text).alias("text")).agg(F.min(F.col(doc_id).cast("long")).alias("low"))
+    texts = scratch.put(texts, "texts")
+    shared = texts.groupBy("low").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    numbered = texts.join(shared, "low", "left").select(node, "text", F.when(F.col("times").isNull(), F.col("low")).otherwise(F.col(node)).alias("doc_id"))
+    numbered = scratch.put(numbered, "numbered")
     scratch.drop(texts)
+    found = near_duplicates(numbered.select("doc_id", "text"), similarity=similarity).distinct()
+    classes = scratch.put(numbered.select(node, "doc_id").join(found, "doc_id").select(node, F.col("class_id").alias(class_id)), "numbers")
+    scratch.drop(numbered)
     held = keyed.filter(~alone).select(F.col(doc_id).alias("id"), node).join(classes, node)
     kept = held.groupBy(class_id).agg(F.min(F.struct(F.col("id"), F.col(node))).alias(best)).select(F.col(f"{best}.id").alias(best), F.col(f"{best}.{node}").alias(node))
     # a table of its own: rows of a very common document are split in the join
