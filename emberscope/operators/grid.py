@@ -15,6 +15,8 @@ from ..session import Scratch
 
 # A broadcast side may hold at most this many rows of a few dozen bytes.
 BROADCAST_ROWS = 1_000_000
+# Links gathered in lists take some twenty bytes each.
+BROADCAST_LINKS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -194,11 +196,10 @@ def neighbour_mean(
     A node's time at which no neighbour was observed has no row, or with ``keep_empty`` a row of nulls: its own row
     then stands beside its neighbours' without counting.
 
-    The mappings go from output name to input column. With a neighbour table
-    known to be small, the hourly rows are shuffled once by time, matched by
-    broadcast and aggregated in place: the eightfold rows never cross the
-    network. A large neighbour table is joined on the neighbour instead and
-    the matches are combined before their shuffle.
+    The mappings go from output name to input column. The links are gathered to one row for each neighbour, with the list of
+    the nodes it stands beside. The hourly rows are shuffled once by time and only then multiplied and aggregated in place, so the
+    eightfold rows never cross the network. ``neighbour_rows`` is the known number of links: up to ``BROADCAST_LINKS`` the lists are
+    broadcast, beyond it an hourly row meets its list in a join before and takes it along. A null is no node.
     """
     means, sums, directions = dict(means or {}), dict(sums or {}), dict(directions or {})
     used = sorted({*means.values(), *sums.values()})
@@ -208,13 +209,26 @@ def neighbour_mean(
         angle = F.radians(F.col(column))
         vectors[f"__sin_{name}"], vectors[f"__cos_{name}"] = F.sin(angle), F.cos(angle)
     values = hourly.select(F.col(node).alias("neighbour"), ts, *used, *[v.alias(n) for n, v in vectors.items()])
-    links = neighbours.select(node, "neighbour", F.lit(True).alias("__near"))
+    links = neighbours.select("neighbour", F.col(node).alias("__node"))
     if keep_empty:
-        links = links.unionByName(neighbours.select(node, F.col(node).alias("neighbour"), F.lit(False).alias("__near")).distinct())
-    if neighbour_rows is not None and neighbour_rows <= BROADCAST_ROWS:
-        matched = values.repartition(ts).join(F.broadcast(links), "neighbour")
+        links = links.unionByName(neighbours.select(F.col(node).alias("neighbour")), allowMissingColumns=True)
+    small = neighbour_rows is not None and neighbour_rows <= BROADCAST_LINKS
+    # a stated number of parts stays: merged by their size before they multiply, they would be too large behind
+    parts = int(hourly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the lists leave out nulls, which stand for the node's own row here
+    own = F.lit(keep_empty) & F.bool_or(F.col("__node").isNull())
+    # lists to be broadcast are gathered by ranges, so that the only hash shuffle of that plan is the one of the hours
+    lists = (links.repartitionByRange(parts, "neighbour") if small else links).groupBy("neighbour")
+    lists = lists.agg(F.collect_list("__node").alias("__beside"), own.alias("__own"))
+    if small:
+        listed = values.repartition(parts, ts).join(F.broadcast(lists), "neighbour")
     else:
-        matched = values.join(links, "neighbour")
+        listed = values.join(lists.hint("shuffle_hash"), "neighbour").repartition(parts, ts)
+    beside = F.transform("__beside", lambda n: F.struct(n.alias(node), F.lit(True).alias("__near")))
+    itself = F.array(F.struct(F.col("neighbour").alias(node), F.lit(False).alias("__near")))
+    targets = F.when(F.col("__own"), F.concat(beside, itself)).otherwise(beside)
+    carried = [ts, *used, *vectors]
+    matched = listed.select(*carried, F.inline(targets))
     near = lambda column: F.when(F.col("__near"), F.col(column))
     return matched.groupBy(node, ts).agg(
         *[_mean(near(column), column in exact_means).alias(name) for name, column in means.items()],

@@ -104,6 +104,19 @@ def test_neighbour_mean_same_by_broadcast_and_by_shuffle(spark):
     assert ("n0", 2) not in small and small["n2", 2].x == 5.0
 
 
+def test_neighbour_mean_of_many_links_shuffles_no_match(spark):
+    """Beyond the broadcast, the eightfold matches once went through the shuffle."""
+    hourly = spark.range(400).selectExpr("cast(id % 20 as string) AS cell_id", "id div 20 AS t", "cast(id AS double) AS x")
+    links = spark.range(160).selectExpr("cast(id % 20 as string) AS cell_id", "cast((id % 20 + id div 20 + 1) % 20 as string) AS neighbour")
+    got = neighbour_mean(hourly, links, "cell_id", "t", {"m": "x"}, keep_empty=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the lists, the hours by node with their lists, the hours by time; the aggregates behind stand on the last
+    behind = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert "Generate inline" in behind and behind.count("HashAggregate") == 2 and behind.count("Exchange") == 1
+    wide = {(r.cell_id, r.t): r.m for r in got.collect()}
+    assert wide == {(str(c), t): sum(20 * t + (c + k) % 20 for k in range(1, 9)) / 8 for c in range(20) for t in range(20)}
+
+
 def test_neighbour_mean_shuffles_the_hours_once(spark):
     hourly = spark.range(10).selectExpr("cast(id as string) AS cell_id", "id % 3 AS t", "1.0 AS x")
     links = spark.range(10).selectExpr("cast(id as string) AS cell_id", "cast(id + 1 as string) AS neighbour")
