@@ -12,6 +12,8 @@ from ..functions.spatial import morton
 from ..session import remove_dir
 
 STAGING, BACKUP = "__staging", "__backup"
+#: Rows that one task of a layout sorts at most, apart from the unevenness of ranges.
+ROWS_PER_PARTITION = 1_000_000
 
 
 def create_layers(spark: SparkSession, location: str | None = None, layers: Sequence[str] = tuple(V.LAYERS)) -> None:
@@ -203,20 +205,26 @@ def layout_morton(df: DataFrame, row: Column, col: Column, partitions: int) -> D
     """Same rows, stored along a Z-order curve of two non-negative integer indices.
 
     The row hash as last range key lets the rows of one hot cell spread over
-    several partitions.
+    several partitions. There are ``partitions`` of them, more where they
+    would hold over ``ROWS_PER_PARTITION`` rows, as each is sorted in one task.
     """
     z = morton(row, col)
     return (
         df.withColumn("__z", z)
-        .repartitionByRange(partitions, F.col("__z"), F.xxhash64(*df.columns))
+        .repartitionByRange(_parts(df, partitions), F.col("__z"), F.xxhash64(*df.columns))
         .sortWithinPartitions("__z")
         .drop("__z")
     )
 
 
 def layout_sorted(df: DataFrame, columns: Sequence[str], partitions: int) -> DataFrame:
-    """Same rows, range-partitioned and sorted by the given columns."""
-    return df.repartitionByRange(partitions, *columns).sortWithinPartitions(*columns)
+    """Same rows, range-partitioned and sorted by the given columns; ``partitions`` as in ``layout_morton``."""
+    return df.repartitionByRange(_parts(df, partitions), *columns).sortWithinPartitions(*columns)
+
+
+def _parts(df: DataFrame, least: int) -> int:
+    """Partitions for a sort of all rows, so that what one task sorts does not grow with the table."""
+    return max(least, -(-df.count() // ROWS_PER_PARTITION))
 
 
 def export_by_year(df: DataFrame, ts: str, path: str) -> None:

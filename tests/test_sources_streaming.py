@@ -398,6 +398,16 @@ def test_layout_splits_one_hot_cell(spark):
     assert max(sizes) < 4000 / 4
 
 
+def test_layouts_have_more_partitions_for_more_rows(spark, monkeypatch):
+    """Each partition is sorted in one task, whose rows once grew with the table."""
+    monkeypatch.setattr(S, "ROWS_PER_PARTITION", 500)
+    df = spark.range(5000).selectExpr("id % 97 AS r", "id % 89 AS c", "id")
+    for laid in (S.layout_morton(df, F.col("r"), F.col("c"), 4), S.layout_sorted(df, ["r", "id"], 4)):
+        sizes = [r["count"] for r in laid.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 5000 and len(sizes) == 10 and max(sizes) < 1000
+    assert S.layout_sorted(df.limit(10), ["r"], 4).rdd.getNumPartitions() == 4
+
+
 def test_export_by_year(spark, tmp_path):
     df = spark.createDataFrame([(i, dt.datetime(2020 + i % 3, 1, 1)) for i in range(9)], "id int, ts timestamp")
     S.export_by_year(df, "ts", f"{tmp_path}/x")
