@@ -103,8 +103,9 @@ def nearest_nodes(
     Nodes are points of the unit sphere, sorted into cubes of some width, so the 180th meridian and the poles are places like any other.
     A node's candidates are the nodes of its own and the 26 cubes around, which hold all within one width. A node is
     settled once its ``count``-th candidate is nearer than that; the others go round again with twice the width, so sparse or narrow
-    grids are exact too. The first width is ``reach`` steps, less where the meridians draw together: nodes near a pole start with narrower cubes
-    and are settled before the others begin. Only nodes that exist become candidates, however wide the gaps.
+    grids are exact too. The first width is ``reach`` steps, less where the meridians draw together and where over ``CROWD`` nodes
+    share a cube: nodes near a pole or in a crowd start with narrower cubes and are settled before the others begin, so a node's
+    candidates do not grow with the number of nodes in one place. Only nodes that exist become candidates, however wide the gaps.
     """
     scratch = Scratch(grid.sparkSession)
     a, o = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
@@ -122,15 +123,17 @@ def nearest_nodes(
         ),
         "grid",
     )
-    shape = base.agg(*[(F.max(c) - F.min(c)).alias(c) for c in _SPACE], F.min("level").alias("first")).first()
-    extent, now = max(shape[c] or 0.0 for c in _SPACE), shape["first"] or 0
     full = 2 * math.sin(math.radians(step * reach) / 2)
+    base = _uncrowded(base, full, scratch)
+    shape = base.agg(*[(F.max(c) - F.min(c)).alias(c) for c in _SPACE], F.min("level").alias("first"), F.count(F.lit(1)).alias("nodes")).first()
+    extent, now = max(shape[c] or 0.0 for c in _SPACE), shape["first"] or 0
+    tasks = max(8, -(-shape["nodes"] // NODES_PER_TASK))
     open_nodes, parts = base, []
     while True:
         width = full * 2.0**now
         last = width >= extent
         # in the last round all nodes meet all, which are few or far apart
-        ranked = scratch.put(_candidates(open_nodes.filter((F.col("level") <= now) | F.lit(last)), base, width, count), "nearest")
+        ranked = scratch.put(_candidates(open_nodes.filter((F.col("level") <= now) | F.lit(last)), base, width, count, tasks), "nearest")
         if last:
             parts.append(ranked)
             break
@@ -158,16 +161,41 @@ def nearest_nodes(
 _SPACE = ("x", "y", "z")
 #: Cubes are at most so many powers of two narrower than at the equator.
 NARROWEST = -10
-
-
-def _candidates(nodes: DataFrame, base: DataFrame, width: float, count: int) -> DataFrame:
-    """Ranked candidates from the cubes around each node."""
+#: Nodes that may share a cube of the first width.
+CROWD = 16
+#: Nodes whose candidates are sorted in one task, on average.
+NODES_PER_TASK = 1_000
+
+
+def _cube(c: str, width: float) -> Column:
+    return F.floor(F.col(c) / F.lit(width))
+
+
+def _uncrowded(base: DataFrame, full: float, scratch: Scratch) -> DataFrame:
+    """``base`` with levels lowered, one at a time, where over ``CROWD`` nodes share a cube of that level."""
+    lowest = base.agg(F.min("level")).first()[0] or 0
+    for level in range(0, NARROWEST, -1):
+        cubes = [_cube(c, full * 2.0**level).alias(f"c{c}") for c in _SPACE]
+        crowded = base.groupBy(*cubes).agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("top")).filter((F.col("n") > CROWD) & (F.col("top") == level))
+        crowded = scratch.put(crowded.select(*[f"c{c}" for c in _SPACE], F.lit(True).alias("crowded")), "crowded")
+        if crowded.isEmpty():
+            if level <= lowest:
+                break
+            continue
+        marked = base.select("*", *cubes).join(crowded, [f"c{c}" for c in _SPACE], "left")
+        lower = F.when(F.col("crowded"), F.least("level", F.lit(level - 1))).otherwise(F.col("level"))
+        base = scratch.put(marked.select(*[c for c in base.columns if c != "level"], lower.alias("level")), "grid")
+    return base
+
+
+def _candidates(nodes: DataFrame, base: DataFrame, width: float, count: int, tasks: int) -> DataFrame:
+    """Ranked candidates from the cubes around each node. The probes are few beside the pairs they make, so the number of tasks is stated."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    cube = lambda c: F.floor(F.col(c) / F.lit(width))
-    probes = nodes.select("node", "lat", "lon", *[cube(c).alias(f"c{c}") for c in _SPACE])
+    probes = nodes.select("node", "lat", "lon", *[_cube(c, width).alias(f"c{c}") for c in _SPACE])
     for c in _SPACE:
         probes = probes.withColumn("d", F.explode(around)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d")).drop("d")
-    others = base.select(F.col("node").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[cube(c).alias(f"c{c}") for c in _SPACE])
+    probes = probes.repartition(tasks, *[f"c{c}" for c in _SPACE])
+    others = base.select(F.col("node").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[_cube(c, width).alias(f"c{c}") for c in _SPACE])
     pairs = probes.join(others, [f"c{c}" for c in _SPACE]).filter("node <> neighbour").withColumn(
         "distance_km", F.round(great_circle_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 6)
     )

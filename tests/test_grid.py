@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from emberscope import vocabulary as V
 from emberscope.functions.spatial import grid_key, morton, snap
-from emberscope.operators.grid import GridSpec, assign_node, grid_nodes, nearest_nodes, neighbour_mean
+from emberscope.operators.grid import GridSpec, _uncrowded, assign_node, grid_nodes, nearest_nodes, neighbour_mean
 from emberscope.plans.gold import gold_full
 from emberscope.plans.silver import silver_grid
+from emberscope.session import Scratch
 
 
 def km(a, b):
@@ -88,6 +89,23 @@ def test_nearest_nodes_against_brute_force(spark, name):
         assert [n for _, n in sorted(got[node])] == [n for _, n in want]
 
 
+def test_a_crowd_starts_with_narrower_cubes(spark):
+    """Many nodes in one cube once all became candidates of each other."""
+    crowd = [(f"c{i}", (i % 20) / 1000, (i // 20) / 1000) for i in range(400)] + [("far", 5.0, 5.0)]
+    points = spark.createDataFrame(crowd, "cell_id string, latitude double, longitude double")
+    a, o = F.radians("latitude"), F.radians("longitude")
+    on_sphere = points.select("cell_id", (F.cos(a) * F.cos(o)).alias("x"), (F.cos(a) * F.sin(o)).alias("y"), F.sin(a).alias("z"), F.lit(0).alias("level"))
+    levels = {r.cell_id: r.level for r in _uncrowded(on_sphere, 2 * math.sin(math.radians(0.3) / 2), Scratch(spark)).collect()}
+    assert len(levels) == 401 and levels["far"] == 0 and max(levels[f"c{i}"] for i in range(400)) < -1
+    place = {n: (la, lo) for n, la, lo in crowd}
+    got = {}
+    for r in nearest_nodes(points).collect():
+        got.setdefault(r.cell_id, []).append((r.position, r.neighbour))
+    for node in ("c0", "c210", "c399", "far"):
+        want = sorted((round(km(place[node], place[n]), 6), n) for n in place if n != node)[:8]
+        assert [n for _, n in sorted(got[node])] == [n for _, n in want]
+
+
 def test_neighbour_mean_same_by_broadcast_and_by_shuffle(spark):
     nodes = spark.createDataFrame([(f"n{i}", *p) for i, p in enumerate(GRIDS["few"])], "cell_id string, latitude double, longitude double")
     links = nearest_nodes(nodes)
