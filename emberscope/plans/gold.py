@@ -15,13 +15,14 @@ JOIN_KEYS = ["fecha_join", "hora_join", "__row", "__col"]
 GOLD_CLIMATE = [v for v in V.CLIMATE_VARIABLES if v != "snow_depth"]
 
 
-def _keyed(df: DataFrame) -> DataFrame:
+def keyed_by_place(df: DataFrame) -> DataFrame:
+    """Rows with the grid lines that the label join compares."""
     return df.withColumns({"__row": grid_key(F.col("latitude")), "__col": grid_key(F.col("longitude"))})
 
 
 def snapped_fires(fires: DataFrame, confidence_mode: str = LEXICAL, accepted: tuple[str, ...] | None = None) -> DataFrame:
     kept = keep_confidence(fires, accepted) if accepted else fires
-    return snap_detections(_keyed(kept), JOIN_KEYS, confidence_mode=confidence_mode)
+    return snap_detections(keyed_by_place(kept), JOIN_KEYS, confidence_mode=confidence_mode)
 
 
 def gold_full(
@@ -30,15 +31,20 @@ def gold_full(
     confidence_mode: str = LEXICAL,
     accepted: tuple[str, ...] | None = None,
     losses: Losses | None = None,
+    hashed: bool = False,
 ) -> DataFrame:
     """Weather rows with target, intensity and confidence; as many rows as ``weather``.
 
+    ``hashed`` keeps a task's detections in a hash table, so that the hours are not sorted: for hours completed to series, of which few have one.
+
     ``losses`` counts the snapped detections and the rows they label; on hourly rows the difference are the orphans.
     """
     snapped = snapped_fires(fires, confidence_mode, accepted)
     if losses:
         snapped = losses.watch(snapped, "gold_full", detections=F.count(F.lit(1)))
-    keyed = weather if {"__row", "__col"} <= set(weather.columns) else _keyed(weather)
+    if hashed:
+        snapped = snapped.hint("shuffle_hash")
+    keyed = weather if {"__row", "__col"} <= set(weather.columns) else keyed_by_place(weather)
     labelled = label_join(keyed, snapped, JOIN_KEYS)
     if losses:
         labelled = losses.watch(labelled, "gold_full", rows=F.count(F.lit(1)), labelled=F.count_if(F.col("target") == 1))
@@ -75,13 +81,13 @@ def store_keyed(weather: DataFrame, name: str, buckets: int) -> None:
     ``gold_full`` then joins the stored table as it lies: the hours, by far the larger side, are neither shuffled nor sorted
     again, however often detections are corrected. ``buckets`` fixes how many tasks join; take a multiple of the cores and about 200 MB each.
     """
-    keyed = _keyed(weather).repartition(buckets, *JOIN_KEYS)
+    keyed = keyed_by_place(weather).repartition(buckets, *JOIN_KEYS)
     keyed.write.format("parquet").mode("overwrite").bucketBy(buckets, *JOIN_KEYS).sortBy(*JOIN_KEYS).saveAsTable(name)
 
 
 def fires_without_weather(weather: DataFrame, fires: DataFrame) -> DataFrame:
     """Snapped detections outside the grid or the period, which the label join cannot show."""
-    lost = orphans(snapped_fires(fires), _keyed(weather), JOIN_KEYS)
+    lost = orphans(snapped_fires(fires), keyed_by_place(weather), JOIN_KEYS)
     return lost.select(
         "fecha_join",
         "hora_join",

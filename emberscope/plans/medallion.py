@@ -100,7 +100,7 @@ def build(
     replace_table(watch(gold_features(gold), "gold_features", kept=n), tables.gold_features)
     if training:
         links = nearest_nodes(read(tables.landing_grid)).withColumnRenamed("cell_id", "grid_id")
-        hourly = gold_full(complete_weather(read(tables.silver_weather)), read(tables.silver_fires), confidence_mode, accepted)
+        hourly = gold_full(complete_weather(read(tables.silver_weather)), read(tables.silver_fires), confidence_mode, accepted, hashed=True)
         # eight links and the node itself
         replace_table(training_table(hourly, links, link_rows=9 * grid.size), training)
     if audit:

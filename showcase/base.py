@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberscope import vocabulary as V
 from emberscope.functions.timekeys import hour_floor
 from emberscope.operators.spine import complete, hourly_spine
-from emberscope.plans.gold import gold_full
+from emberscope.plans.gold import JOIN_KEYS, gold_full, keyed_by_place
 from emberscope.session import pin_utc
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -151,9 +152,13 @@ def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complete_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weather rows for every user and hour, null where nothing was measured."""
-    hours = complete(measurements(spark, sf_dir), spine(spark, sf_dir), ["user_id", "timestamp_clima"])
-    return _as_weather(hours)
+    """Weather rows for every user and hour, null where nothing was measured.
+
+    Hours and measurements meet by the keys of the label join (a user has a place of their own), so the completed hours, which are
+    many and mostly empty, are not shuffled once more for the detections.
+    """
+    measured = keyed_by_place(weather(spark, sf_dir)).select(*JOIN_KEYS, *V.CLIMATE_VARIABLES)
+    return complete(measured.hint("shuffle_hash"), keyed_by_place(_as_weather(spine(spark, sf_dir))), JOIN_KEYS)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +166,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complete_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold_full(complete_weather(spark, sf_dir), detections(spark, sf_dir))
+    return gold_full(complete_weather(spark, sf_dir), detections(spark, sf_dir), hashed=True)
 
 
 def orders_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
