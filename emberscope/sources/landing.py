@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +68,42 @@ def write_documents(documents: DataFrame, path: str, per_file: int = 1, partitio
 
     One document per file is what the multi-line reader expects; more per file
     spare the file system when documents are many (read them by line then). The
-    rows are spread first, because creating the files is the work.
+    rows are spread first, because creating the files is the work. On a local or mounted folder the tasks create the files of one document
+    themselves, as Hadoop's local file system starts a process for the permissions of every file. The path must not exist.
     """
-    n = partitions or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    documents.repartition(n).write.option("maxRecordsPerFile", per_file).json(path)
+    spread = documents.repartition(partitions or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    context = documents.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    if per_file == 1 and files.getUri().getScheme() == "file" and not files.exists(target):
+        _write_each(spread, files.makeQualified(target).toUri().getPath())
+    else:
+        spread.write.option("maxRecordsPerFile", per_file).json(path)
+
+
+def _write_each(documents: DataFrame, folder: str) -> None:
+    """A file for each row. A file gets its name when it is whole, and a task that is run again replaces what it left."""
+    job = uuid.uuid4().hex
+
+    def write(parts):
+        import os
+
+        import pandas as pd
+        from pyspark import TaskContext
+
+        task, k = TaskContext.get(), 0
+        os.makedirs(folder, exist_ok=True)
+        for part in parts:
+            for text in part["value"]:
+                name = f"part-{task.partitionId():05d}-{job}-{k:06d}.json"
+                hidden = f"{folder}/_{task.taskAttemptId()}-{name}"
+                with open(hidden, "wb") as out:
+                    out.write(text.encode() + b"\n")
+                os.replace(hidden, f"{folder}/{name}")
+                k += 1
+        yield pd.DataFrame({"files": [k]})
+
+    documents.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(write, "files long").agg(F.sum("files")).collect()
 
 
 def valid_payload(text: Column, marker: str = V.INVALID_MARKER) -> Column:
@@ -83,17 +118,24 @@ def split_payloads(payloads: DataFrame, text: str, marker: str = V.INVALID_MARKE
 
 def read_payloads(spark: SparkSession, path: str, suffix: str = ".csv") -> DataFrame:
     """Whole files as (value, source_filename)."""
+    return listed_payloads(spark, path, suffix).select("value", "source_filename")
+
+
+def listed_payloads(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """Whole files with what ``file_listing`` knows of them, in one listing of the folder: (value, source_filename, name, length)."""
     files = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
-    return files.select("value", F.col("_metadata.file_path").alias("source_filename"))
+    about = {"source_filename": "file_path", "name": "file_name", "length": "file_size"}
+    return files.select("value", *[F.col(f"_metadata.{m}").alias(c) for c, m in about.items()])
 
 
-def landing_audit(listing: DataFrame, expected: int | None = None) -> DataFrame:
-    """File count, first and last name, size of the last file, progress in percent."""
+def landing_audit(listing: DataFrame, expected: int | None = None, more: Sequence[Column] = ()) -> DataFrame:
+    """File count, first and last name, size of the last file, progress in percent, and ``more`` aggregates of the listing's own columns."""
     audit = listing.agg(
         F.count(F.lit(1)).alias("files"),
         F.min("name").alias("first_name"),
         F.max("name").alias("last_name"),
         F.max_by("length", "name").alias("last_length"),
+        *more,
     )
     progress = F.try_divide(F.col("files").cast("double") * 100, F.lit(expected).cast("double"))
     return audit.withColumn("progress_pct", F.round(progress, 1))

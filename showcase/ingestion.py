@@ -19,7 +19,7 @@ from emberscope.plans.medallion import Tables, build
 from emberscope.plans.refresh import refresh
 from emberscope.session import fresh_dir, materialize
 from emberscope.sources.files import schema_log
-from emberscope.sources.landing import document_variables, file_listing, landing_audit as audit_listing, read_payloads, write_documents
+from emberscope.sources.landing import document_variables, landing_audit as audit_listing, listed_payloads, write_documents
 from emberscope.streaming.ingest import FileSource, ingest, ingest_all, rejected_table
 from emberscope.streaming.scoring import LiveScores, drain, forecast_stream, score_with_history, scored_stream
 
@@ -182,9 +182,9 @@ def _write_documents(spark, sf_dir, per_file=1):
 def landing_audit(spark, sf_dir):
     """Files of the weather landing area, their progress, and the fewest series any of them holds."""
     path = _write_documents(spark, sf_dir)
-    audit = audit_listing(file_listing(spark, path, ".json"), 160)
-    series = document_variables(read_payloads(spark, path, ".json")).agg(F.min("n_variables")).scalar()
-    return audit.select("files", (F.col("files").cast("double") * 100 / 160).alias("progress"), series.alias("series"))
+    landed = document_variables(listed_payloads(spark, path, ".json"))
+    audit = audit_listing(landed, 160, [F.min("n_variables").alias("series")])
+    return audit.select("files", (F.col("files").cast("double") * 100 / 160).alias("progress"), "series")
 
 
 def _text_files(spark, path, texts):

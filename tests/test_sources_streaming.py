@@ -476,3 +476,16 @@ def test_build_twice_gives_the_same_tables(spark, tmp_path, schema):
         assert gold.count() == features.count() == 96 and gold.filter("target = 1").count() == 1
         assert gold.filter("timestamp_clima = '2020-08-23 18:00:00' AND latitude = -31.2 AND longitude = -64.4").first()["fire_confidence"] == 3
     assert features.columns[-8:] == ["precip_acum_7d", "precip_acum_3d", "temp_max_3d", "fire_spread_index", "hour_sin", "hour_cos", "month_sin", "month_cos"]
+
+
+def test_files_of_one_document_are_written_whole_and_once(spark, tmp_path):
+    path = tmp_path / "documents"
+    docs = spark.range(50).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("ñ \n"), F.col("id").cast("string"))).alias("text"), F.array(F.lit(1.5), F.lit(None)).alias("a"))
+    L.write_documents(docs, str(path), partitions=4)
+    names = sorted(p.name for p in path.iterdir())
+    # no checksum, marker or hidden file beside them: they cost as much as the documents
+    assert len(names) == 50 and all(n.startswith("part-") and n.endswith(".json") for n in names)
+    assert sorted(map(str, spark.read.schema(docs.schema).json(str(path)).collect())) == sorted(map(str, docs.collect()))
+    listed = L.listed_payloads(spark, str(path), ".json")
+    audit = L.landing_audit(listed, 100, [F.count("value").alias("read")]).first()
+    assert (audit.files, audit.read, audit.first_name, audit.progress_pct) == (50, 50, names[0], 50.0)
