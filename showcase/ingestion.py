@@ -346,6 +346,8 @@ def live_scoring(spark, sf_dir):
     frames = _live_frames()
     features = [f.name for f in frames]
     train = over_time(history, ["grid_id"], "timestamp_clima", frames).select("target", *[F.col(c).cast("double").alias(c) for c in features])
+    # a forest goes over its rows several times, and each time the windows would be taken again
+    train = materialize(train, "train")
     model_path = fresh_dir(spark, "model")
     fit_forest(train, features, positive_weight=10.0, trees=5, depth=4).write().save(model_path)
     model = PipelineModel.load(model_path)
