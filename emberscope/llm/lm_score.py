@@ -7,7 +7,9 @@ other words, a class being a hash of the word's last two letters and the punctua
 outcome is predicted from the five outcomes before it: each context place has a diagonal matrix, each outcome
 a vector, their products add up to a prediction, and its dot product with an outcome's own vector plus
 a bias is the outcome's score. Training contrasts each token with noise drawn from the outcomes' frequencies and so
-needs no normaliser; scoring takes the softmax over all outcomes, a matrix product for a batch of tokens.
+needs no normaliser; scoring takes the softmax over all outcomes. An outcome's score is a sum over the context places, and what
+an outcome at a place adds to all scores is the same wherever it stands; so the exponentials are taken once, by place and outcome, and
+a token's normaliser is a sum of their products.
 
 A word of a class has the class's probability times (c + 1) / (N + V + 1), with the word's own count c and the class's
 N tokens and V words, so known words and one unknown word for each class add up to 1.
@@ -16,7 +18,8 @@ Every task trains on all its training texts, starting from the same parameters;
 tokens, and the next round starts from there. Parameters are of fixed size.
 
 Counts are kept for all words: the most frequent ones (a fixed number) are broadcast, all others
-are joined by word and summed by row.
+are joined by word and summed by row. Texts are read twice, once to count and once to turn words into outcomes, which are
+stored by row; every round of training and the scoring read those.
 
 Null texts are empty and have their end only. Rows with a null id are training rows. Repeated rows count
 as often as they stand. With no training text, the counts are 0 and the outcomes equally likely.
@@ -25,34 +28,51 @@ as often as they stand. With no training text, the counts are 0 and the outcomes
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberscope.session import Scratch
 
-from .common import WORD, chunks, lower_text, ship
+from .common import ship
 
 FREQUENT = 1 << 16
 TOKENS, CLASSES = 384, 128
 OUTCOMES = TOKENS + CLASSES
 WIDTH, CONTEXT = 32, 5
 ROUNDS, BATCH, NOISE, RATE, SEED = 2, 1024, 48, 0.1, 11
+#: Tokens scored in one step, so that the step stays in the processor's cache.
+BLOCK = 256
 #: The end as a token: no word has white space.
 END = "\n"
 CACHE_WORDS, COUNTER_WORDS = 300_000, 200_000
+#: A normaliser below this may have lost terms to the range of single precision.
+LEAST = 1e-20
 _PUNCTUATION = ".,;:!?"
-_ONES = np.ones(OUTCOMES, dtype=np.float32)
 _STEP = float(1 << 24)
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(lower_text(text)) if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, row = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    empty = pc.equal(pc.binary_length(words), 0)  # before leading and behind trailing white space
+    return words.filter(pc.invert(empty)), np.bincount(row[~empty.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
+def pieces(sizes: np.ndarray, size: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of rows with about ``size`` in all, to bound the memory of a step."""
+    ends = np.cumsum(sizes)
+    cuts = np.flatnonzero(np.diff(ends // size)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)])) if len(sizes) else []
+
+
+def pieces_of(texts: pa.Array) -> list[tuple[int, int]]:
+    return pieces(pc.binary_length(texts).fill_null(0).to_numpy())
 
 
 def word_class(word: str) -> int:
@@ -65,35 +85,37 @@ class Vocabulary:
     """Outcomes and counts of frequent words; ``counts`` is sorted by falling count."""
 
     def __init__(self, counts: list[tuple[str, int]]):
-        self.place = {w: i for i, (w, _) in enumerate(counts)}
+        self.words = pa.array([w for w, _ in counts], pa.string())
         self.counts = np.array([c for _, c in counts] + [0], dtype=np.float64)  # the last: not frequent
-        self.ends = int(self.counts[self.place.get(END, -1)])
+        self.ends = next((c for w, c in counts if w == END), 0)
         top = {END: 0} | {w: i for i, w in enumerate([w for w, _ in counts if w != END][: TOKENS - 1], 1)}
         self.outcome = np.array([top[w] if w in top else word_class(w) for w, _ in counts] + [0], dtype=np.int64)
         self.classes: dict[str, int] = {}
 
-    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places among the frequent words, -1 for others, and outcomes."""
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        at = pc.index_in(words, value_set=self.words.cast(words.type)).fill_null(-1).to_numpy().astype(np.int64)
         outcomes = self.outcome[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            k = self.classes.get(words[i])
+        others = np.flatnonzero(at < 0)
+        for i, word in zip(others.tolist(), words.take(pa.array(others)).to_pylist()):
+            k = self.classes.get(word)
             if k is None:
                 if len(self.classes) >= CACHE_WORDS:
                     self.classes = {}
-                k = self.classes[words[i]] = word_class(words[i])
+                k = self.classes[word] = word_class(word)
             outcomes[i] = k
         return at, outcomes
 
-    def stream(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Outcomes of all texts, with padding before each and an end after each; where each text begins; all words' places."""
-        lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        begin = np.concatenate([[0], np.cumsum(lengths + CONTEXT + 1)])
-        at, outcomes = self.look_up(list(chain.from_iterable(texts)))
-        ids = np.full(begin[-1], OUTCOMES, dtype=np.int64)
-        ids[np.arange(len(at)) + np.repeat(begin[:-1] + CONTEXT - (np.cumsum(lengths) - lengths), lengths)] = outcomes
-        ids[begin[1:] - 1] = 0
-        return ids, begin, at
+
+def stream(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Stored outcomes of all texts, with padding before each and an end after each; where each text begins."""
+    lengths = pc.binary_length(rows).to_numpy().astype(np.int64) // 2
+    begin = np.concatenate([[0], np.cumsum(lengths + CONTEXT + 1)])
+    outcomes = np.frombuffer(b"".join(rows.to_pylist()), dtype="<u2")
+    ids = np.full(begin[-1], OUTCOMES, dtype=np.int64)
+    ids[np.arange(len(outcomes)) + np.repeat(begin[:-1] + CONTEXT - (np.cumsum(lengths) - lengths), lengths)] = outcomes
+    ids[begin[1:] - 1] = 0
+    return ids, begin
 
 
 class Model:
@@ -118,30 +140,46 @@ class Model:
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, name).ravel() for name in self.SHAPES]).astype(np.float64)
 
-    def predictions(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors of the context and the predicted vector for each place after the first CONTEXT."""
-        vectors = self.inner[ids]
-        n = len(ids) - CONTEXT
-        q = np.zeros((n, WIDTH), dtype=np.float32)
-        for i in range(CONTEXT):  # place 0: the token just before
-            q += vectors[CONTEXT - 1 - i : CONTEXT - 1 - i + n] * self.place[i]
-        return vectors, q
+    def log10_probabilities(self, ids: np.ndarray) -> np.ndarray:
+        return Scorer(self).log10_probabilities(ids)
+
+
+class Scorer:
+    """What an outcome at a context place adds to every outcome's score, and its exponentials; the bias is in the first place's."""
+
+    def __init__(self, model: Model):
+        self.added = (model.inner * model.place[:, None]) @ model.outer.T
+        self.added[0] += model.bias
+        self.highest = self.added.max(axis=2)
+        self.powers = np.exp(self.added - self.highest[:, :, None])
 
     def log10_probabilities(self, ids: np.ndarray) -> np.ndarray:
         """Of each token of a stream after the first CONTEXT, normalised; 0 for padding."""
+        added, highest, powers = self.added, self.highest, self.powers
+        flat = added.reshape(CONTEXT, -1)
         out = np.zeros(len(ids) - CONTEXT)
-        for a in range(0, len(out), 512):  # so that a block of scores stays in the processor's cache
-            part = ids[a : a + 512 + CONTEXT]
-            _, q = self.predictions(part)
-            target = part[CONTEXT:]
-            logits = q @ self.outer.T
-            logits += self.bias
-            if logits.max() > 60:  # a sum of exponentials could overflow
-                logits -= logits.max(axis=1, keepdims=True)
-            own = logits[np.arange(len(target)), np.minimum(target, OUTCOMES - 1)].astype(np.float64)
-            np.exp(logits, out=logits)
-            value = (own - np.log((logits @ _ONES).astype(np.float64))) / np.log(10)
-            out[a : a + len(target)] = np.where(target < OUTCOMES, value, 0.0)
+        held, more = np.empty((2, BLOCK, OUTCOMES), dtype=np.float32)
+        for a in range(0, len(out), BLOCK):
+            part = ids[a : a + BLOCK + CONTEXT]
+            n = len(part) - CONTEXT
+            target = np.minimum(part[CONTEXT:], OUTCOMES - 1)
+            context = [part[CONTEXT - 1 - i : CONTEXT - 1 - i + n] for i in range(CONTEXT)]
+            # clip: no id is out of range, and without a check rows go straight into the buffer
+            product = powers[0].take(context[0], axis=0, out=held[:n], mode="clip")
+            for i in range(1, CONTEXT - 1):
+                product *= powers[i].take(context[i], axis=0, out=more[:n], mode="clip")
+            total = np.vecdot(product, powers[-1].take(context[-1], axis=0, out=more[:n], mode="clip")).astype(np.float64)
+            value, top = np.zeros(n), np.zeros(n)
+            for i, c in enumerate(context):
+                value += flat[i].take(c * OUTCOMES + target)
+                top += highest[i].take(c)
+            low = np.flatnonzero(total < LEAST)
+            if len(low):  # the places' highest scores are far from each other: the scores are added up first
+                scores = sum(added[i].take(c[low], axis=0).astype(np.float64) for i, c in enumerate(context))
+                top[low] = scores.max(axis=1)
+                total[low] = np.exp(scores - top[low, None]).sum(axis=1)
+            value = (value - top - np.log(total)) / np.log(10)
+            out[a : a + n] = np.where(part[CONTEXT:] < OUTCOMES, value, 0.0)
         return out
 
 
@@ -153,72 +191,124 @@ class Trainer:
         self.cumulative, self.noise_log = np.cumsum(shares), np.log(NOISE * shares).astype(np.float32)
         self.squares = {n: np.full(s, 1e-2, dtype=np.float32) for n, s in Model.SHAPES.items()}
         self.tokens = 0
-
-    def _move(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
+        # kept from step to step: fresh memory costs as much as the arithmetic
+        rows, of_batch = BATCH + CONTEXT, np.empty((4, BATCH, WIDTH), dtype=np.float32)
+        self.q, self.own, self.dq, self.part = of_batch
+        self.vectors, self.inner = np.empty((2, rows, WIDTH), dtype=np.float32)
+        self.wrong = np.empty(BATCH * NOISE, dtype=np.float32)
+        self.gradients, self.in_order = np.empty((2, rows + NOISE, 2 * WIDTH), dtype=np.float32)
+
+    def _move(self, name: str, gradient: np.ndarray, rows: np.ndarray | None = None) -> None:
         s, p = self.squares[name], getattr(self.m, name)
-        s[rows] += gradient * gradient
-        p[rows] += RATE * gradient / np.sqrt(s[rows])
-
-    @staticmethod
-    def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if rows is None:
+            s += gradient * gradient
+            p += RATE * gradient / np.sqrt(s)
+        else:
+            total = s.take(rows, axis=0)
+            total += gradient * gradient
+            s[rows] = total
+            p[rows] += RATE * gradient / np.sqrt(total)
+
+    def _by_row(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the first gradients by their rows."""
+        rows = rows.astype(np.uint16)  # sorted by its digits
         order = np.argsort(rows, kind="stable")
+        values = self.gradients.take(order, axis=0, out=self.in_order[: len(rows)], mode="clip")
         rows = rows[order]
         begin = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        return rows[begin], np.add.reduceat(values[order], begin, axis=0)
+        # complex numbers: two columns are added in one step
+        return rows[begin], np.add.reduceat(values.view(np.complex64), begin, axis=0).view(np.float32)
 
     def step(self, ids: np.ndarray) -> None:
-        m, target = self.m, ids[CONTEXT:]
+        m, target, n = self.m, ids[CONTEXT:], len(ids) - CONTEXT
         real = target < OUTCOMES
-        if not real.any():
+        number = int(np.count_nonzero(real))
+        if not number:
             return
-        t = np.where(real, target, 0)
-        vectors, q = m.predictions(ids)
+        t = target if number == n else np.where(real, target, 0)
+        spans = [slice(CONTEXT - 1 - i, CONTEXT - 1 - i + n) for i in range(CONTEXT)]  # place 0: the token just before
+        q, own, dq, part, inner = self.q[:n], self.own[:n], self.dq[:n], self.part[:n], self.inner[: n + CONTEXT]
+        vectors = m.inner.take(ids, axis=0, out=self.vectors[: n + CONTEXT], mode="clip")
+        np.multiply(vectors[spans[0]], m.place[0], out=q)
+        for i in range(1, CONTEXT):
+            q += np.multiply(vectors[spans[i]], m.place[i], out=part)
         noise = np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1])
-        noise = np.minimum(noise, OUTCOMES - 1)
-        own = m.outer[t]
-        right = _sigmoid(self.noise_log[t] - (q * own).sum(axis=1) - m.bias[t]) * real
-        wrong = _sigmoid(q @ m.outer[noise].T + m.bias[noise] - self.noise_log[noise]) * real[:, None]
-        dq = right[:, None] * own - wrong @ m.outer[noise]
-        scale = np.float32(1.0 / real.sum())
-        rows, values = self._by_row(np.concatenate([t, noise]), np.concatenate([right[:, None] * q, -(wrong.T @ q)]))
-        biases = np.bincount(t, right, OUTCOMES) - np.bincount(noise, wrong.sum(axis=0), OUTCOMES)
-        n, inner, place = len(target), np.zeros_like(vectors), np.empty_like(m.place)
-        for i in range(CONTEXT):
-            span = slice(CONTEXT - 1 - i, CONTEXT - 1 - i + n)
-            inner[span] += dq * m.place[i]
-            place[i] = (dq * vectors[span]).sum(axis=0)
-        self._move("outer", values * scale, rows)
+        noise, drawn = np.unique(np.minimum(noise, OUTCOMES - 1), return_counts=True)  # one column for equal ones
+        other = m.outer.take(noise, axis=0)
+        m.outer.take(t, axis=0, out=own, mode="clip")
+        right = _sigmoid_of_minus(np.vecdot(q, own) + (m.bias - self.noise_log).take(t))
+        wrong = np.matmul(q, -other.T, out=self.wrong[: n * len(noise)].reshape(n, -1))
+        wrong += self.noise_log[noise] - m.bias[noise]
+        _sigmoid_of_minus(wrong)
+        if number < n:
+            right *= real
+            wrong *= real[:, None]
+        # equal noise counts as often as it was drawn
+        np.multiply(own, right[:, None], out=dq)
+        dq -= np.matmul(wrong, other * drawn[:, None].astype(np.float32), out=part)
+        # a row for each place, then for the noise; the first columns go to the vectors as context, the others as outcome
+        gradients, place = self.gradients[: n + CONTEXT + len(noise)], np.empty_like(m.place)
+        inner.fill(0)
+        for i, span in enumerate(spans):
+            inner[span] += np.multiply(dq, m.place[i], out=part)
+            place[i] = np.einsum("ij,ij->j", dq, vectors[span])
+        gradients[: n + CONTEXT, :WIDTH] = inner
+        gradients[n + CONTEXT :, :WIDTH] = 0
+        gradients[:CONTEXT, WIDTH:] = 0
+        np.multiply(q, right[:, None], out=gradients[CONTEXT : n + CONTEXT, WIDTH:])
+        np.multiply(wrong.T @ q, -drawn[:, None], out=gradients[n + CONTEXT :, WIDTH:], casting="same_kind")
+        scale = np.float32(1.0 / number)
+        rows, values = self._by_row(np.concatenate([ids, noise]))
+        values *= scale
+        biases = np.bincount(t, right, OUTCOMES)
+        biases[noise] -= (np.ones(n, dtype=np.float32) @ wrong) * drawn
+        self._move("inner", values[:, :WIDTH], rows)
+        outcomes = len(rows) - (rows[-1] == OUTCOMES)  # padding is the last row, and no outcome
+        self._move("outer", values[:outcomes, WIDTH:], rows[:outcomes])
         self._move("bias", (biases * scale).astype(np.float32))
-        rows, values = self._by_row(ids, inner)
-        self._move("inner", values * scale, rows)
         self._move("place", place * scale)
-        self.tokens += int(real.sum())
+        self.tokens += number
 
     def train(self, ids: np.ndarray) -> None:
         for a in range(0, len(ids) - CONTEXT, BATCH):
             self.step(ids[a : a + BATCH + CONTEXT])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _sigmoid_of_minus(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place of ``x``."""
+    np.exp(np.minimum(x, 30, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over a column ``text``; the end counts once for each row."""
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: Counter = Counter()
-        for part in parts:
-            for t in part["text"]:
-                sums.update(words_of(t))
-                sums[END] += 1
-                if len(sums) >= COUNTER_WORDS:
-                    yield pd.DataFrame({"word": list(sums), "c": list(sums.values())})
-                    sums = Counter()
-        if sums:
-            yield pd.DataFrame({"word": list(sums), "c": list(sums.values())})
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = rows = 0
 
-    return texts.mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
+
+        for part in parts:
+            texts = part.column(0)
+            rows += len(texts)
+            for a, b in pieces_of(texts):
+                each = words_of(texts.slice(a, b - a))[0].value_counts()
+                held.append(pa.table({"word": each.field("values"), "c": each.field("counts")}))
+                size += len(each)
+                if size >= 2 * COUNTER_WORDS:
+                    held = [summed()]
+                    size = len(held[0])
+                    if size >= COUNTER_WORDS:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if rows:
+            held.append(pa.table({"word": pa.array([END], held[0]["word"].type if held else pa.string()), "c": pa.array([rows], pa.int64())}))
+            yield from summed().to_batches()
+
+    return texts.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def most_frequent(counts: DataFrame, number: int) -> list[tuple[str, int]]:
@@ -253,37 +343,37 @@ def most_frequent(counts: DataFrame, number: int) -> list[tuple[str, int]]:
 def outcome_totals(counts: DataFrame, vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of every outcome: OUTCOMES rows at most."""
 
-    def classed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def classed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pd.DataFrame({"outcome": vocabulary.value.look_up(part["word"].tolist())[1], "c": part["c"]})
+            yield pa.record_batch({"outcome": vocabulary.value.look_up(part.column(0))[1].astype(np.int32), "c": part.column(1)})
 
     tokens, kinds = np.zeros(OUTCOMES), np.zeros(OUTCOMES)
-    for r in counts.mapInPandas(classed, "outcome int, c long").groupBy("outcome").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+    for r in counts.select("word", "c").mapInArrow(classed, "outcome int, c long").groupBy("outcome").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         tokens[r.outcome], kinds[r.outcome] = r.n, r.v
     return tokens, kinds
 
 
-def fit(texts: DataFrame, vocabulary, shares: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after ``rounds`` over all rows of ``texts``."""
-    context = texts.sparkSession.sparkContext
+def fit(encoded: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters after ``rounds`` over all rows of ``encoded``, of whose columns ``outcomes`` is read."""
+    context = encoded.sparkSession.sparkContext
     flat = Model.start(shares)
     for number in range(rounds):
         start = context.broadcast(flat)
 
-        def train(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def train(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             trainer = Trainer(Model(start.value), shares, number * 1_000_003 + TaskContext.get().partitionId())
             for part in parts:
-                rows = part["text"].tolist()
-                for a, b in chunks(rows):
-                    trainer.train(vocabulary.value.stream([words_of(t) for t in rows[a:b]])[0])
+                rows = part.column(0)
+                for a, b in pieces_of(rows):
+                    trainer.train(stream(rows.slice(a, b - a))[0])
             if trainer.tokens:
                 values = np.append(trainer.m.flat() * trainer.tokens, trainer.tokens)
-                yield pd.DataFrame({"i": np.arange(len(values)), "value": values})
+                yield pa.record_batch({"i": np.arange(len(values), dtype=np.int32), "value": values})
 
         # in fixed steps, so that the order of adding makes no difference
-        summed = texts.mapInPandas(train, "i int, value double").groupBy("i").agg(F.sum(F.round(F.col("value") * _STEP).cast("decimal(38,0)")).alias("value"))
+        summed = encoded.select("outcomes").mapInArrow(train, "i int, value double").groupBy("i").agg(F.sum(F.round(F.col("value") * _STEP).cast("decimal(38,0)")).alias("value"))
         total = np.zeros(len(flat) + 1)
         for r in summed.collect():  # the number of parameters, whatever the corpus
             total[r.i] = float(r.value) / _STEP
@@ -309,48 +399,65 @@ def score_texts(docs: DataFrame, learns: Column, doc_id: str = "doc_id", text: s
     vocabulary = spark.sparkContext.broadcast(Vocabulary(common))
     tokens, kinds = outcome_totals(counts, vocabulary)
     shares = (tokens + 1) / (tokens + 1).sum()
-    model = spark.sparkContext.broadcast(fit(training, vocabulary, shares, rounds))
     in_class = np.log10(tokens + kinds + 1)
+    schema = "doc_id string, held_out boolean, place long, n_tokens long, known long, logs double, inner_logs double, outcomes binary, rare array<string>, times array<long>"
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lm, voc, k = Model(model.value), vocabulary.value, TaskContext.get().partitionId() << 40
+        voc, k = vocabulary.value, TaskContext.get().partitionId() << 40
         logs_of = np.log10(voc.counts + 1)
-        # what a word's own count adds to its class's probability; nothing for tokens that are outcomes themselves
-        inner_of = np.where(voc.outcome >= TOKENS, logs_of, 0.0)
         for part in parts:
-            texts = part["text"].tolist()
-            for a, b in chunks(texts):
-                words = [words_of(t) for t in texts[a:b]]
-                ids, begin, at = voc.stream(words)
-                value = np.concatenate([np.zeros(CONTEXT), lm.log10_probabilities(ids)])
-                value -= np.where((ids >= TOKENS) & (ids < OUTCOMES), in_class[np.minimum(ids, OUTCOMES - 1)], 0.0)
-                value = np.add.reduceat(value, begin[:-1])
+            texts = part.column("text")
+            for a, b in pieces_of(texts):
+                words, lengths = words_of(texts.slice(a, b - a))
+                coded = words.dictionary_encode()
+                code, (at, outcomes) = coded.indices.to_numpy(), voc.look_up(coded.dictionary)
+                # what a word adds to its class's probability; nothing for tokens that are outcomes themselves
+                inner = np.where(outcomes >= TOKENS, logs_of[at] - in_class[outcomes], 0.0)
                 # sums over each text's words; a last 0 serves texts without any
-                first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (at >= 0, logs_of[at], inner_of[at])]
-                known, logs, inner = (s[first[1:]] - s[first[:-1]] for s in sums)
-                rare = [Counter([own[i] for i in np.flatnonzero(at[x:y] < 0).tolist()]) for own, x, y in zip(words, first, first[1:])]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy()[a:b],
-                    "held_out": ~part["learns"].to_numpy()[a:b],
+                first = np.concatenate([[0], np.cumsum(lengths)])
+                sums = [np.concatenate([[0], np.cumsum(x[code])]) for x in (at >= 0, logs_of[at], inner)]
+                known, logs, inner_logs = (s[first[1:]] - s[first[:-1]] for s in sums)
+                # a text's distinct words that are not frequent, and how often it has them
+                rare = np.flatnonzero(at[code] < 0)
+                pairs, times = np.unique(np.repeat(np.arange(b - a), lengths)[rare] * len(at) + code[rare], return_counts=True)
+                of_row, of_word = np.divmod(pairs, max(len(at), 1))
+                offsets = pa.array(np.searchsorted(of_row, np.arange(b - a + 1)).astype(np.int32))
+                stored = outcomes[code].astype("<u2")
+                yield pa.record_batch({
+                    "doc_id": part.column("doc_id").slice(a, b - a),
+                    "held_out": pc.invert(part.column("learns").slice(a, b - a)),
                     "place": k + np.arange(b - a),
-                    "n_tokens": np.diff(first) + 1,
+                    "n_tokens": lengths + 1,
                     "known": known + (voc.ends > 0),
                     "logs": logs + np.log10(voc.ends + 1),
-                    "value": value + inner,
-                    "rare": [list(r) for r in rare],
-                    "times": [list(r.values()) for r in rare],
+                    "inner_logs": inner_logs,
+                    "outcomes": pa.array([stored[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary()),
+                    "rare": pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(of_word))),
+                    "times": pa.ListArray.from_arrays(offsets, pa.array(times)),
                 })
                 k += b - a
 
-    schema = "doc_id string, held_out boolean, place long, n_tokens long, known long, logs double, value double, rare array<string>, times array<long>"
     # written once, so a row keeps its number
-    parts = scratch.put(rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(score, schema), "scored")
-    each = parts.select("place", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("place", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    encoded = scratch.put(rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(encode, schema), "encoded")
+    model = spark.sparkContext.broadcast(fit(encoded.filter("not held_out"), shares, rounds))
+
+    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lm = Scorer(Model(model.value))
+        for part in parts:
+            each = part.column("outcomes")
+            for a, b in pieces_of(each):
+                ids, begin = stream(each.slice(a, b - a))
+                value = np.concatenate([np.zeros(CONTEXT), lm.log10_probabilities(ids)])
+                kept = part.slice(a, b - a).drop_columns(["outcomes"])
+                yield kept.append_column("value", pa.array(np.add.reduceat(value, begin[:-1])))
+
+    each = encoded.drop("rare", "times")
+    scored = each.mapInArrow(score, each.drop("outcomes").schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", value double")
+    each = encoded.select("place", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("place", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = each.join(counts, "word").groupBy("place").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    known = parts.drop("rare", "times").join(found, "place", "left")
+    known = scored.join(found, "place", "left")
     more_logs = F.coalesce("more_logs", F.lit(0.0))
     out = known.select(
         F.col("doc_id").cast(dict(docs.dtypes)[doc_id]).alias("doc_id"),
@@ -359,7 +466,7 @@ def score_texts(docs: DataFrame, learns: Column, doc_id: str = "doc_id", text: s
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + more_logs - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
-        (F.col("value") + more_logs).alias("score"),
+        (F.col("value") + F.col("inner_logs") + more_logs).alias("score"),
     )
     out = scratch.put(out, "scores")
     scratch.clear(out)
