@@ -27,6 +27,7 @@ as often as they stand. With no training text, the counts are 0 and the outcomes
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -46,13 +47,14 @@ OUTCOMES = TOKENS + CLASSES
 WIDTH, CONTEXT = 32, 5
 ROUNDS, BATCH, NOISE, RATE, SEED = 2, 1024, 48, 0.1, 11
 #: Tokens scored in one step, so that the step stays in the processor's cache.
-BLOCK = 256
+BLOCK = 512
 #: The end as a token: no word has white space.
 END = "\n"
-CACHE_WORDS, COUNTER_WORDS = 300_000, 200_000
-#: A normaliser below this may have lost terms to the range of single precision.
-LEAST = 1e-20
+COUNTER_WORDS = 200_000
+#: A sum or product below this may have lost digits to the range of single precision.
+LEAST = 1e-30
 _PUNCTUATION = ".,;:!?"
+_ONES = np.ones(OUTCOMES, dtype=np.float32)
 _STEP = float(1 << 24)
 
 
@@ -64,7 +66,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pc.invert(empty)), np.bincount(row[~empty.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
-def pieces(sizes: np.ndarray, size: int = 1 << 20) -> list[tuple[int, int]]:
+def pieces(sizes: np.ndarray, size: int = 1 << 22) -> list[tuple[int, int]]:
     """Ranges of rows with about ``size`` in all, to bound the memory of a step."""
     ends = np.cumsum(sizes)
     cuts = np.flatnonzero(np.diff(ends // size)) + 1
@@ -81,6 +83,24 @@ def word_class(word: str) -> int:
     return TOKENS + zlib.crc32(f"{stem[-2:]} {word[len(stem):][:1]}".encode("utf-8", "surrogatepass")) % CLASSES
 
 
+def word_classes(words: pa.Array) -> np.ndarray:
+    """``word_class`` of each word, taken once for each ending."""
+    words = words.cast(pa.string())
+    stems = pc.ascii_rtrim(words, characters=_PUNCTUATION)
+    last = pc.utf8_slice_codeunits(stems, start=-2).dictionary_encode()
+    # the byte behind the stem, 0 where the word ends there
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, dtype=np.int32)
+    behind = ends[:-1] + pc.binary_length(stems).to_numpy()
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    mark = np.zeros(len(words), dtype=np.int64)
+    more = behind < ends[1:]
+    mark[more] = data[behind[more]]
+    keys, key = np.unique(last.indices.to_numpy().astype(np.int64) * 256 + mark, return_inverse=True)
+    tails = last.dictionary.take(pa.array(keys // 256)).to_pylist()
+    marks = [chr(k) if k else "" for k in (keys % 256).tolist()]
+    return np.array([word_class(t + m) for t, m in zip(tails, marks)], dtype=np.int64)[key]
+
+
 class Vocabulary:
     """Outcomes and counts of frequent words; ``counts`` is sorted by falling count."""
 
@@ -90,20 +110,13 @@ class Vocabulary:
         self.ends = next((c for w, c in counts if w == END), 0)
         top = {END: 0} | {w: i for i, w in enumerate([w for w, _ in counts if w != END][: TOKENS - 1], 1)}
         self.outcome = np.array([top[w] if w in top else word_class(w) for w, _ in counts] + [0], dtype=np.int64)
-        self.classes: dict[str, int] = {}
 
     def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places among the frequent words, -1 for others, and outcomes."""
         at = pc.index_in(words, value_set=self.words.cast(words.type)).fill_null(-1).to_numpy().astype(np.int64)
         outcomes = self.outcome[at]
         others = np.flatnonzero(at < 0)
-        for i, word in zip(others.tolist(), words.take(pa.array(others)).to_pylist()):
-            k = self.classes.get(word)
-            if k is None:
-                if len(self.classes) >= CACHE_WORDS:
-                    self.classes = {}
-                k = self.classes[word] = word_class(word)
-            outcomes[i] = k
+        outcomes[others] = word_classes(words.take(pa.array(others)))
         return at, outcomes
 
 
@@ -145,42 +158,43 @@ class Model:
 
 
 class Scorer:
-    """What an outcome at a context place adds to every outcome's score, and its exponentials; the bias is in the first place's."""
+    """What an outcome at a context place adds to every outcome's score, less the highest of them, and its exponentials.
+
+    The bias is in the first place's.
+    """
 
     def __init__(self, model: Model):
         self.added = (model.inner * model.place[:, None]) @ model.outer.T
         self.added[0] += model.bias
-        self.highest = self.added.max(axis=2)
-        self.powers = np.exp(self.added - self.highest[:, :, None])
+        self.added -= self.added.max(axis=2, keepdims=True)
+        self.powers = np.exp(self.added)
 
     def log10_probabilities(self, ids: np.ndarray) -> np.ndarray:
         """Of each token of a stream after the first CONTEXT, normalised; 0 for padding."""
-        added, highest, powers = self.added, self.highest, self.powers
-        flat = added.reshape(CONTEXT, -1)
-        out = np.zeros(len(ids) - CONTEXT)
+        size, target = len(ids) - CONTEXT, np.minimum(ids[CONTEXT:], OUTCOMES - 1)
+        context = [ids[CONTEXT - 1 - i : CONTEXT - 1 - i + size] for i in range(CONTEXT)]
+        own, total = np.empty((2, size), dtype=np.float32)
         held, more = np.empty((2, BLOCK, OUTCOMES), dtype=np.float32)
-        for a in range(0, len(out), BLOCK):
-            part = ids[a : a + BLOCK + CONTEXT]
-            n = len(part) - CONTEXT
-            target = np.minimum(part[CONTEXT:], OUTCOMES - 1)
-            context = [part[CONTEXT - 1 - i : CONTEXT - 1 - i + n] for i in range(CONTEXT)]
+        first = np.arange(BLOCK) * OUTCOMES
+        for a in range(0, size, BLOCK):
+            b = min(a + BLOCK, size)
             # clip: no id is out of range, and without a check rows go straight into the buffer
-            product = powers[0].take(context[0], axis=0, out=held[:n], mode="clip")
-            for i in range(1, CONTEXT - 1):
-                product *= powers[i].take(context[i], axis=0, out=more[:n], mode="clip")
-            total = np.vecdot(product, powers[-1].take(context[-1], axis=0, out=more[:n], mode="clip")).astype(np.float64)
-            value, top = np.zeros(n), np.zeros(n)
-            for i, c in enumerate(context):
-                value += flat[i].take(c * OUTCOMES + target)
-                top += highest[i].take(c)
-            low = np.flatnonzero(total < LEAST)
-            if len(low):  # the places' highest scores are far from each other: the scores are added up first
-                scores = sum(added[i].take(c[low], axis=0).astype(np.float64) for i, c in enumerate(context))
-                top[low] = scores.max(axis=1)
-                total[low] = np.exp(scores - top[low, None]).sum(axis=1)
-            value = (value - top - np.log(total)) / np.log(10)
-            out[a : a + n] = np.where(part[CONTEXT:] < OUTCOMES, value, 0.0)
-        return out
+            product = self.powers[0].take(context[0][a:b], axis=0, out=held[: b - a], mode="clip")
+            for i in range(1, CONTEXT):
+                product *= self.powers[i].take(context[i][a:b], axis=0, out=more[: b - a], mode="clip")
+            np.matmul(product, _ONES, out=total[a:b])
+            product.ravel().take(first[: b - a] + target[a:b], out=own[a:b], mode="clip")
+        # where the places' highest scores are far from each other, the scores are added up first
+        low = np.flatnonzero((own < LEAST) | (total < LEAST))
+        own, total = own.astype(np.float64), total.astype(np.float64)
+        own[low] = total[low] = 1.0
+        out = np.log10(own / total)
+        for a in range(0, len(low), BLOCK):
+            k = low[a : a + BLOCK]
+            scores = sum(self.added[i].take(c[k], axis=0).astype(np.float64) for i, c in enumerate(context))
+            scores -= scores.max(axis=1, keepdims=True)
+            out[k] = (scores[np.arange(len(k)), target[k]] - np.log(np.exp(scores).sum(axis=1))) / np.log(10)
+        return np.where(ids[CONTEXT:] < OUTCOMES, out, 0.0)
 
 
 class Trainer:
@@ -207,7 +221,11 @@ class Trainer:
             total = s.take(rows, axis=0)
             total += gradient * gradient
             s[rows] = total
-            p[rows] += RATE * gradient / np.sqrt(total)
+            np.sqrt(total, out=total)
+            np.divide(gradient, total, out=total)
+            total *= RATE
+            total += p.take(rows, axis=0)
+            p[rows] = total
 
     def _by_row(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums of the first gradients by their rows."""
@@ -229,11 +247,17 @@ class Trainer:
         spans = [slice(CONTEXT - 1 - i, CONTEXT - 1 - i + n) for i in range(CONTEXT)]  # place 0: the token just before
         q, own, dq, part, inner = self.q[:n], self.own[:n], self.dq[:n], self.part[:n], self.inner[: n + CONTEXT]
         vectors = m.inner.take(ids, axis=0, out=self.vectors[: n + CONTEXT], mode="clip")
-        np.multiply(vectors[spans[0]], m.place[0], out=q)
+        # rows are multiplied several at once, as a loop over one row is short
+        wide = (-1, WIDTH * math.gcd(n, 16))
+        diagonals, each = np.tile(m.place, (1, wide[1] // WIDTH)), part.reshape(wide)
+        np.multiply(vectors[spans[0]].reshape(wide), diagonals[0], out=q.reshape(wide))
         for i in range(1, CONTEXT):
-            q += np.multiply(vectors[spans[i]], m.place[i], out=part)
+            np.multiply(vectors[spans[i]].reshape(wide), diagonals[i], out=each)
+            q += part
         noise = np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1])
-        noise, drawn = np.unique(np.minimum(noise, OUTCOMES - 1), return_counts=True)  # one column for equal ones
+        drawn = np.bincount(np.minimum(noise, OUTCOMES - 1), minlength=OUTCOMES)
+        noise = np.flatnonzero(drawn)  # one column for equal ones
+        drawn = drawn[noise]
         other = m.outer.take(noise, axis=0)
         m.outer.take(t, axis=0, out=own, mode="clip")
         right = _sigmoid_of_minus(np.vecdot(q, own) + (m.bias - self.noise_log).take(t))
@@ -241,8 +265,9 @@ class Trainer:
         wrong += self.noise_log[noise] - m.bias[noise]
         _sigmoid_of_minus(wrong)
         if number < n:
-            right *= real
-            wrong *= real[:, None]
+            padding = np.flatnonzero(~real)
+            right[padding] = 0
+            wrong[padding] = 0
         # equal noise counts as often as it was drawn
         np.multiply(own, right[:, None], out=dq)
         dq -= np.matmul(wrong, other * drawn[:, None].astype(np.float32), out=part)
@@ -250,7 +275,8 @@ class Trainer:
         gradients, place = self.gradients[: n + CONTEXT + len(noise)], np.empty_like(m.place)
         inner.fill(0)
         for i, span in enumerate(spans):
-            inner[span] += np.multiply(dq, m.place[i], out=part)
+            np.multiply(dq.reshape(wide), diagonals[i], out=each)
+            inner[span] += part
             place[i] = np.einsum("ij,ij->j", dq, vectors[span])
         gradients[: n + CONTEXT, :WIDTH] = inner
         gradients[n + CONTEXT :, :WIDTH] = 0
@@ -276,7 +302,8 @@ class Trainer:
 
 def _sigmoid_of_minus(x: np.ndarray) -> np.ndarray:
     """1 / (1 + exp(x)), in place of ``x``."""
-    np.exp(np.minimum(x, 30, out=x), out=x)
+    with np.errstate(over="ignore"):  # infinity leads to 0
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 

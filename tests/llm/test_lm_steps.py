@@ -39,3 +39,12 @@ def test_stored_outcomes_make_the_stream():
     ids, begin = lm_score.stream(rows)
     pad = [lm_score.OUTCOMES] * lm_score.CONTEXT
     assert ids.tolist() == [*pad, 3, 500, 0, *pad, 0, *pad, 7, 0] and begin.tolist() == [0, 8, 14, 21]
+
+
+def test_classes_of_many_words_are_those_of_each():
+    rng, letters = random.Random(6), "abÉß日.,;:!?-"
+    words = [*("".join(rng.choices(letters, k=rng.randrange(1, 7))) for _ in range(2000)), ".", "a\x00", "\x00"]
+    expected = [lm_score.word_class(w) for w in words]
+    assert lm_score.word_classes(pa.array(words)).tolist() == expected
+    assert lm_score.word_classes(pa.array(words).slice(700)).tolist() == expected[700:]
+    assert lm_score.word_classes(pa.array([], pa.string())).tolist() == []
