@@ -144,6 +144,7 @@ def nearest_nodes(
             .agg(F.count(F.lit(1)).alias("found"), F.max("distance_km").alias("far"))
             .filter((F.col("found") >= count) & (F.col("far") < safe))
             .select("node")
+            .hint("shuffle_hash")
         )
         parts.append(ranked.join(settled, "node", "left_semi"))
         open_nodes = scratch.put(open_nodes.join(settled, "node", "left_anti"), "open")
@@ -189,14 +190,17 @@ def _uncrowded(base: DataFrame, full: float, scratch: Scratch) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, base: DataFrame, width: float, count: int, tasks: int) -> DataFrame:
-    """Ranked candidates from the cubes around each node. The probes are few beside the pairs they make, so the number of tasks is stated."""
+    """Ranked candidates from the cubes around each node. The probes are few beside the pairs they make, so the number of tasks is stated.
+
+    So is the join: the planner takes the 27 probes of a node for one, and once sent all of them through the driver to every executor.
+    """
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     probes = nodes.select("node", "lat", "lon", *[_cube(c, width).alias(f"c{c}") for c in _SPACE])
     for c in _SPACE:
         probes = probes.withColumn("d", F.explode(around)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d")).drop("d")
     probes = probes.repartition(tasks, *[f"c{c}" for c in _SPACE])
     others = base.select(F.col("node").alias("neighbour"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[_cube(c, width).alias(f"c{c}") for c in _SPACE])
-    pairs = probes.join(others, [f"c{c}" for c in _SPACE]).filter("node <> neighbour").withColumn(
+    pairs = probes.join(others.hint("merge"), [f"c{c}" for c in _SPACE]).filter("node <> neighbour").withColumn(
         "distance_km", F.round(great_circle_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 6)
     )
     nearest = Window.partitionBy("node").orderBy("distance_km", "neighbour")

@@ -181,7 +181,8 @@ def training_table(hourly: DataFrame, links: DataFrame, key: str = "grid_id", ts
     )
     hour_sin, hour_cos = cyclic(F.hour("block_start"), 24)
     month_sin, month_cos = cyclic(F.month("block_start"), 12)
-    joined = blocks.filter("__closed IS NOT NULL").drop("__closed").join(near, [key, "block_start"], "left")
+    # stated, as the planner takes the neighbours' rows, many as the blocks, for a part of what a broadcast takes of the driver
+    joined = blocks.filter("__closed IS NOT NULL").drop("__closed").join(near.hint("merge"), [key, "block_start"], "left")
     joined = joined.withColumns({"hour_sin": hour_sin, "hour_cos": hour_cos, "month_sin": month_sin, "month_cos": month_cos})
     out = scratch.put(joined, "training")
     scratch.clear(out)

@@ -35,7 +35,8 @@ def gold_full(
 ) -> DataFrame:
     """Weather rows with target, intensity and confidence; as many rows as ``weather``.
 
-    ``hashed`` keeps a task's detections in a hash table, so that the hours are not sorted: for hours completed to series, of which few have one.
+    ``hashed`` keeps a task's detections in a hash table, so that the hours are not sorted: for hours that are many beside the detections.
+    Nor do the detections then go through the driver, as they do where the planner, by the size of their compressed files, takes them for few.
 
     ``losses`` counts the snapped detections and the rows they label; on hourly rows the difference are the orphans.
     """
@@ -71,7 +72,8 @@ def complete_weather(weather: DataFrame, ts: str = "timestamp_clima") -> DataFra
     start, end = located.agg(F.min(ts)).scalar(), located.agg(F.max(ts) + F.expr("INTERVAL 1 HOUR")).scalar()
     kind = weather.schema[ts].dataType
     spine = hourly_spine(cells, start, end, ts).withColumn(ts, F.col(ts).cast(kind))
-    hours = complete(located.select("grid_id", ts, *V.CLIMATE_VARIABLES), spine, ["grid_id", ts])
+    # stated, as the planner goes by the size of compressed files, a part of what a broadcast takes of the driver
+    hours = complete(located.select("grid_id", ts, *V.CLIMATE_VARIABLES).hint("merge"), spine, ["grid_id", ts])
     return hours.withColumns({"fecha_join": F.col(ts).cast("date"), "hora_join": F.hour(ts)})
 
 

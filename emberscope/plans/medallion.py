@@ -95,7 +95,7 @@ def build(
     if layout_partitions:
         weather = layout_sorted(weather, ["grid_id", "timestamp_clima"], layout_partitions)
     replace_table(weather, tables.silver_weather)
-    replace_table(gold_full(read(tables.silver_weather), read(tables.silver_fires), confidence_mode, accepted, losses), tables.gold_full)
+    replace_table(gold_full(read(tables.silver_weather), read(tables.silver_fires), confidence_mode, accepted, losses, hashed=True), tables.gold_full)
     gold = watch(read(tables.gold_full), "gold_features", read=n)
     replace_table(watch(gold_features(gold), "gold_features", kept=n), tables.gold_features)
     if training:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from emberscope import vocabulary as V
 from emberscope.functions.spatial import grid_key, morton, snap
-from emberscope.operators.grid import GridSpec, _uncrowded, assign_node, grid_nodes, nearest_nodes, neighbour_mean
+from emberscope.operators.grid import GridSpec, _candidates, _uncrowded, assign_node, grid_nodes, nearest_nodes, neighbour_mean
 from emberscope.plans.gold import gold_full
 from emberscope.plans.silver import silver_grid
 from emberscope.session import Scratch
@@ -106,6 +106,14 @@ def test_a_crowd_starts_with_narrower_cubes(spark):
         assert [n for _, n in sorted(got[node])] == [n for _, n in want]
 
 
+def test_candidates_meet_by_cube_and_not_through_the_driver(spark):
+    """A node's 27 probes count as one for the planner, so those of a large grid were broadcast."""
+    nodes = spark.range(300).selectExpr("concat('n', id) AS node", "0.0D AS lat", "id / 10D AS lon", "id / 1000D AS x", "0.0D AS y", "0.0D AS z")
+    got = _candidates(nodes, nodes, 0.01, 8, 4)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 300 * 8
+
+
 def test_neighbour_mean_same_by_broadcast_and_by_shuffle(spark):
     nodes = spark.createDataFrame([(f"n{i}", *p) for i, p in enumerate(GRIDS["few"])], "cell_id string, latitude double, longitude double")
     links = nearest_nodes(nodes)

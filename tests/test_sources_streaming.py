@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -478,6 +479,36 @@ def test_build_twice_gives_the_same_tables(spark, tmp_path, schema):
     assert features.columns[-8:] == ["precip_acum_7d", "precip_acum_3d", "temp_max_3d", "fire_spread_index", "hour_sin", "hour_cos", "month_sin", "month_cos"]
 
 
+def test_a_build_broadcasts_only_what_it_knows_the_size_of(spark, tmp_path, schema, monkeypatch):
+    """The planner goes by compressed files and takes an exploded row for one: once 27 rows for each node searched went through the driver."""
+    grid = GridSpec.of_degrees((-31.6, -30.6, -65.0, -64.0))
+    hours = [f"2020-08-23 {h:02d}:00:00+00:00" for h in range(24)]
+    series = {v: [float(h) for h in range(24)] for v in V.CLIMATE_VARIABLES}
+    put(f"{tmp_path}/weather", "weather.json", json.dumps({"cell_id": "a", "request_latitude": -31.2, "request_longitude": -64.4, "elevation_val": 1.0, "hourly": {"date": hours, **series}}))
+    put(f"{tmp_path}/fires", "nasa_20200823.csv", HEADER, "-31.22,-64.41,2020-08-23,1805,h,9.5")
+    names = Tables(**{f: f"{schema}.{f}" for f in Tables.__dataclass_fields__})
+    sent = {}
+
+    def spied(write):
+        def noted(self, place, *args, **kwargs):
+            plan = self._df._jdf.queryExecution().executedPlan().toString()
+            what = os.path.basename(place).split("-")[0].removeprefix(f"{schema}.").removesuffix("__staging")
+            sent[what] = sent.get(what, 0) + plan.count("BroadcastExchange")
+            return write(self, place, *args, **kwargs)
+
+        return noted
+
+    for name in ("parquet", "saveAsTable"):
+        monkeypatch.setattr(DataFrameWriter, name, spied(getattr(DataFrameWriter, name)))
+    status = build(spark, f"{tmp_path}/fires", f"{tmp_path}/weather", f"{tmp_path}/state", grid, names, layers=(), training=f"{schema}.blocks_of_all")
+    assert [r.ok for r in status.collect()] == [True, True]
+    assert {"nearest", "open", "links", "blocks", "closed", "gold_full", "gold_features"} <= sent.keys()
+    # the grid and the lists of its links; the grid of the search meets the cubes that many nodes share, if there are any
+    assert {what: n for what, n in sent.items() if n and what != "grid"} == {"silver_weather": 1, "training": 1}
+    built = spark.read.table(f"{schema}.blocks_of_all")
+    assert built.count() == 4 and built.filter("target = 1").count() == 1
+
+
 def test_files_of_one_document_are_written_whole_and_once(spark, tmp_path):
     path = tmp_path / "documents"
     docs = spark.range(50).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("ñ \n"), F.col("id").cast("string"))).alias("text"), F.array(F.lit(1.5), F.lit(None)).alias("a"))
